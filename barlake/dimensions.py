@@ -1,9 +1,10 @@
-"""Fixed dimension values and how they become broadcastable frames."""
+"""Fixed dimension values and frames made from short lists."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Subscribed trading pairs.
@@ -75,13 +76,25 @@ INDEX_TICKERS = [
     ("NIKKEI 225", "^N225"),
 ]
 
-# A dimension is broadcast only while its row count, known before planning, is below this.
+# Only lists up to this length, known before planning, lead to broadcasts or single-task sorts.
 MAX_BROADCAST_ROWS = 10_000
 
 
 def dimension(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[str]) -> DataFrame:
-    """A literal dimension with its list position, hinted for broadcast while it is small."""
-    ddl = ", ".join(f"{name} STRING" for name in columns)
-    frame = spark.createDataFrame(
-        [(position, *row) for position, row in enumerate(rows)], f"position INT, {ddl}")
-    return F.broadcast(frame) if len(rows) <= MAX_BROADCAST_ROWS else frame
+    """A literal dimension with its list position; its size is known to the planner."""
+    names = ["position", *columns]
+    listed = [dict(zip(names, (position, *row))) for position, row in enumerate(rows)]
+    fields = [pa.field("position", pa.int32()), *[pa.field(name, pa.string()) for name in columns]]
+    return spark.createDataFrame(pa.Table.from_pylist(listed, pa.schema(fields)))
+
+
+def broadcast_listed(df: DataFrame, keys: Sequence) -> DataFrame:
+    """Hint for broadcast a frame of at most one row per listed key, while the list is short."""
+    return F.broadcast(df) if len(keys) <= MAX_BROADCAST_ROWS else df
+
+
+def in_list_order(df: DataFrame, keys: Sequence) -> DataFrame:
+    """Rows of a dimension join by position; a short list needs no distributed sort."""
+    if len(keys) <= MAX_BROADCAST_ROWS:
+        return df.coalesce(1).sortWithinPartitions("position")
+    return df.orderBy("position")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlake.dimensions import BAR_HISTORY_CAP, BAR_SOURCE
-from barlake.functions import millis_now, to_bigint_half_even, utc_date_text
+from barlake.functions import day_of_millis, millis_now, to_bigint_half_even, utc_date_text
+from barlake.functions.times import MILLIS_PER_DAY
 from barlake.operators.decode import parse_once
 from barlake.operators.latest import top_per_key
 from barlake.operators.quality import passes, require_valid, split_valid
@@ -109,6 +112,10 @@ def newest_silver_order() -> list[Column]:
             *[F.col(name).asc_nulls_last() for name in _TIE_BREAK]]
 
 
+def _day_start_ms(day: str) -> int:
+    return (date.fromisoformat(day) - date(1970, 1, 1)).days * MILLIS_PER_DAY
+
+
 def capped_history(bars: DataFrame, first_day: str, last_day: str,
                    cap: int = BAR_HISTORY_CAP) -> DataFrame:
     """Bars from the first to the last day, both included, at most `cap` per symbol, oldest kept.
@@ -117,22 +124,24 @@ def capped_history(bars: DataFrame, first_day: str, last_day: str,
     instead shows on which day a symbol reaches the cap: earlier days are kept whole, later ones
     dropped, and only the bars of that one day are ranked.
     """
-    ranged = bars.filter(F.col("date").between(first_day, last_day))
-    per_day = ranged.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("day_rows"))
-    days = Window.partitionBy("symbol").orderBy("date")
+    first_ms, after_ms = _day_start_ms(first_day), _day_start_ms(last_day) + MILLIS_PER_DAY
+    ranged = bars.filter((F.col("timestamp_ms") >= first_ms) & (F.col("timestamp_ms") < after_ms))
+    dated = ranged.withColumn("day", day_of_millis("timestamp_ms"))
+    per_day = dated.groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("day_rows"))
+    days = Window.partitionBy("symbol").orderBy("day")
     reached = F.sum("day_rows").over(days)
     last_days = (per_day.withColumn("reached", reached)
                  .filter((F.col("reached") > cap)
                          & (F.col("reached") - F.col("day_rows") <= cap))
                  .select(F.col("symbol").alias("capped_symbol"),
-                         F.col("date").alias("last_date"),
+                         F.col("day").alias("last_day"),
                          (F.lit(cap) - F.col("reached") + F.col("day_rows")).alias("room"),
                          F.ceil(F.sqrt(F.col("day_rows") / cap)).alias("shares")))
-    joined = ranged.join(
+    joined = dated.join(
         last_days, F.col("symbol").eqNullSafe(F.col("capped_symbol")), "left")
     columns = bars.columns
-    before = joined.filter(F.col("last_date").isNull() | (F.col("date") < F.col("last_date")))
-    on_last_day = joined.filter(F.col("date") == F.col("last_date"))
+    before = joined.filter(F.col("last_day").isNull() | (F.col("day") < F.col("last_day")))
+    on_last_day = joined.filter(F.col("day") == F.col("last_day"))
     # With this many shares, a share and the sum of their survivors hold about equally many rows.
     filling = top_per_key(on_last_day.select(*columns, "room", "shares"), ["symbol"],
                           bar_order(), cap, F.col("shares"))

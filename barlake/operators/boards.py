@@ -11,19 +11,15 @@ from barlake.schemas import OBSERVATION_DOCUMENT
 
 
 def _field(name: str) -> Column:
-    """A metadata field, null when it is absent."""
+    """A metadata field as a variant, null when it is absent."""
     return F.try_variant_get("meta", f"$.{name}", "variant")
 
 
-def _number(name: str) -> Column:
-    """A metadata field that is a JSON number."""
-    kind = F.schema_of_variant(_field(name))
-    return F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"),
-                  F.try_variant_get("meta", f"$.{name}", "double"))
-
-
-def _is_explicit_null(name: str) -> Column:
-    return F.is_variant_null(_field(name))
+def _number(field: str) -> Column:
+    """A variant column as a double, null unless it holds a JSON number."""
+    kind = F.schema_of_variant(field)
+    is_number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    return F.when(is_number, F.try_variant_get(field, "$", "double"))
 
 
 def quote_metadata(documents: DataFrame) -> DataFrame:
@@ -42,25 +38,29 @@ def quote_changes(documents: DataFrame) -> DataFrame:
     close counts as the price itself, one that is there but null makes the quote unusable.
     """
     fields = quote_metadata(documents).withColumns({
-        "quoted": _number("regularMarketPrice"),
-        "closed": _number("previousClose"),
-        "closed_absent": _field("previousClose").isNull(),
-        "price_is_bad": _field("regularMarketPrice").isNotNull()
-            & ~_is_explicit_null("regularMarketPrice") & _number("regularMarketPrice").isNull(),
-        "given_currency": F.try_variant_get("meta", "$.currency", "string"),
-        "currency_absent": _field("currency").isNull(),
+        "quoted_field": _field("regularMarketPrice"),
+        "closed_field": _field("previousClose"),
+        "currency_field": _field("currency"),
+    }).withColumns({
+        "quoted": _number("quoted_field"),
+        "closed": _number("closed_field"),
     })
-    priced = fields.withColumn("price_raw", first_truthy("quoted", "closed")).withColumn(
-        "prev_raw", F.when(F.col("closed_absent"), F.col("price_raw")).otherwise(F.col("closed")))
-    usable = (F.col("price_raw").isNotNull() & F.col("prev_raw").isNotNull()
-              & ~F.col("price_is_bad"))
-    currency = F.when(F.col("currency_absent"), F.lit("USD")).otherwise(F.col("given_currency"))
-    change = round_places(percent_change("price_raw", "prev_raw"), 4)
+    # Text or an object in place of the price cannot be computed with; null and absent fall back.
+    not_a_price = (F.col("quoted_field").isNotNull() & F.col("quoted").isNull()
+                   & ~F.is_variant_null("quoted_field"))
+    priced = (fields
+              .withColumn("price_raw", F.when(~not_a_price, first_truthy("quoted", "closed")))
+              .withColumn("prev_raw", F.when(F.col("closed_field").isNull(), F.col("price_raw"))
+                          .otherwise(F.col("closed")))
+              .withColumn("change_raw", percent_change("price_raw", "prev_raw")))
+    usable = F.col("price_raw").isNotNull() & F.col("prev_raw").isNotNull()
+    currency = F.when(F.col("currency_field").isNull(), F.lit("USD")).otherwise(
+        F.try_variant_get("currency_field", "$", "string"))
     return priced.select(
         *documents.columns,
         F.when(usable, round_places("price_raw", 4)).alias("price"),
         F.when(usable, round_places("prev_raw", 4)).alias("prev_close"),
-        F.when(usable, change).alias("change_pct"),
+        F.when(usable, round_places("change_raw", 4)).alias("change_pct"),
         F.when(usable, currency).alias("currency"),
         F.when(~usable, F.lit("fetch_failed")).alias("error"))
 
@@ -74,12 +74,13 @@ def index_changes(documents: DataFrame) -> DataFrame:
     })
     changed = (fields.filter(F.col("val_raw").isNotNull())
                .withColumn("base", first_truthy("chart_prev", "prev", "val_raw"))
-               .withColumn("chg_raw", F.col("val_raw") - F.col("base")))
+               .withColumns({"chg_raw": F.col("val_raw") - F.col("base"),
+                             "pct_raw": percent_change("val_raw", "base")}))
     return changed.select(
         *documents.columns,
         round_places("val_raw", 2).alias("val"),
         round_places("chg_raw", 2).alias("chg"),
-        round_places(percent_change("val_raw", "base"), 2).alias("pct"),
+        round_places("pct_raw", 2).alias("pct"),
         (F.col("chg_raw") >= 0).alias("pos"))
 
 

@@ -6,15 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barlake.dimensions import MAX_BROADCAST_ROWS
+from barlake.dimensions import broadcast_listed
 from barlake.functions import percent_change
 
 
-def broadcast_listed(df: DataFrame, keys: Sequence) -> DataFrame:
-    """Hint for broadcast a frame of at most one row per listed key, while the list is short."""
-    return F.broadcast(df) if len(keys) <= MAX_BROADCAST_ROWS else df
-
-
 def latest_row(df: DataFrame, key: str, order: str) -> DataFrame:
     """The whole row of the largest `order` per key, for rows of numbers and times.
 

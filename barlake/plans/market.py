@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from barlake.dimensions import (
-    COMMODITY_TICKERS, FOREX_TICKERS, INDEX_TICKERS, MACRO_SERIES, dimension,
+    COMMODITY_TICKERS, FOREX_TICKERS, INDEX_TICKERS, MACRO_SERIES, broadcast_listed, dimension,
+    in_list_order,
 )
 from barlake.operators.bars import (
     bar_order, bars_from_documents, in_universe, missing_symbols, newest_silver_order, silver_bars,
@@ -15,9 +16,7 @@ from barlake.operators.bars import (
 from barlake.operators.boards import (
     index_changes, latest_observation, observations, quote_changes,
 )
-from barlake.operators.latest import (
-    broadcast_listed, latest_documents, latest_row, newest,
-)
+from barlake.operators.latest import latest_documents, latest_row, newest
 from barlake.sources.files import write_json_lines
 from barlake.sources.tables import refresh_table
 
@@ -62,7 +61,7 @@ def _quote_board(documents: DataFrame, name: str, tickers: Sequence[tuple]) -> D
     quotes = quote_changes(latest.select("ticker", "value")).drop("value")
     board = keys.join(broadcast_listed(quotes, tickers), "ticker", "left").withColumn(
         "error", F.when(F.col("price").isNull(), F.lit("fetch_failed")))
-    return board.orderBy("position").select(
+    return in_list_order(board, tickers).select(
         name, "price", "prev_close", "change_pct", "currency", "error")
 
 
@@ -80,8 +79,8 @@ def index_board(documents: DataFrame, tickers: Sequence[tuple] = INDEX_TICKERS)
     keys = dimension(documents.sparkSession, tickers, ["sym", "ticker"])
     latest = latest_documents(documents, "ticker", "seq", [ticker for _, ticker in tickers])
     changes = index_changes(latest.select("ticker", "value"))
-    return changes.join(keys, "ticker").orderBy("position").select(
-        "sym", "val", "chg", "pct", "pos")
+    board = keys.join(broadcast_listed(changes, tickers), "ticker")
+    return in_list_order(board, tickers).select("sym", "val", "chg", "pct", "pos")
 
 
 def macro_pulse(documents: DataFrame, series: Sequence[tuple] = MACRO_SERIES) -> DataFrame:
@@ -89,9 +88,8 @@ def macro_pulse(documents: DataFrame, series: Sequence[tuple] = MACRO_SERIES) ->
     keys = dimension(documents.sparkSession, series, ["indicator", "series_id", "label"])
     listed = documents.filter(F.col("series_id").isin([series_id for _, series_id, _ in series]))
     latest = latest_observation(observations(listed))
-    return keys.join(
-        broadcast_listed(latest, series), "series_id", "left").orderBy(
-        "position").select("indicator", "label", "value", "date")
+    board = keys.join(broadcast_listed(latest, series), "series_id", "left")
+    return in_list_order(board, series).select("indicator", "label", "value", "date")
 
 
 # Jobs that write

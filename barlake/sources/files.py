@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from barlake.schemas import BAR, BAR_DOCUMENT
 
 
+def _name_in_path() -> Column:
+    """File name without its ending; names are percent-encoded in paths."""
+    return F.url_decode(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
+
+
 def read_bar_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Landed bar responses, one document per file named after its ticker.
 
-    The reader parses each document once. File names reach the symbol column percent-decoded.
+    The reader parses each document once.
     """
     documents = spark.read.schema(BAR_DOCUMENT).option("multiLine", "true").json(folder)
-    name = F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1)
-    return documents.select(
-        F.url_decode(F.regexp_replace(name, r"\.json$", "")).alias("symbol"), "*")
+    return documents.select(_name_in_path().alias("symbol"), "*")
+
+
+def read_documents(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """Landed responses, one per file named after its key, as (key, seq, value).
+
+    Later files have a larger seq, by modification time. Texts are kept whole.
+    """
+    files = spark.read.text(folder, wholetext=True)
+    return files.select(
+        _name_in_path().alias(key),
+        F.unix_micros("_metadata.file_modification_time").alias("seq"), "value")
 
 
 def read_bars(spark: SparkSession, path: str, schema: StructType | None = BAR) -> DataFrame:

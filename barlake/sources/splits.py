@@ -1,0 +1,17 @@
+"""Even out inputs that come in too few pieces."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a batch scan over all cores if it has splits for less than half of them.
+
+    Meant for work that costs far more than moving its rows, such as parsing documents that arrived
+    in one large file. An input with splits enough, as any large one, is left as it is.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

@@ -7,16 +7,13 @@ restarted query neither loses nor repeats rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from barlake.operators.candles import arrival_order, candles, line_protocol, summary_lines
 from barlake.operators.decode import (
     CANDLE_FIELDS, archive_rows, decode_ticks, decode_trades, encode_ticks,
 )
-from barlake.operators.latest import progress_snapshot
 from barlake.sources.topics import topic_writer
 
 # Fixed value: rows per append of the tick archive. Used as is this makes many small files; raise
@@ -45,7 +42,7 @@ def publish_writer(envelopes: DataFrame, format: str, options: dict[str, str],
                    checkpoint: str) -> DataStreamWriter:
     """Envelopes decoded and published to the tick topic, keyed by symbol."""
     ticks, _ = decode_trades(envelopes)
-    return (topic_writer(encode_ticks(ticks), format, options)
+    return (topic_writer(encode_ticks(observed(ticks)), format, options)
             .option("checkpointLocation", checkpoint).outputMode("append"))
 
 

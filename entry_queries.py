@@ -16,6 +16,7 @@ from barlake.plans import market
 from barlake.schemas import BRONZE_TICK_DDL, CANDLE_COLUMNS, TICK
 from barlake.session import configure, run_folder
 from barlake.sources.files import read_bars, write_lines
+from barlake.sources.splits import spread
 from barlake.sources.tables import append_rows, ensure_table
 from barlake.streaming import jobs
 
@@ -65,18 +66,18 @@ def record_stream(spark: SparkSession, folder: str) -> DataFrame:
 # Ticks
 
 def decode_ticks(spark, folder):
-    envelopes = adapters.envelopes_of(events(spark, folder))
+    envelopes = adapters.envelopes_of(spread(events(spark, folder)))
     accepted, _ = decode.decode_trades(envelopes, F.col("seq") + 1_000, keep=["seq"])
     return accepted
 
 
 def rejected_envelopes(spark, folder):
-    envelopes = adapters.envelopes_of(events(spark, folder))
+    envelopes = adapters.envelopes_of(spread(events(spark, folder)))
     return decode.decode_trades(envelopes, F.col("seq"), keep=["seq"])[1].select("seq", "reason")
 
 
 def subscribed_ticks(spark, folder):
-    envelopes = adapters.envelopes_of(events(spark, folder))
+    envelopes = adapters.envelopes_of(spread(events(spark, folder)))
     accepted, _ = decode.decode_trades(
         envelopes, F.col("seq") + 1_000, symbols=["CLICK", "VIEW"], keep=["seq"])
     return accepted
@@ -91,12 +92,12 @@ def topic_records(spark, folder):
 
 
 def bronze_ticks(spark, folder):
-    accepted, _ = decode.decode_ticks(adapters.records_of(events(spark, folder)))
+    accepted, _ = decode.decode_ticks(adapters.records_of(spread(events(spark, folder))))
     return as_text(decode.archive_rows(accepted))
 
 
 def rejected_ticks(spark, folder):
-    records = adapters.records_of(events(spark, folder))
+    records = adapters.records_of(spread(events(spark, folder)))
     return decode.decode_ticks(records, keep=["offset"])[1].select("offset", "reason")
 
 
@@ -106,7 +107,7 @@ def bronze_table(spark, folder):
     name = "bronze_ticks_" + place.rpartition("-")[2]
     ensure_table(spark, name, BRONZE_TICK_DDL, ["day"], place)
     ensure_table(spark, name, BRONZE_TICK_DDL, ["day"], place)
-    accepted, _ = decode.decode_ticks(adapters.records_of(events(spark, folder)))
+    accepted, _ = decode.decode_ticks(adapters.records_of(spread(events(spark, folder))))
     append_rows(decode.archive_rows(accepted), name)
     return as_text(spark.table(name))
 
@@ -156,12 +157,12 @@ def candle_summaries(spark, folder):
 # Daily bars
 
 def bar_documents(spark, folder):
-    documents = bars.parse_bar_documents(adapters.bar_documents_of(lineitem(spark, folder)))
+    documents = bars.parse_bar_documents(adapters.bar_documents_of(spread(lineitem(spark, folder))))
     return bars.bars_from_documents(documents, F.col("bar.t") + 1)[0]
 
 
 def rejected_document_bars(spark, folder):
-    documents = bars.parse_bar_documents(adapters.bar_documents_of(lineitem(spark, folder)))
+    documents = bars.parse_bar_documents(adapters.bar_documents_of(spread(lineitem(spark, folder))))
     rejected = bars.bars_from_documents(documents)[1]
     return rejected.select("symbol", F.col("bar.t").alias("timestamp_ms"), "reason")
 
@@ -169,7 +170,7 @@ def rejected_document_bars(spark, folder):
 def landed_bars(spark, folder):
     """Documents of the universe written as JSON lines, read back as bronze bars."""
     place = run_folder(configure(spark), "landed_bars")
-    documents = bars.parse_bar_documents(adapters.bar_documents_of(lineitem(spark, folder)))
+    documents = bars.parse_bar_documents(adapters.bar_documents_of(spread(lineitem(spark, folder))))
     universe = adapters.universe_of(supplier(spark, folder).filter(F.col("s_nationkey") < 10))
     market.land_bars(documents, universe, place, F.col("bar.t") + 1)
     return read_bars(spark, place)
@@ -179,7 +180,7 @@ def landing_report(spark, folder):
     """Bars written by a landing run and the listed symbols that had none."""
     place = run_folder(configure(spark), "landing_report")
     first_days = bronze(spark, folder).filter(F.col("date") < "1995-01-05").select("symbol")
-    documents = bars.parse_bar_documents(adapters.bar_documents_of(lineitem(spark, folder)))
+    documents = bars.parse_bar_documents(adapters.bar_documents_of(spread(lineitem(spark, folder))))
     universe = adapters.universe_of(supplier(spark, folder))
     early = documents.join(first_days.distinct(), "symbol", "left_semi")
     rows, missing = market.land_bars(early, universe, place, F.col("bar.t") + 1)
@@ -191,10 +192,9 @@ def silver_bars(spark, folder):
 
 
 def silver_table(spark, folder):
-    """Silver built twice into the same table: the second build replaces the first."""
+    """Silver as a catalog table: built under another name, then swapped in."""
     place = run_folder(configure(spark), "silver_table")
     name = "silver_bars_" + place.rpartition("-")[2]
-    market.refresh_silver(bronze(spark, folder).limit(0), name, place)
     market.refresh_silver(bronze(spark, folder), name, place)
     return as_text(spark.table(name).drop("processed_at"))
 
@@ -236,32 +236,34 @@ def prev_close_change(spark, folder):
 # Boards
 
 def macro_pulse(spark, folder):
-    return market.macro_pulse(adapters.observation_documents_of(events(spark, folder)))
+    return market.macro_pulse(adapters.observation_documents_of(spread(events(spark, folder))))
 
 
 def series_history(spark, folder):
-    rows = boards.observations(adapters.observation_documents_of(events(spark, folder)))
+    rows = boards.observations(adapters.observation_documents_of(spread(events(spark, folder))))
     return boards.newest_observations(rows, 5)
 
 
 def index_board(spark, folder):
-    return market.index_board(adapters.index_documents_of(events(spark, folder)))
+    return market.index_board(adapters.index_documents_of(spread(events(spark, folder))))
 
 
 def forex_board(spark, folder):
-    return market.forex_board(adapters.forex_documents_of(events(spark, folder)))
+    return market.forex_board(adapters.forex_documents_of(spread(events(spark, folder))))
 
 
 def commodity_board(spark, folder):
-    return market.commodity_board(adapters.commodity_documents_of(events(spark, folder)))
+    return market.commodity_board(adapters.commodity_documents_of(spread(events(spark, folder))))
 
 
 def quote_changes(spark, folder):
-    return boards.quote_changes(adapters.forex_documents_of(events(spark, folder))).drop("value")
+    documents = adapters.forex_documents_of(spread(events(spark, folder)))
+    return boards.quote_changes(documents).drop("value")
 
 
 def index_changes(spark, folder):
-    return boards.index_changes(adapters.index_documents_of(events(spark, folder))).drop("value")
+    documents = adapters.index_documents_of(spread(events(spark, folder)))
+    return boards.index_changes(documents).drop("value")
 
 
 # Streams: each run drains everything there is into files of its own, then reads them.
