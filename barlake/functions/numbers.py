@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 # Splits a double into two halves whose products are exact (2^27 + 1).
 _SPLIT = 134_217_729.0
-# From here on a double has no fraction digits left to round.
-_WHOLE_FROM = 4_503_599_627_370_496.0
+# Up to here (2^53) every whole number is a double.
+_WHOLE_UP_TO = 9_007_199_254_740_992.0
 
 
 def _column(value: Column | str) -> Column:
@@ -48,8 +48,8 @@ def round_places(value: Column | str, places: int) -> Column:
     up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & odd)))
     rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / scale
     signed = F.when(value < 0, -rounded).otherwise(rounded)
-    # NaN compares above every number, so NaN and infinities pass through as they are.
-    return F.when(scaled < _WHOLE_FROM, signed).otherwise(value)
+    # Larger results, and NaN, which compares above every number, are left to the built-in.
+    return F.when(scaled < _WHOLE_UP_TO, signed).otherwise(F.bround(value, places))
 
 
 def first_truthy(*values: Column | str) -> Column:

@@ -13,7 +13,8 @@ def number_text(value: Column | str) -> Column:
     """A double as text the way line-protocol writers print it: 10000000.0, 1e-05, 1e+16.
 
     Spark switches to the 1.0E7 notation at 10^7 and below 10^-3; this switches at 10^16 and
-    below 10^-4 and spells exponents with a sign and at least two digits.
+    below 10^-4 and spells exponents with a sign and at least two digits. The digits are the JVM's:
+    before version 19 it prints some doubles with one digit more than needed to read them back.
     """
     value = _column(value)
     text = value.cast("string")

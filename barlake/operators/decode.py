@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barlake.dimensions import TICK_SOURCE
 from barlake.functions import day_of_millis, millis_now, to_double
 from barlake.operators.quality import require_valid, split_valid
-from barlake.schemas import TICK, TRADE_ENVELOPE, TRADE_PAYLOAD
+from barlake.schemas import TICK, TRADE_ENVELOPE, TRADE_FIELDS
 
 # What each consumer of the tick topic needs from a message.
 ARCHIVE_FIELDS = TICK.fieldNames()
@@ -33,13 +33,12 @@ def decode_trades(envelopes: DataFrame, received_ms: Column | None = None,
     Events other than trades are dropped without a report, as are pairs outside `symbols`.
     `received_ms` is the arrival time, the clock by default; `keep` names columns to carry along.
     """
-    columns = F.from_json("value", TRADE_ENVELOPE, {"columnNameOfCorruptRecord": "malformed"})
-    envelope = F.struct(
-        columns["data"].cast(TRADE_PAYLOAD).alias("trade"),
-        columns["malformed"].alias("malformed"))
+    envelope = F.from_json(
+        "value", TRADE_ENVELOPE, {"columnNameOfCorruptRecord": "malformed"}).cast(TRADE_FIELDS)
     parsed = parse_once(envelopes, envelope, "envelope")
     event = F.col("envelope.trade.event")
-    not_json = F.col("envelope.malformed").isNotNull() & F.col("envelope.trade").isNull()
+    not_json = F.col("envelope").isNull() | (
+        F.col("envelope.malformed").isNotNull() & F.col("envelope.trade").isNull())
     ticks = parsed.filter((event == "trade") | not_json).select(
         *keep,
         "value",

@@ -26,9 +26,10 @@ TRADE_ENVELOPE = (
     "data STRUCT<e: STRING, s: STRING, p: STRING, q: STRING, t: BIGINT, T: BIGINT, m: BOOLEAN>, "
     "malformed STRING"
 )
-TRADE_PAYLOAD = (
-    "STRUCT<event: STRING, symbol: STRING, price_text: STRING, quantity_text: STRING, "
-    "trade_id: BIGINT, timestamp_ms: BIGINT, buyer_is_maker: BOOLEAN>"
+TRADE_FIELDS = (
+    "STRUCT<trade: STRUCT<event: STRING, symbol: STRING, price_text: STRING, "
+    "quantity_text: STRING, trade_id: BIGINT, timestamp_ms: BIGINT, buyer_is_maker: BOOLEAN>, "
+    "malformed: STRING>"
 )
 
 CANDLE_COLUMNS = ["symbol", "open", "high", "low", "close", "volume", "trade_count", "timestamp"]
