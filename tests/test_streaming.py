@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ class Topic:
             [f.split()[0] for f in FIELDS.split(", ")], v))) for v in values]
         hidden = self.root / f"{self.files:04d}.tmp"
         hidden.write_text("\n".join(lines) + "\n")
+        # Files are taken in the order of their modification times, which would tie here.
+        os.utime(hidden, (1_700_000_000 + self.files,) * 2)
         hidden.rename(self.root / "topic" / f"{self.files:04d}.txt")
         self.files += 1
 
