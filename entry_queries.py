@@ -286,14 +286,14 @@ def stream_rejected(spark, folder):
 def stream_candles(spark, folder):
     place = run_folder(configure(spark), "stream_candles")
     closed = jobs.candle_stream(record_stream(spark, folder))
-    jobs.drain(jobs.candle_writer(closed, f"{place}/rows", f"{place}/checkpoint"))
+    jobs.drain_candles(jobs.candle_writer(closed, f"{place}/rows", f"{place}/checkpoint"))
     return as_text(spark.read.schema(CANDLE_DDL).parquet(f"{place}/rows").select(*CANDLE_COLUMNS))
 
 
 def stream_ilp_lines(spark, folder):
     place = run_folder(configure(spark), "stream_ilp_lines")
     closed = jobs.candle_stream(record_stream(spark, folder), 3600)
-    jobs.drain(jobs.line_protocol_writer(closed, f"{place}/rows", f"{place}/checkpoint"))
+    jobs.drain_candles(jobs.line_protocol_writer(closed, f"{place}/rows", f"{place}/checkpoint"))
     return spark.read.text(f"{place}/rows").withColumnRenamed("value", "line")
 
 

@@ -81,9 +81,11 @@ def test_ticks_behind_the_watermark_are_dropped_and_counted(topic):
                tick("A", 1.0, 1.0, 5, ALIGN_MS + 600_000, 0))
     query, rows = run_candles(topic, basis="event")
     assert [(row[2], row[6]) for row in candle_rows(rows)] == [(1.0, 1), (1.0, 2)]
-    dropped = sum(state.numRowsDroppedByWatermark for progress in query.recentProgress
-                  for state in progress.stateOperators)
-    assert dropped == 1
+    assert jobs.late_rows(query) == 1
+    with pytest.raises(RuntimeError, match="1 ticks"):
+        jobs.drain_candles(jobs.candle_writer(
+            jobs.candle_stream(topic.stream(), 60, "event"),
+            topic.path("candles2"), topic.path("state2")))
 
 
 def test_archive_and_quarantine_split_the_topic(topic):
