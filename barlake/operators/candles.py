@@ -23,7 +23,8 @@ def order_key(millis: Column | str, trade_id: Column | str) -> Column:
 
     A struct would do too, but aggregation buffers holding a struct rule out hash aggregation.
     """
-    millis, trade_id = F.col(millis), F.col(trade_id)
+    millis = F.col(millis) if isinstance(millis, str) else millis
+    trade_id = F.col(trade_id) if isinstance(trade_id, str) else trade_id
     return (millis.cast("decimal(18,0)") * F.lit(_ID_RANGE)
             + (trade_id.cast("decimal(20,0)") + F.lit(_ID_OFFSET)))
 
@@ -35,27 +36,70 @@ def arrival_order(ticks: DataFrame, time_column: str) -> Column:
     return order_key(time_column, "trade_id")
 
 
+class _Ends:
+    """First and last price of a window in the order of (time, trade id).
+
+    Where the id leaves room, the time within the window and the id fit one BIGINT, which is much
+    cheaper to compare than the exact decimal key. Only the other rows use that key, and a window
+    that saw both kinds compares the best of each at the end.
+    """
+
+    def __init__(self, millis: str, seconds: int):
+        length = seconds * 1000
+        self.id_bits = 63 - (length - 1).bit_length()
+        into_window = F.pmod(F.col(millis) - ALIGN_TO_EPOCH_SECONDS * 1000, F.lit(length))
+        is_short = F.col("trade_id").between(0, 2 ** self.id_bits - 1)
+        short = F.when(
+            is_short, F.shiftleft(into_window, self.id_bits).bitwiseOR(F.col("trade_id")))
+        wide = F.when(~is_short, order_key(millis, "trade_id"))
+        self.aggregates = [
+            F.min(short).alias("first_short"), F.min_by("price", short).alias("open_short"),
+            F.max(short).alias("last_short"), F.max_by("price", short).alias("close_short"),
+            F.min(wide).alias("first_wide"), F.min_by("price", wide).alias("open_wide"),
+            F.max(wide).alias("last_wide"), F.max_by("price", wide).alias("close_wide")]
+
+    def _widened(self, short: str) -> Column:
+        millis = F.unix_millis("window.start") + F.shiftright(short, self.id_bits)
+        trade_id = F.col(short).bitwiseAND(F.lit(2 ** self.id_bits - 1))
+        return order_key(millis, trade_id)
+
+    def columns(self) -> dict[str, Column]:
+        wide_opens = F.col("first_short").isNull() | (
+            F.col("first_wide") < self._widened("first_short"))
+        wide_closes = F.col("last_short").isNull() | (
+            F.col("last_wide") > self._widened("last_short"))
+        return {
+            "open": F.when(F.col("first_wide").isNotNull() & wide_opens, F.col("open_wide"))
+            .otherwise(F.col("open_short")),
+            "close": F.when(F.col("last_wide").isNotNull() & wide_closes, F.col("close_wide"))
+            .otherwise(F.col("close_short")),
+        }
+
+
 def candles(ticks: DataFrame, seconds: int = 60, time_basis: str = "arrival",
             late_by: str = "10 seconds") -> DataFrame:
     """One row per symbol and window that saw a tick, labelled with the window's end.
 
-    `time_basis` picks the clock: "arrival" (when the tick was received) or "event". Only partial
-    aggregates are shuffled, so a symbol with most of the ticks costs its task no more than the
-    others. On a stream a window is emitted once it is `late_by` behind the newest tick.
+    `time_basis` picks the clock: "arrival" (when the tick was received) or "event". Open and close
+    follow the topic offset where the frame carries one, as a symbol stays in one topic partition,
+    otherwise that clock and the trade id. Only partial aggregates are shuffled, so a symbol with
+    most of the ticks costs its task no more than the others. On a stream a window is emitted once
+    it is `late_by` behind the newest tick.
     """
     time_column = TIME_COLUMNS[time_basis]
-    order = arrival_order(ticks, time_column)
     timed = ticks.withColumn("ts", instant_of_millis(time_column))
     if ticks.isStreaming:
         timed = timed.withWatermark("ts", late_by)
     start = f"{ALIGN_TO_EPOCH_SECONDS % seconds} seconds"
-    folded = timed.groupBy("symbol", F.window("ts", f"{seconds} seconds", startTime=start)).agg(
-        F.min_by("price", order).alias("open"),
-        F.max("price").alias("high"),
-        F.min("price").alias("low"),
-        F.max_by("price", order).alias("close"),
-        F.sum("quantity").alias("volume"),
-        F.count(F.lit(1)).alias("trade_count"))
+    windows = timed.groupBy("symbol", F.window("ts", f"{seconds} seconds", startTime=start))
+    totals = [F.max("price").alias("high"), F.min("price").alias("low"),
+              F.sum("quantity").alias("volume"), F.count(F.lit(1)).alias("trade_count")]
+    if "offset" in ticks.columns:
+        folded = windows.agg(F.min_by("price", "offset").alias("open"),
+                             F.max_by("price", "offset").alias("close"), *totals)
+    else:
+        ends = _Ends(time_column, seconds)
+        folded = windows.agg(*ends.aggregates, *totals).withColumns(ends.columns())
     return folded.withColumn("timestamp", F.col("window.end")).select(*CANDLE_COLUMNS)
 
 

@@ -34,23 +34,25 @@ def candle_rows(frame):
     return sorted(tuple(row) for row in rows)
 
 
-def random_ticks(count, seed, hot=0.6):
-    """Most ticks on one symbol; arrival order differs from event order; extreme ids."""
+def random_ticks(count, seed, hot=0.6, step=1):
+    """Most ticks on one symbol; arrival order differs from event order; small and extreme ids."""
     rng = random.Random(seed)
-    ids = [rng.randrange(-2 ** 63, 2 ** 63) for _ in range(count)]
+    ids = {rng.randrange(-2 ** 63, 2 ** 63) if n % 2 else n for n in range(count)}
     rows = []
     for trade_id in ids:
         symbol = "HOT" if rng.random() < hot else f"S{rng.randrange(20)}"
-        arrived = ALIGN_MS + rng.randrange(-400_000, 400_000)
+        arrived = ALIGN_MS + rng.randrange(-400_000, 400_000) // step * step
+        event = arrived - rng.randrange(0, 90_000) // step * step
         rows.append(tick(symbol, rng.randrange(1, 10_000) / 4, float(rng.randrange(1, 50)),
-                         trade_id, arrived - rng.randrange(0, 90_000), arrived))
+                         trade_id, event, arrived))
     return rows
 
 
-@pytest.mark.parametrize("seconds", [1, 11, 60, 77, 3600])
+@pytest.mark.parametrize("step", [1, 20_000])
+@pytest.mark.parametrize("seconds", [1, 11, 60, 77, 3600, 86_400 * 400])
 @pytest.mark.parametrize("basis, clock", [("arrival", 5), ("event", 4)])
-def test_candles_equal_a_fold(spark, seconds, basis, clock):
-    ticks = random_ticks(3000, seconds)
+def test_candles_equal_a_fold(spark, seconds, basis, clock, step):
+    ticks = random_ticks(3000, seconds, step=step)
     frame = spark.createDataFrame(ticks, FIELDS).repartition(7)
     assert candle_rows(c.candles(frame, seconds, basis)) == fold(ticks, seconds, clock)
 
