@@ -81,10 +81,10 @@ def candles(ticks: DataFrame, seconds: int = 60, time_basis: str = "arrival",
     """One row per symbol and window that saw a tick, labelled with the window's end.
 
     `time_basis` picks the clock: "arrival" (when the tick was received) or "event". Open and close
-    follow the topic offset where the frame carries one, as a symbol stays in one topic partition,
-    otherwise that clock and the trade id. Only partial aggregates are shuffled, so a symbol with
-    most of the ticks costs its task no more than the others. On a stream a window is emitted once
-    it is `late_by` behind the newest tick.
+    follow that clock and the trade id, or, by arrival, the topic offset where the frame carries
+    one, as a symbol stays in one topic partition. Only partial aggregates are shuffled, so a symbol
+    with most of the ticks costs its task no more than the others. On a stream a window is emitted
+    once it is `late_by` behind the newest tick.
     """
     time_column = TIME_COLUMNS[time_basis]
     timed = ticks.withColumn("ts", instant_of_millis(time_column))
@@ -94,7 +94,7 @@ def candles(ticks: DataFrame, seconds: int = 60, time_basis: str = "arrival",
     windows = timed.groupBy("symbol", F.window("ts", f"{seconds} seconds", startTime=start))
     totals = [F.max("price").alias("high"), F.min("price").alias("low"),
               F.sum("quantity").alias("volume"), F.count(F.lit(1)).alias("trade_count")]
-    if "offset" in ticks.columns:
+    if time_basis == "arrival" and "offset" in ticks.columns:
         folded = windows.agg(F.min_by("price", "offset").alias("open"),
                              F.max_by("price", "offset").alias("close"), *totals)
     else:

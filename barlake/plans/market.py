@@ -11,13 +11,14 @@ from barlake.dimensions import (
     in_list_order,
 )
 from barlake.operators.bars import (
-    bar_order, bars_from_documents, in_universe, missing_symbols, newest_silver_order, silver_bars,
+    bar_order, bars_from_documents, in_universe, missing_symbols, newest_silver_order,
+    parse_bar_documents, silver_bars,
 )
 from barlake.operators.boards import (
     index_changes, latest_observation, observations, quote_changes,
 )
 from barlake.operators.latest import latest_documents, latest_row, newest
-from barlake.sources.files import write_json_lines
+from barlake.sources.files import read_bars, write_json_lines
 from barlake.sources.tables import refresh_table
 
 # How many candles and bars a report shows unless told otherwise.
@@ -98,12 +99,17 @@ def land_bars(documents: DataFrame, universe: DataFrame, path: str,
               received_ms: Column | None = None) -> tuple[int, DataFrame]:
     """Documents of the universe to bronze JSON lines: (bars written, symbols without bars).
 
-    The count is taken while writing, not by a second pass.
+    Documents are texts (`value`), which are parsed after those outside the universe are gone, or
+    already parsed. The count is taken while writing, and the missing symbols are read off the
+    written bars, so nothing is parsed twice.
     """
-    bars, _ = bars_from_documents(in_universe(documents, universe), received_ms)
+    listed = in_universe(documents, universe)
+    parsed = parse_bar_documents(listed) if "value" in listed.columns else listed
+    bars, _ = bars_from_documents(parsed, received_ms)
     written = Observation("bars")
     write_json_lines(bars.observe(written, F.count(F.lit(1)).alias("rows")), path)
-    return written.get["rows"], missing_symbols(universe, bars)
+    landed = read_bars(documents.sparkSession, path)
+    return written.get["rows"], missing_symbols(universe, landed)
 
 
 def sample_bars(bars: DataFrame, rows: int = 3) -> DataFrame:

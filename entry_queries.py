@@ -170,7 +170,7 @@ def rejected_document_bars(spark, folder):
 def landed_bars(spark, folder):
     """Documents of the universe written as JSON lines, read back as bronze bars."""
     place = run_folder(configure(spark), "landed_bars")
-    documents = bars.parse_bar_documents(adapters.bar_documents_of(spread(lineitem(spark, folder))))
+    documents = adapters.bar_documents_of(spread(lineitem(spark, folder)))
     universe = adapters.universe_of(supplier(spark, folder).filter(F.col("s_nationkey") < 10))
     market.land_bars(documents, universe, place, F.col("bar.t") + 1)
     return read_bars(spark, place)
@@ -180,9 +180,9 @@ def landing_report(spark, folder):
     """Bars written by a landing run and the listed symbols that had none."""
     place = run_folder(configure(spark), "landing_report")
     first_days = bronze(spark, folder).filter(F.col("date") < "1995-01-05").select("symbol")
-    documents = bars.parse_bar_documents(adapters.bar_documents_of(spread(lineitem(spark, folder))))
-    universe = adapters.universe_of(supplier(spark, folder))
+    documents = adapters.bar_documents_of(spread(lineitem(spark, folder)))
     early = documents.join(first_days.distinct(), "symbol", "left_semi")
+    universe = adapters.universe_of(supplier(spark, folder))
     rows, missing = market.land_bars(early, universe, place, F.col("bar.t") + 1)
     return missing.select("symbol", F.lit(rows).cast("bigint").alias("bars_written"))
 

@@ -68,10 +68,12 @@ def test_documents_without_bars_show_up_as_missing(spark):
 
 def test_landing_writes_nulls_and_counts_while_writing(spark, tmp_path):
     bare = {k: v for k, v in RESULT.items() if k != "vw"}
-    docs = documents(spark, AAPL={"results": [RESULT, bare]}, XX={"results": [RESULT]})
+    texts = spark.createDataFrame(
+        [("AAPL", json.dumps({"results": [RESULT, bare]})),
+         ("XX", json.dumps({"results": [RESULT]}))], "symbol STRING, value STRING")
     universe = dimension(spark, [(symbol,) for symbol in BAR_UNIVERSE], ["symbol"])
     path = str(tmp_path / "bronze")
-    for _ in range(2):
+    for docs in (texts, bars.parse_bar_documents(texts)):
         rows, missing = market.land_bars(docs, universe, path, F.lit(9).cast("bigint"))
     assert rows == 2 and missing.count() == len(BAR_UNIVERSE) - 1
     lines = [json.loads(row.value) for row in spark.read.text(path).collect()]

@@ -69,8 +69,10 @@ def test_open_and_close_follow_arrival(spark):
 def test_topic_offset_decides_when_there_is_one(spark):
     same_ms = [(*tick("A", 1.0, 1.0, 9, ALIGN_MS, ALIGN_MS), 1),
                (*tick("A", 2.0, 1.0, 3, ALIGN_MS, ALIGN_MS), 2)]
-    row = c.candles(spark.createDataFrame(same_ms, FIELDS + ", offset BIGINT")).first()
+    frame = spark.createDataFrame(same_ms, FIELDS + ", offset BIGINT")
+    row, by_event = c.candles(frame).first(), c.candles(frame, time_basis="event").first()
     assert (row.open, row.close) == (1.0, 2.0)
+    assert (by_event.open, by_event.close) == (2.0, 1.0)
 
 
 def test_edge_tick_opens_the_later_window_and_silence_leaves_no_row(spark):
@@ -128,3 +130,11 @@ def test_line_protocol_and_summary(spark):
         f"trade_count=2i {(ALIGN_MS + 60_000) * 1_000_000}")
     assert c.summary_lines(table).first().summary == (
         "A O=12.50 H=12.50 L=0.00 C=0.00 V=10000002.0000 trades=2")
+
+
+def test_candle_properties(spark):
+    ticks = random_ticks(2000, 9)
+    rows = c.candles(spark.createDataFrame(ticks, FIELDS), 11).collect()
+    assert all(r.low <= min(r.open, r.close) and max(r.open, r.close) <= r.high for r in rows)
+    assert sum(r.trade_count for r in rows) == len(ticks)
+    assert len({(r.symbol, r.timestamp) for r in rows}) == len(rows)
