@@ -33,23 +33,18 @@ def round_places(value: Column | str, places: int) -> Column:
     """Round the exact binary value to decimal places, true ties to even.
 
     The built-in rounds the shortest decimal text of the number, so it lifts 1.005 to 1.01 although
-    the stored double lies below the tie. Here the rounding error of the scaled product is
-    recovered exactly, which decides such near ties the right way.
+    the stored double lies below the tie. Here a product that looks like a tie is nudged to the side
+    its rounding error, which two half-width products give exactly, says it is on.
     """
     value = _column(value)
     scale = float(10 ** places)
-    size = F.abs(value)
-    scaled = size * scale
-    high = size * _SPLIT - (size * _SPLIT - size)
-    error = (high * scale - scaled) + (size - high) * scale
-    whole = F.floor(scaled).cast("double")
-    rest = scaled - whole
-    odd = whole - F.floor(whole / 2).cast("double") * 2 == 1
-    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & odd)))
-    rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / scale
-    signed = F.when(value < 0, -rounded).otherwise(rounded)
-    # Larger results, and NaN, which compares above every number, are left to the built-in.
-    return F.when(scaled < _WHOLE_UP_TO, signed).otherwise(F.bround(value, places))
+    scaled = value * scale
+    high = value * _SPLIT - (value * _SPLIT - value)
+    error = (high * scale - scaled) + (value - high) * scale
+    nudge = F.when(F.abs(scaled % 1) == 0.5, F.signum(error) * 0.25).otherwise(-0.0)
+    # Larger numbers lie further apart than the places, and NaN compares above every number.
+    return F.when(F.abs(value) < _WHOLE_UP_TO / scale, F.rint(scaled + nudge) / scale).otherwise(
+        value)
 
 
 def first_truthy(*values: Column | str) -> Column:
