@@ -6,7 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import byte_bpe, html_extraction, language_id, mixing
+from barlake.llm import (
+    byte_bpe,
+    embedding_dedup,
+    html_extraction,
+    language_id,
+    mixing,
+    topk_search,
+)
 from barlake.llm.common import remainder
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +43,14 @@ def op5_language_id(spark, folder):
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_embedding_dedup(spark, folder):
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op9_topk_search(spark, folder):
+    return topk_search.search(table(spark, folder, "embeddings"))
+
+
 def op10_html(spark, folder):
     return html_extraction.extract_main_text(table(spark, folder, "pages"))
 
@@ -44,6 +59,8 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_language_id": op5_language_id,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_topk_search": op9_topk_search,
     "op10_html": op10_html,
 }
 
