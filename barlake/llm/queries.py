@@ -12,6 +12,7 @@ from barlake.llm import (
     html_extraction,
     language_id,
     mixing,
+    pii,
     topk_search,
 )
 from barlake.llm.common import remainder
@@ -43,6 +44,18 @@ def op5_language_id(spark, folder):
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_pii(spark, folder):
+    """Counts and places of personal data; base spans apart from all spans."""
+    found = pii.find_personal_data(table(spark, folder, "documents"), keep=["doc_id"])
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+    return found.select("doc_id", *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+                        F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
+                        pii.spans_text(F.col("spans")).alias("spans"))
+
+
 def op8_embedding_dedup(spark, folder):
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -59,6 +72,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_language_id": op5_language_id,
+    "op6_pii": op6_pii,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_topk_search": op9_topk_search,
     "op10_html": op10_html,
