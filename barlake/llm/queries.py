@@ -11,6 +11,7 @@ from barlake.llm import (
     embedding_dedup,
     html_extraction,
     language_id,
+    lm_scoring,
     mixing,
     pii,
     topk_search,
@@ -56,6 +57,11 @@ def op6_pii(spark, folder):
                         pii.spans_text(F.col("spans")).alias("spans"))
 
 
+def op7_lm_score(spark, folder):
+    docs = table(spark, folder, "documents")
+    return lm_scoring.score_documents(docs, remainder(F.col("doc_id"), 7) == 2)
+
+
 def op8_embedding_dedup(spark, folder):
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -73,6 +79,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
+    "op7_lm_score": op7_lm_score,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_topk_search": op9_topk_search,
     "op10_html": op10_html,
