@@ -13,6 +13,7 @@ from barlake.llm import (
     language_id,
     lm_scoring,
     mixing,
+    ngram_join,
     pii,
     topk_search,
 )
@@ -25,6 +26,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ngram_join(spark, folder):
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
 def op2_mix_sources(spark, folder):
     """How many words the mix takes of each document; rows that are repeated appear as often."""
     mix = mixing.mix(table(spark, folder, "documents"))
@@ -75,6 +80,7 @@ def op10_html(spark, folder):
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_mix_sources": op2_mix_sources,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_language_id": op5_language_id,
