@@ -15,6 +15,7 @@ from barlake.llm import (
     mixing,
     ngram_join,
     pii,
+    quality,
     topk_search,
 )
 from barlake.llm.common import remainder
@@ -43,6 +44,11 @@ def op3_byte_bpe(spark, folder):
                                      public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op4_quality(spark, folder):
+    """Documents by source and language, judged with the labels that some of them have."""
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_language_id(spark, folder):
     docs = table(spark, folder, "documents")
     held_out = remainder(F.col("doc_id"), 3) == 1
@@ -83,6 +89,7 @@ QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_mix_sources": op2_mix_sources,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_quality": op4_quality,
     "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
     "op7_lm_score": op7_lm_score,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import byte_bpe, language_id, mixing
+from barlake.llm import byte_bpe, language_id, mixing, ngram_join, pii
 from barlake.llm.common import remainder, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,6 +21,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                             & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
 
 
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return ngram_join.near_duplicates(docs, keep=COLUMNS).filter("kept").select(*COLUMNS)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind; n_chars counts what is left."""
+    clean = pii.redacted(docs.select(*COLUMNS))
+    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
     return mixing.mixed_documents(docs.select(*COLUMNS))
@@ -34,6 +45,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", language),
+    ("distinct", distinct),
+    ("redacted", redacted),
     ("mixed", mixed),
     ("encoded", encoded),
 ]
