@@ -98,4 +98,54 @@ QUERIES = {
     "op10_html": op10_html,
 }
 
-ORACLES: dict[str, str] = {}
+# Links between rows of `pairs(a, b)`, the classes they make, and one row per row of `items(id)`.
+_CLASSES = """
+    ends AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    reach(id, other) AS (
+        SELECT a, b FROM ends UNION SELECT r.id, l.b FROM reach r JOIN ends l ON l.a = r.other),
+    classes AS (SELECT id, least(id, min(other)) AS first FROM reach GROUP BY id),
+    degrees AS (SELECT a AS id, count(*) AS n FROM ends GROUP BY a),
+    final AS (
+        SELECT items.id, coalesce(degrees.n, 0) AS n_links, coalesce(classes.first, items.id) AS first
+        FROM items LEFT JOIN degrees USING (id) LEFT JOIN classes USING (id))"""
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_join": """
+    WITH RECURSIVE items AS (SELECT doc_id AS id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    shingles AS (
+        SELECT DISTINCT id, array_to_string(words[k:k + 4], ' ') AS shingle
+        FROM (SELECT id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS k
+              FROM items WHERE len(words) > 0)),
+    sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+    common AS (
+        SELECT x.id AS a, y.id AS b, count(*) AS n FROM shingles x JOIN shingles y
+        ON x.shingle = y.shingle AND x.id < y.id GROUP BY ALL),
+    pairs AS (
+        SELECT a, b FROM common JOIN sizes s ON s.id = a JOIN sizes t ON t.id = b
+        WHERE common.n >= 0.8 * (s.n + t.n - common.n)),""" + _CLASSES + """
+    SELECT id AS doc_id, first AS class_id, n_links, id = first AS kept FROM final""",
+    "op8_embedding_dedup": """
+    WITH RECURSIVE items AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, label FROM embeddings),
+    usable AS (
+        SELECT id, x, label FROM items WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0
+        AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        AND len(list_filter(x, lambda c: c <> 0)) > 0),
+    pairs AS (
+        SELECT p.id AS a, q.id AS b FROM usable p JOIN usable q
+        ON p.label = q.label AND p.id < q.id AND len(p.x) = len(q.x)
+        WHERE list_cosine_similarity(p.x, q.x) >= 0.98),""" + _CLASSES + """
+    SELECT id AS vec_id, n_links, first AS component_id, id = first AS kept FROM final""",
+    "op9_topk_search": """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding::DOUBLE[], lambda c: floor(64 * c)) AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    scores AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
+}
