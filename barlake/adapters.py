@@ -129,6 +129,14 @@ def universe_of(supplier: DataFrame) -> DataFrame:
     return supplier.select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol"))
 
 
+def listed_universe_of(supplier: DataFrame) -> DataFrame:
+    """Suppliers as listed symbols, and for every tenth supplier one more that never trades."""
+    traded = universe_of(supplier)
+    idle = supplier.filter(F.col("s_suppkey") % 10 == 3).select(
+        F.concat(F.lit("IDLE"), F.col("s_suppkey")).alias("symbol"))
+    return traded.unionByName(idle)
+
+
 def observation_documents_of(events: DataFrame) -> DataFrame:
     """Events as observation responses of two dates; two listed series never occur."""
     event_types = ["click", "view", "purchase", "signup", "error"]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barlake.dimensions import BAR_HISTORY_CAP, BAR_SOURCE
+from barlake.dimensions import BAR_HISTORY_CAP, BAR_HISTORY_START, BAR_SOURCE
 from barlake.functions import day_of_millis, millis_now, to_bigint_half_even, utc_date_text
 from barlake.functions.times import MILLIS_PER_DAY
 from barlake.operators.decode import parse_once
@@ -116,14 +116,16 @@ def _day_start_ms(day: str) -> int:
     return (date.fromisoformat(day) - date(1970, 1, 1)).days * MILLIS_PER_DAY
 
 
-def capped_history(bars: DataFrame, first_day: str, last_day: str,
+def capped_history(bars: DataFrame, first_day: str = BAR_HISTORY_START, last_day: str | None = None,
                    cap: int = BAR_HISTORY_CAP) -> DataFrame:
-    """Bars from the first to the last day, both included, at most `cap` per symbol, oldest kept.
+    """Bars from the first to the last day (today by default), both included, at most `cap` per
+    symbol, oldest kept.
 
     Ranking whole symbols would sort a hot one in a single task. Counting bars per symbol and day
     instead shows on which day a symbol reaches the cap: earlier days are kept whole, later ones
     dropped, and only the bars of that one day are ranked.
     """
+    last_day = last_day or datetime.now(timezone.utc).date().isoformat()
     first_ms, after_ms = _day_start_ms(first_day), _day_start_ms(last_day) + MILLIS_PER_DAY
     ranged = bars.filter((F.col("timestamp_ms") >= first_ms) & (F.col("timestamp_ms") < after_ms))
     dated = ranged.withColumn("day", day_of_millis("timestamp_ms"))

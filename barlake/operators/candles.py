@@ -82,7 +82,8 @@ def candles(ticks: DataFrame, seconds: int = 60, time_basis: str = "arrival",
 
     `time_basis` picks the clock: "arrival" (when the tick was received) or "event". Open and close
     follow that clock and the trade id, or, by arrival, the topic offset where the frame carries
-    one, as a symbol stays in one topic partition. Only partial aggregates are shuffled, so a symbol
+    one: the frame must then be of one topic, each symbol of which stays in one partition, as the
+    publisher's key makes sure; frames over several topics have to drop `offset` first. Only partial aggregates are shuffled, so a symbol
     with most of the ticks costs its task no more than the others. On a stream a window is emitted
     once it is `late_by` behind the newest tick.
     """
@@ -103,6 +104,11 @@ def candles(ticks: DataFrame, seconds: int = 60, time_basis: str = "arrival",
     return folded.withColumn("timestamp", F.col("window.end")).select(*CANDLE_COLUMNS)
 
 
+def with_day(rows: DataFrame) -> DataFrame:
+    """Candles with the day of their label, the partition of a candle table."""
+    return rows.withColumn("day", F.to_date("timestamp"))
+
+
 def line_protocol(rows: DataFrame, measurement: str = "ohlcv_1m") -> DataFrame:
     """Candles as line-protocol text, timestamps in nanoseconds."""
     fields = [F.concat(F.lit(f"{name}="), number_text(name))

@@ -46,10 +46,12 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], lim
     """The first `limit` rows of every key, with their place in it.
 
     A key is first cut to `limit` rows in each of its `shares`, so no task sorts more than a share
-    of a hot key, then to `limit` rows overall. `order` must be total for a repeatable result.
+    of a hot key, then to `limit` rows overall. Rows are dealt to shares one by one, so copies of one
+    row spread as well; which share a row is in has no influence on the result, as long as `order` is
+    total but for identical rows.
     """
     count = F.lit(shares) if isinstance(shares, int) else shares
-    share = F.pmod(F.xxhash64(*[F.col(name) for name in df.columns]), count)
+    share = F.pmod(F.xxhash64(F.monotonically_increasing_id()), count)
     salted = df.withColumn("share", share)
     by_share = Window.partitionBy(*keys, "share").orderBy(*order)
     by_key = Window.partitionBy(*keys).orderBy(*order)
@@ -61,19 +63,29 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], lim
 
 
 def previous_close(silver: DataFrame) -> DataFrame:
-    """Close, previous trading day's close and change for every symbol and day.
+    """Close, previous bar's close and change for every bar of every symbol.
 
-    Bars are reduced to one per symbol and day before the window, so the window of even the hottest
-    symbol holds no more rows than the calendar has days. Where a day has several bars, the one
-    with the largest volume counts (then the higher close).
+    Bars follow each other by trade date, those of one date by their values. Only the bars of one
+    symbol and date are ordered together; a date's first bar takes the last close of the symbol's
+    date before, which comes from one row per symbol and date, so even the hottest symbol's window
+    holds no more rows than the calendar has days.
     """
-    heaviest = F.max(F.struct("volume", "close"))["close"]
-    daily = silver.groupBy("symbol", "trade_date").agg(heaviest.alias("close"))
+    ties = [F.col(name).asc_nulls_last() for name in
+            ("open", "high", "low", "close", "volume", "vwap", "trade_count")]
+    day = Window.partitionBy("symbol", "trade_date").orderBy(*ties)
+    whole_day = day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bars = silver.select(
+        "symbol", "trade_date", "close", F.row_number().over(day).alias("place"),
+        F.lag("close").over(day).alias("before"), F.last("close").over(whole_day).alias("day_close"))
     days = Window.partitionBy("symbol").orderBy("trade_date")
-    previous = daily.withColumn("prev_close", F.lag("close").over(days))
-    return previous.withColumns({
-        "change": F.col("close") - F.col("prev_close"),
-        "change_pct": percent_change("close", "prev_close")})
+    firsts = bars.filter("place = 1").select(
+        "symbol", "trade_date", F.lag("day_close").over(days).alias("day_before"))
+    previous = bars.join(firsts, ["symbol", "trade_date"]).withColumn(
+        "prev_close", F.when(F.col("place") == 1, F.col("day_before")).otherwise(F.col("before")))
+    return previous.select(
+        "symbol", "trade_date", "close", "prev_close",
+        (F.col("close") - F.col("prev_close")).alias("change"),
+        percent_change("close", "prev_close").alias("change_pct"))
 
 
 def progress_snapshot(ticks: DataFrame, order: Column) -> DataFrame:

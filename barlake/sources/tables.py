@@ -26,26 +26,52 @@ def ensure_table(spark: SparkSession, name: str, ddl: str = BRONZE_TICK_DDL,
 
 
 def append_rows(df: DataFrame, name: str) -> None:
-    """Append to an existing table, matching columns by name."""
+    """Append to an existing table, matching columns by name.
+
+    Rows of a partition are gathered before they are written, in pieces of a size AQE chooses, so that
+    a partition gets a few files of that size and not one from every task.
+    """
+    spark = df.sparkSession
     columns = df.sparkSession.table(name).columns
-    df.select(*columns).write.insertInto(name)
+    parts = [column.name for column in spark.catalog.listColumns(name) if column.isPartition]
+    rows = df.select(*columns)
+    (rows.hint("rebalance", *parts) if parts else rows).write.insertInto(name)
 
 
 def refresh_table(df: DataFrame, name: str, sort_by: Sequence[str] = (),
                   location: str | None = None, format: str = "parquet") -> None:
-    """Rebuild a table: write it under another name, then swap it in.
+    """Rebuild a table behind a view: write a new build, then point the view at it.
 
-    A job that fails half way leaves the old table as it was. `location` is the folder for the
-    data, each build in a folder of its own, so the swap moves no files. Sorting inside each task
-    keeps a symbol's rows in few row groups without a shuffle.
+    Replacing the view is one catalog change, so readers see the old rows or the new ones and never
+    none. Older builds are removed afterwards, and a build that fails is removed at once, so one build
+    is left. `location` is the folder for the data, each build in a folder of its own. Rows are dealt by
+    range of `sort_by` and sorted, which cuts a hot symbol into several files and lets a filter on a
+    symbol skip the others.
     """
     spark = df.sparkSession
-    build = uuid.uuid4().hex
-    staging = f"{name}__{build}"
-    rows = df.sortWithinPartitions(*sort_by) if sort_by else df
+    database, _, table = name.rpartition(".")
+    build = f"{name}__{uuid.uuid4().hex}"
+    rows = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by) if sort_by else df
     writer = rows.write.format(format).mode("overwrite")
     if location:
-        writer = writer.option("path", f"{location.rstrip('/')}/{build}")
-    writer.saveAsTable(staging)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
+        writer = writer.option("path", f"{location.rstrip('/')}/{build.rpartition('__')[2]}")
+    try:
+        writer.saveAsTable(build)
+        if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType != "VIEW":
+            spark.sql(f"DROP TABLE {name}")  # made before builds stood behind views
+        spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {build}")
+    except BaseException:
+        _remove_build(spark, build, location)
+        raise
+    for old in spark.catalog.listTables(database or None, f"{table}__*"):
+        if old.name != build.rpartition(".")[2].lower():
+            _remove_build(spark, f"{database}.{old.name}" if database else old.name, location)
+
+
+def _remove_build(spark: SparkSession, build: str, location: str | None) -> None:
+    """Drop a build and, where it lies in a folder of ours, its files."""
+    spark.sql(f"DROP TABLE IF EXISTS {build}")
+    if location:
+        place = spark._jvm.org.apache.hadoop.fs.Path(
+            f"{location.rstrip('/')}/{build.rpartition('__')[2]}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

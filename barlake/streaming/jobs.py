@@ -7,10 +7,15 @@ restarted query neither loses nor repeats rows.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from barlake.operators.candles import arrival_order, candles, line_protocol, summary_lines
+from barlake.operators.candles import (
+    arrival_order, candles, line_protocol, summary_lines, with_day,
+)
 from barlake.operators.decode import (
     CANDLE_FIELDS, archive_rows, decode_ticks, decode_trades, encode_ticks,
 )
@@ -20,6 +25,9 @@ from barlake.sources.topics import topic_writer
 # `maxOffsetsPerTrigger` and the trigger interval with the volume.
 ARCHIVE_BATCH_ROWS = 500
 
+# Fixed value: seconds between two progress reports.
+REPORT_SECONDS = 10
+
 METRICS = "ticks"
 
 
@@ -75,9 +83,10 @@ def candle_stream(records: DataFrame, seconds: int = 60, time_basis: str = "arri
 
 def candle_writer(closed: DataFrame, path: str, checkpoint: str,
                   format: str = "parquet") -> DataStreamWriter:
-    """Closed candles as table rows."""
-    return (closed.writeStream.format(format)
-            .option("path", path).option("checkpointLocation", checkpoint).outputMode("append"))
+    """Closed candles as table rows, partitioned by the day of their label."""
+    return (with_day(closed).writeStream.format(format)
+            .option("path", path).option("checkpointLocation", checkpoint)
+            .partitionBy("day").outputMode("append"))
 
 
 def line_protocol_writer(closed: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
@@ -91,43 +100,86 @@ def console_writer(closed: DataFrame) -> DataStreamWriter:
     return summary_lines(closed).writeStream.format("console").option("truncate", "false")
 
 
-def drain(writer: DataStreamWriter) -> StreamingQuery:
-    """Process everything that is there, commit and stop."""
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
-
-
-def late_rows(query: StreamingQuery) -> int:
-    """Ticks dropped so far because their window had already been emitted."""
-    return sum(state.numRowsDroppedByWatermark for progress in query.recentProgress
-               for state in progress.stateOperators)
+class RunLedger:
+    """Counters of a whole run, added up batch by batch.
 
+    A query keeps reports of its latest batches only. The ledger takes them over while the query runs,
+    each batch once, and fails rather than count too little should a batch have slipped by unseen.
+    """
 
-def drain_candles(writer: DataStreamWriter) -> StreamingQuery:
+    def __init__(self):
+        self.batches: dict[int, tuple[int, int, int]] = {}
+        self.newest: tuple[int, dict] | None = None
+        self.run_id = None
+
+    def take(self, query: StreamingQuery) -> RunLedger:
+        """Add the reports that are not in the ledger yet."""
+        if self.run_id not in (None, query.runId):
+            raise ValueError("a ledger belongs to one run of a query")
+        self.run_id = query.runId
+        for progress in query.recentProgress:
+            metrics = progress.observedMetrics.get(METRICS)
+            ticks = metrics["ticks"] if metrics is not None else 0
+            late = sum(state.numRowsDroppedByWatermark for state in progress.stateOperators)
+            # A batch may be reported again without data; the report with the most rows is its own.
+            known = self.batches.get(progress.batchId, (0, 0, 0))
+            self.batches[progress.batchId] = tuple(
+                map(max, known, (ticks, progress.numInputRows, late)))
+            if ticks and (self.newest is None or progress.batchId >= self.newest[0]):
+                self.newest = (progress.batchId, metrics.asDict())
+        return self
+
+    def missed(self) -> int:
+        """Batches between the first and the last one that no report was seen of."""
+        return max(self.batches) - min(self.batches) + 1 - len(self.batches) if self.batches else 0
+
+    def totals(self) -> dict:
+        """Ticks and input rows of all batches, rows that came too late, newest symbol and price."""
+        if self.missed():
+            raise RuntimeError(f"{self.missed()} batches were not seen; the totals are not whole")
+        sums = [sum(column) for column in zip(*self.batches.values())] or [0, 0, 0]
+        newest = self.newest[1] if self.newest else {}
+        return {"ticks": sums[0], "input_rows": sums[1], "late_rows": sums[2],
+                "latest_symbol": newest.get("latest_symbol"),
+                "latest_price": newest.get("latest_price")}
+
+
+def follow(query: StreamingQuery, every: float = 0.5, report: Callable[[dict], None] | None = None,
+           report_seconds: float = REPORT_SECONDS, fail_when_late: bool = False) -> RunLedger:
+    """Watch a running query to its end and return its ledger.
+
+    `report` gets the totals so far every `report_seconds`. With `fail_when_late` the query is stopped
+    and an error raised as soon as a row was dropped behind the watermark, so that no candle stays
+    silently short.
+    """
+    ledger, told = RunLedger(), time.monotonic()
+    while True:
+        ended = query.awaitTermination(every)
+        late = ledger.take(query).totals()["late_rows"]
+        if fail_when_late and late:
+            query.stop()
+            raise RuntimeError(f"ticks arrived after their window was emitted ({late} partial rows)")
+        if report is not None and time.monotonic() - told >= report_seconds:
+            report(ledger.totals())
+            told = time.monotonic()
+        if ended:
+            return ledger
+
+
+def drain(writer: DataStreamWriter) -> RunLedger:
+    """Process everything that is there, commit and stop; returns the counters of the whole run."""
+    return follow(writer.trigger(availableNow=True).start(), every=0.05)
+
+
+def drain_candles(writer: DataStreamWriter) -> RunLedger:
     """Drain, and fail if any candle lacks ticks that came too late.
 
     Replaying a topic whose partitions cover very different spans of time can outrun `late_by`.
     Fold such a backlog as a batch from the archive, or run with a larger `late_by`.
     """
-    query = drain(writer)
-    late = late_rows(query)
-    if late:
-        raise RuntimeError(f"{late} ticks arrived after their window was emitted")
-    return query
-
-
-def run_totals(query: StreamingQuery) -> dict:
-    """Ticks over all recent batches and the newest symbol and price seen."""
-    total, newest = 0, None
-    for progress in query.recentProgress:
-        metrics = progress.observedMetrics.get(METRICS)
-        if metrics is not None:
-            total += metrics["ticks"]
-            newest = metrics if metrics["ticks"] else newest
-    return {
-        "ticks": total,
-        "latest_symbol": newest["latest_symbol"] if newest else None,
-        "latest_price": newest["latest_price"] if newest else None,
-        "input_rows": sum(progress.numInputRows for progress in query.recentProgress),
-    }
+    return follow(writer.trigger(availableNow=True).start(), every=0.05, fail_when_late=True)
+
+
+def run_candles(writer: DataStreamWriter, report: Callable[[dict], None] | None = None) -> RunLedger:
+    """Run a candle query until it is stopped; fail as soon as a tick came too late for its candle."""
+    return follow(writer.start(), report=report, fail_when_late=True)

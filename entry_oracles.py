@@ -248,8 +248,10 @@ CASE trade_id % 31 WHEN 3 THEN
   WHEN 11 THEN 'symbol' ELSE 'price' END
 """
 
-EARLY = """
-early AS (SELECT DISTINCT symbol FROM bar WHERE date < '1995-01-05' AND symbol IS NOT NULL)
+UNIVERSE = """
+universe AS (
+  SELECT 'S' || s_suppkey AS symbol FROM supplier
+  UNION ALL SELECT 'IDLE' || s_suppkey FROM supplier WHERE s_suppkey % 10 = 3)
 """
 
 ORACLES: dict[str, str] = {
@@ -287,6 +289,17 @@ FROM candle
 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1""",
     "candles_for_symbol": f"""
 WITH {TICK}, {candle('tick', 3600)}
+SELECT * REPLACE (timestamp::VARCHAR AS timestamp) FROM (
+  SELECT * FROM candle WHERE symbol = upper('click') ORDER BY timestamp DESC LIMIT 60)""",
+    "stored_candles": candle_rows(3600),
+    "stored_latest_candle": f"""
+WITH {TICK}, {candle('tick', 3600)}
+SELECT symbol, close AS price, volume, trade_count, open, high, low,
+       timestamp::VARCHAR AS timestamp
+FROM candle
+QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1""",
+    "stored_candles_for_symbol": f"""
+WITH {TICK}, {candle('tick', 3600)}
 SELECT * REPLACE (timestamp::VARCHAR AS timestamp) FROM (
   SELECT * FROM candle WHERE symbol = upper('click') ORDER BY timestamp DESC LIMIT 60)""",
     "ilp_lines": f"WITH {TICK}, {candle('tick', 3600)} {ILP} FROM candle",
@@ -304,11 +317,10 @@ WITH {DOCUMENT_BAR}
 SELECT * EXCLUDE (l_suppkey) FROM document_bar
 WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_nationkey < 10)""",
     "landing_report": f"""
-WITH {BAR}, {EARLY}, {DOCUMENT_BAR},
-landed AS (SELECT * FROM document_bar WHERE symbol IN (FROM early)
-           AND l_suppkey IN (SELECT s_suppkey FROM supplier))
-SELECT 'S' || s_suppkey AS symbol, (SELECT count(*) FROM landed) AS bars_written
-FROM supplier WHERE 'S' || s_suppkey NOT IN (SELECT symbol FROM landed)""",
+WITH {DOCUMENT_BAR}, {UNIVERSE},
+landed AS (SELECT * FROM document_bar WHERE symbol IN (SELECT symbol FROM universe))
+SELECT symbol, (SELECT count(*) FROM landed) AS bars_written
+FROM universe WHERE symbol NOT IN (SELECT symbol FROM landed)""",
     "silver_bars": SILVER_ROWS,
     "silver_table": SILVER_ROWS,
     "rejected_bars": f"""
@@ -334,26 +346,29 @@ WITH {BAR}
 SELECT * FROM bar
 WHERE EXISTS (SELECT 1 FROM supplier WHERE symbol = 'S' || s_suppkey AND s_nationkey < 10)""",
     "missing_symbols": f"""
-WITH {BAR}, {EARLY}
-SELECT 'S' || s_suppkey AS symbol FROM supplier
-WHERE NOT EXISTS (SELECT 1 FROM early WHERE symbol = 'S' || s_suppkey)""",
+WITH {BAR}, {UNIVERSE}
+SELECT symbol FROM universe
+WHERE symbol NOT IN (SELECT symbol FROM bar WHERE symbol IS NOT NULL)""",
     "bars_capped": f"""
 WITH {BAR}
 SELECT *, timestamp_ms + 86400000 AS ingested_at_ms FROM bar
 WHERE date BETWEEN '1996-01-01' AND '2001-12-31'
 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp_ms, {BAR_TIES}) <= 300""",
+    "bars_default_cap": f"""
+WITH {BAR}
+SELECT *, timestamp_ms + 86400000 AS ingested_at_ms FROM bar
+WHERE date >= '1992-01-01'
+QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp_ms, {BAR_TIES}) <= 50000""",
     "sample_bars": f"""
 WITH {BAR}
 SELECT *, timestamp_ms + 86400000 AS ingested_at_ms FROM bar
 ORDER BY symbol NULLS FIRST, timestamp_ms, {BAR_TIES} LIMIT 3""",
     "prev_close_change": f"""
 WITH {SILVER},
-daily AS (
-  SELECT symbol, trade_date, close FROM silver
-  QUALIFY row_number() OVER (PARTITION BY symbol, trade_date
-                             ORDER BY volume DESC, close DESC) = 1),
 lagged AS (
-  SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS prev_close FROM daily)
+  SELECT symbol, trade_date, close,
+         lag(close) OVER (PARTITION BY symbol ORDER BY trade_date, {BAR_TIES}) AS prev_close
+  FROM silver)
 SELECT symbol, trade_date::VARCHAR AS trade_date, close, prev_close,
        close - prev_close AS change, (close - prev_close) / prev_close * 100 AS change_pct
 FROM lagged""",

@@ -16,7 +16,6 @@ from barlake.plans import market
 from barlake.schemas import BRONZE_TICK_DDL, CANDLE_COLUMNS, TICK
 from barlake.session import configure, run_folder
 from barlake.sources.files import read_bars, write_lines
-from barlake.sources.splits import spread
 from barlake.sources.tables import append_rows, ensure_table
 from barlake.streaming import jobs
 
@@ -66,18 +65,18 @@ def record_stream(spark: SparkSession, folder: str) -> DataFrame:
 # Ticks
 
 def decode_ticks(spark, folder):
-    envelopes = adapters.envelopes_of(spread(events(spark, folder)))
+    envelopes = adapters.envelopes_of(events(spark, folder))
     accepted, _ = decode.decode_trades(envelopes, F.col("seq") + 1_000, keep=["seq"])
     return accepted
 
 
 def rejected_envelopes(spark, folder):
-    envelopes = adapters.envelopes_of(spread(events(spark, folder)))
+    envelopes = adapters.envelopes_of(events(spark, folder))
     return decode.decode_trades(envelopes, F.col("seq"), keep=["seq"])[1].select("seq", "reason")
 
 
 def subscribed_ticks(spark, folder):
-    envelopes = adapters.envelopes_of(spread(events(spark, folder)))
+    envelopes = adapters.envelopes_of(events(spark, folder))
     accepted, _ = decode.decode_trades(
         envelopes, F.col("seq") + 1_000, symbols=["CLICK", "VIEW"], keep=["seq"])
     return accepted
@@ -92,12 +91,12 @@ def topic_records(spark, folder):
 
 
 def bronze_ticks(spark, folder):
-    accepted, _ = decode.decode_ticks(adapters.records_of(spread(events(spark, folder))))
+    accepted, _ = decode.decode_ticks(adapters.records_of(events(spark, folder)))
     return as_text(decode.archive_rows(accepted))
 
 
 def rejected_ticks(spark, folder):
-    records = adapters.records_of(spread(events(spark, folder)))
+    records = adapters.records_of(events(spark, folder))
     return decode.decode_ticks(records, keep=["offset"])[1].select("offset", "reason")
 
 
@@ -107,7 +106,7 @@ def bronze_table(spark, folder):
     name = "bronze_ticks_" + place.rpartition("-")[2]
     ensure_table(spark, name, BRONZE_TICK_DDL, ["day"], place)
     ensure_table(spark, name, BRONZE_TICK_DDL, ["day"], place)
-    accepted, _ = decode.decode_ticks(adapters.records_of(spread(events(spark, folder))))
+    accepted, _ = decode.decode_ticks(adapters.records_of(events(spark, folder)))
     append_rows(decode.archive_rows(accepted), name)
     return as_text(spark.table(name))
 
@@ -143,6 +142,25 @@ def candles_for_symbol(spark, folder):
     return market.symbol_candles(hourly(spark, folder), "click")
 
 
+def candle_table(spark, folder):
+    """Hourly candles stored by day, as the candle stream leaves them, and read back."""
+    place = run_folder(configure(spark), "candle_table")
+    candles.with_day(hourly(spark, folder)).hint("rebalance", "day").write.partitionBy("day").parquet(place)
+    return spark.read.schema(f"{CANDLE_DDL}, day DATE").parquet(place)
+
+
+def stored_candles(spark, folder):
+    return as_text(candle_table(spark, folder).select(*CANDLE_COLUMNS))
+
+
+def stored_latest_candle(spark, folder):
+    return market.latest_prices(candle_table(spark, folder).drop("day"))
+
+
+def stored_candles_for_symbol(spark, folder):
+    return market.symbol_candles(candle_table(spark, folder), "click")
+
+
 def ilp_lines(spark, folder):
     """Line protocol, written to text files and read back."""
     place = run_folder(configure(spark), "ilp_lines")
@@ -157,12 +175,12 @@ def candle_summaries(spark, folder):
 # Daily bars
 
 def bar_documents(spark, folder):
-    documents = bars.parse_bar_documents(adapters.bar_documents_of(spread(lineitem(spark, folder))))
+    documents = bars.parse_bar_documents(adapters.bar_documents_of(lineitem(spark, folder)))
     return bars.bars_from_documents(documents, F.col("bar.t") + 1)[0]
 
 
 def rejected_document_bars(spark, folder):
-    documents = bars.parse_bar_documents(adapters.bar_documents_of(spread(lineitem(spark, folder))))
+    documents = bars.parse_bar_documents(adapters.bar_documents_of(lineitem(spark, folder)))
     rejected = bars.bars_from_documents(documents)[1]
     return rejected.select("symbol", F.col("bar.t").alias("timestamp_ms"), "reason")
 
@@ -170,7 +188,7 @@ def rejected_document_bars(spark, folder):
 def landed_bars(spark, folder):
     """Documents of the universe written as JSON lines, read back as bronze bars."""
     place = run_folder(configure(spark), "landed_bars")
-    documents = adapters.bar_documents_of(spread(lineitem(spark, folder)))
+    documents = adapters.bar_documents_of(lineitem(spark, folder))
     universe = adapters.universe_of(supplier(spark, folder).filter(F.col("s_nationkey") < 10))
     market.land_bars(documents, universe, place, F.col("bar.t") + 1)
     return read_bars(spark, place)
@@ -179,11 +197,9 @@ def landed_bars(spark, folder):
 def landing_report(spark, folder):
     """Bars written by a landing run and the listed symbols that had none."""
     place = run_folder(configure(spark), "landing_report")
-    first_days = bronze(spark, folder).filter(F.col("date") < "1995-01-05").select("symbol")
-    documents = adapters.bar_documents_of(spread(lineitem(spark, folder)))
-    early = documents.join(first_days.distinct(), "symbol", "left_semi")
-    universe = adapters.universe_of(supplier(spark, folder))
-    rows, missing = market.land_bars(early, universe, place, F.col("bar.t") + 1)
+    documents = adapters.bar_documents_of(lineitem(spark, folder))
+    universe = adapters.listed_universe_of(supplier(spark, folder))
+    rows, missing = market.land_bars(documents, universe, place, F.col("bar.t") + 1)
     return missing.select("symbol", F.lit(rows).cast("bigint").alias("bars_written"))
 
 
@@ -217,14 +233,19 @@ def universe_bars(spark, folder):
 
 
 def missing_symbols(spark, folder):
-    first_days = bronze(spark, folder).filter(F.col("date") < "1995-01-05")
-    return bars.missing_symbols(adapters.universe_of(supplier(spark, folder)), first_days)
+    universe = adapters.listed_universe_of(supplier(spark, folder))
+    return bars.missing_symbols(universe, bronze(spark, folder))
 
 
 def bars_capped(spark, folder):
     return bars.capped_history(bronze(spark, folder), "1996-01-01", "2001-12-31", 300)
 
 
+def bars_default_cap(spark, folder):
+    """The capped history with the default cap."""
+    return bars.capped_history(bronze(spark, folder), "1992-01-01")
+
+
 def sample_bars(spark, folder):
     return market.sample_bars(bronze(spark, folder))
 
@@ -236,33 +257,33 @@ def prev_close_change(spark, folder):
 # Boards
 
 def macro_pulse(spark, folder):
-    return market.macro_pulse(adapters.observation_documents_of(spread(events(spark, folder))))
+    return market.macro_pulse(adapters.observation_documents_of(events(spark, folder)))
 
 
 def series_history(spark, folder):
-    rows = boards.observations(adapters.observation_documents_of(spread(events(spark, folder))))
+    rows = boards.observations(adapters.observation_documents_of(events(spark, folder)))
     return boards.newest_observations(rows, 5)
 
 
 def index_board(spark, folder):
-    return market.index_board(adapters.index_documents_of(spread(events(spark, folder))))
+    return market.index_board(adapters.index_documents_of(events(spark, folder)))
 
 
 def forex_board(spark, folder):
-    return market.forex_board(adapters.forex_documents_of(spread(events(spark, folder))))
+    return market.forex_board(adapters.forex_documents_of(events(spark, folder)))
 
 
 def commodity_board(spark, folder):
-    return market.commodity_board(adapters.commodity_documents_of(spread(events(spark, folder))))
+    return market.commodity_board(adapters.commodity_documents_of(events(spark, folder)))
 
 
 def quote_changes(spark, folder):
-    documents = adapters.forex_documents_of(spread(events(spark, folder)))
+    documents = adapters.forex_documents_of(events(spark, folder))
     return boards.quote_changes(documents).drop("value")
 
 
 def index_changes(spark, folder):
-    documents = adapters.index_documents_of(spread(events(spark, folder)))
+    documents = adapters.index_documents_of(events(spark, folder))
     return boards.index_changes(documents).drop("value")
 
 
@@ -311,8 +332,8 @@ def stream_published(spark, folder):
 def stream_totals(spark, folder):
     """Counters of an archive run, taken from the progress of the query."""
     place = run_folder(configure(spark), "stream_totals")
-    totals = jobs.run_totals(jobs.drain(jobs.archive_writer(
-        record_stream(spark, folder), f"{place}/rows", f"{place}/checkpoint")))
+    totals = jobs.drain(jobs.archive_writer(
+        record_stream(spark, folder), f"{place}/rows", f"{place}/checkpoint")).totals()
     return spark.createDataFrame(
         [(totals["ticks"], totals["latest_symbol"], totals["latest_price"])],
         "ticks BIGINT, latest_symbol STRING, latest_price DOUBLE")
@@ -323,10 +344,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         decode_ticks, rejected_envelopes, subscribed_ticks, topic_records, bronze_ticks,
         rejected_ticks, bronze_table, progress_snapshot,
         ohlcv_1m, ohlcv_1h, ohlcv_1m_event_time, ohlcv_aligned_77s, latest_candle,
-        candles_for_symbol, ilp_lines, candle_summaries,
+        candles_for_symbol, stored_candles, stored_latest_candle, stored_candles_for_symbol,
+        ilp_lines, candle_summaries,
         bar_documents, rejected_document_bars, landed_bars, landing_report,
         silver_bars, silver_table, rejected_bars, bars_for_symbol, symbols,
-        universe_bars, missing_symbols, bars_capped, sample_bars, prev_close_change,
+        universe_bars, missing_symbols, bars_capped, bars_default_cap, sample_bars, prev_close_change,
         macro_pulse, series_history, index_board, forex_board, commodity_board,
         quote_changes, index_changes,
         stream_bronze, stream_rejected, stream_candles, stream_ilp_lines, stream_published,

@@ -142,6 +142,9 @@ def test_refresh_replaces_the_table_and_a_failed_one_leaves_it(spark, tmp_path):
     with pytest.raises(PySparkException):
         market.refresh_silver(frame(spark, bar("D", date="bad")), "silver_t", place)
     assert spark.table("silver_t").count() == 2
+    builds = [row.name for row in spark.catalog.listTables() if row.name.startswith("silver_t__")]
+    assert len(builds) == 1
+    assert [path.name for path in (tmp_path / "silver").iterdir()] == [builds[0].rpartition("__")[2]]
     market.refresh_silver(frame(spark, bar("E")), "silver_managed")
     assert market.symbol_list(spark.table("silver_managed")).first().symbol == "E"
 
@@ -219,17 +222,41 @@ def test_top_per_key_equals_ranking(spark, limit, shares):
     assert sorted(tuple(row) for row in got.collect()) == expected
 
 
-def test_previous_close_skips_to_the_previous_trading_day(spark):
+def test_previous_close_follows_every_bar(spark):
     silver = bars.silver_bars(frame(
         spark, bar(date="2024-01-05", close=4.0), bar(date="2024-01-02", close=2.0),
         bar(date="2024-01-05", close=5.0, volume=99.0), bar(date="2024-01-09", close=5.0),
         bar("B", close=7.0)))
-    got = latest.previous_close(silver).orderBy("symbol", "trade_date").collect()
+    got = latest.previous_close(silver).orderBy("symbol", "trade_date", "close").collect()
     assert [(row.close, row.prev_close, row.change, row.change_pct) for row in got] == [
-        (2.0, None, None, None), (5.0, 2.0, 3.0, 150.0), (5.0, 5.0, 0.0, 0.0),
-        (7.0, None, None, None)]
+        (2.0, None, None, None), (4.0, 2.0, 2.0, 100.0), (5.0, 4.0, 1.0, 25.0),
+        (5.0, 5.0, 0.0, 0.0), (7.0, None, None, None)]
 
 
 def test_sample_is_the_same_every_time(spark):
     rows = frame(spark, *random_bars(200, 1))
     assert market.sample_bars(rows).collect() == market.sample_bars(rows.repartition(9)).collect()
+
+
+def test_copies_of_one_row_are_dealt_to_all_shares(spark):
+    rows = spark.createDataFrame([("a", 1)] * 1000, "k STRING, v INT")
+    plan = latest.top_per_key(rows, ["k"], [F.col("v")], 10, 8)
+    assert plan.count() == 10
+    shares = rows.withColumn("s", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(8)))
+    assert shares.groupBy("s").count().agg(F.max("count")).first()[0] < 300
+
+
+def test_append_gathers_a_partition_into_few_files(spark, tmp_path):
+    tables.ensure_table(spark, "gathered", "v BIGINT, day STRING", ["day"], str(tmp_path / "g"))
+    rows = spark.range(0, 4000, 1, 16).select(
+        F.col("id").alias("v"), (F.col("id") % 3).cast("string").alias("day"))
+    tables.append_rows(rows, "gathered")
+    assert spark.table("gathered").count() == 4000
+    files = [len(list(day.glob("*.parquet"))) for day in (tmp_path / "g").glob("day=*")]
+    assert len(files) == 3 and max(files) <= 2
+
+
+def test_capped_history_reaches_from_its_fixed_start_to_today(spark):
+    rows = frame(spark, bar("A", date="2023-12-31", timestamp_ms=1703980800000),
+                 bar("A", date="2024-01-02", timestamp_ms=1704153600000))
+    assert [row.date for row in bars.capped_history(rows).collect()] == ["2024-01-02"]

@@ -1,7 +1,9 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from entry_oracles import ORACLES
+from entry_queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ["events", "lineitem", "supplier"]
@@ -16,17 +18,17 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
     assert entry(spark).count() == 5
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_oracle(spark, duck, name):
-    got = queries()[name](spark, FOLDER)
-    cursor = duck.execute(oracle_sql()[name])
+    got = QUERIES[name](spark, FOLDER)
+    cursor = duck.execute(ORACLES[name])
     columns = sorted(column[0] for column in cursor.description)
     place = {column[0]: index for index, column in enumerate(cursor.description)}
     expected = sorted(repr([row[place[c]] for c in columns]) for row in cursor.fetchall())

@@ -4,7 +4,6 @@ import pytest
 
 from barlake.dimensions import MAX_BROADCAST_ROWS, broadcast_listed, dimension, in_list_order
 from barlake.session import RUNTIME_CONF, configure, run_folder, shared_folder
-from barlake.sources.splits import spread
 
 
 def session(master, folder=None):
@@ -48,12 +47,3 @@ def test_list_order(spark, length, exchanges):
     assert plan.count("Exchange rangepartitioning") == exchanges
     assert [row.position for row in ordered.collect()] == list(range(length))
 
-
-def test_spread_helps_small_scans_only(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == cores
-    assert spread(spark.range(0, 10, 1, cores)).rdd.getNumPartitions() == cores
-    many = spark.range(0, 10, 1, 3 * cores)
-    assert spread(many) is many
-    stream = spark.readStream.format("rate").load()
-    assert spread(stream) is stream

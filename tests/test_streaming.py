@@ -48,7 +48,7 @@ def topic(spark, tmp_path):
 def run_candles(topic, seconds=60, basis="arrival", late_by="10 seconds"):
     closed = jobs.candle_stream(topic.stream(), seconds, basis, late_by)
     query = jobs.drain(jobs.candle_writer(closed, topic.path("candles"), topic.path("state")))
-    return query, topic.spark.read.schema(CANDLE_DDL).parquet(topic.path("candles"))
+    return query, topic.spark.read.schema(CANDLE_DDL).parquet(topic.path("candles")).drop("day")
 
 
 def test_streamed_candles_equal_batch_but_for_open_windows(topic):
@@ -81,13 +81,46 @@ def test_ticks_behind_the_watermark_are_dropped_and_counted(topic):
                tick("A", 1.0, 1.0, 5, ALIGN_MS + 600_000, 0))
     query, rows = run_candles(topic, basis="event")
     assert [(row[2], row[6]) for row in candle_rows(rows)] == [(1.0, 1), (1.0, 2)]
-    assert jobs.late_rows(query) == 1
-    with pytest.raises(RuntimeError, match="1 ticks"):
+    assert query.totals()["late_rows"] == 1
+    with pytest.raises(RuntimeError, match="1 partial rows"):
         jobs.drain_candles(jobs.candle_writer(
             jobs.candle_stream(topic.stream(), 60, "event"),
             topic.path("candles2"), topic.path("state2")))
 
 
+def test_totals_cover_more_batches_than_a_query_remembers(topic):
+    rows = [tick("A", 1.0, 1.0, n, ALIGN_MS + 1_000, n) for n in range(160)]
+    for row in rows:
+        topic.send(row)
+    told = []
+    query = jobs.archive_writer(topic.stream(), topic.path("bronze"), topic.path("state")).trigger(
+        availableNow=True).start()
+    totals = jobs.follow(query, 0.05, told.append, report_seconds=0.5).totals()
+    assert totals["ticks"] == totals["input_rows"] == 160
+    assert topic.spark.read.parquet(topic.path("bronze")).count() == 160
+    assert told and told[0]["ticks"] <= told[-1]["ticks"] <= 160
+
+
+def test_an_early_late_tick_fails_a_long_drain(topic):
+    topic.send(tick("A", 1.0, 1.0, 0, ALIGN_MS + 300_000, 0))
+    topic.send(tick("A", 1.0, 1.0, 1, ALIGN_MS + 301_000, 0))
+    topic.send(tick("A", 1.0, 1.0, 2, ALIGN_MS + 2_000, 0), tick("A", 1.0, 1.0, 3, ALIGN_MS + 302_000, 0))
+    for n in range(4, 40):
+        topic.send(tick("A", 1.0, 1.0, n, ALIGN_MS + 300_000 + n, 0))
+    closed = jobs.candle_stream(topic.stream(), 60, "event")
+    with pytest.raises(RuntimeError, match="after their window was emitted"):
+        jobs.drain_candles(jobs.candle_writer(closed, topic.path("candles"), topic.path("state")))
+    with pytest.raises(RuntimeError, match="after their window was emitted"):
+        jobs.run_candles(jobs.candle_writer(closed, topic.path("candles2"), topic.path("state2")))
+
+
+def test_a_ledger_with_a_gap_does_not_add_up():
+    ledger = jobs.RunLedger()
+    ledger.batches = {3: (1, 1, 0), 5: (1, 1, 0)}
+    with pytest.raises(RuntimeError, match="1 batches were not seen"):
+        ledger.totals()
+
+
 def test_archive_and_quarantine_split_the_topic(topic):
     ticks = random_ticks(50, 4)
     topic.send(*ticks[:25], "{bad", '{"symbol":"A"}')
@@ -101,7 +134,7 @@ def test_archive_and_quarantine_split_the_topic(topic):
         ("binance", "2025-12-31"), ("binance", "2026-01-01")}
     bad = topic.spark.read.schema("value STRING, reason STRING").parquet(topic.path("bad"))
     assert sorted(row.value for row in bad.collect()) == ['{"symbol":"A"}', "{bad"]
-    totals = jobs.run_totals(query)
+    totals = query.totals()
     newest = max(ticks, key=lambda row: (row[5], row[3]))
     assert totals["ticks"] == 51 and totals["input_rows"] == 53
     assert totals["latest_symbol"] in {row[0] for row in ticks}
@@ -157,6 +190,7 @@ def test_line_protocol_and_console_sinks(topic):
     lines = [row.value for row in topic.spark.read.text(topic.path("ilp")).collect()]
     assert lines == ["ohlcv_1m,symbol=A open=1.5,high=1.5,low=1.5,close=1.5,volume=2.0,"
                      f"trade_count=1i {(ALIGN_MS + 60_000) * 1_000_000}"]
-    query = jobs.drain(jobs.console_writer(jobs.candle_stream(topic.stream())))
+    query = jobs.console_writer(jobs.candle_stream(topic.stream())).trigger(availableNow=True).start()
+    jobs.follow(query)
     assert all("Console" in progress.sink.description for progress in query.recentProgress)
     assert sum(progress.sink.numOutputRows for progress in query.recentProgress) == 1
