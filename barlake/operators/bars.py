@@ -13,6 +13,7 @@ from barlake.operators.decode import parse_once
 from barlake.operators.latest import top_per_key
 from barlake.operators.quality import passes, require_valid, split_valid
 from barlake.schemas import BAR_DOCUMENT
+from barlake.session import run_folder
 
 # Fields of a provider bar that must be present, with the column each one becomes.
 REQUIRED_BAR_FIELDS = {
@@ -123,7 +124,8 @@ def capped_history(bars: DataFrame, first_day: str = BAR_HISTORY_START, last_day
 
     Ranking whole symbols would sort a hot one in a single task. Counting bars per symbol and day
     instead shows on which day a symbol reaches the cap: earlier days are kept whole, later ones
-    dropped, and only the bars of that one day are ranked.
+    dropped, and only the bars of that one day are ranked. The counts read two columns and are taken
+    once: at most one row per capped symbol is written to the run folder for both branches that follow.
     """
     last_day = last_day or datetime.now(timezone.utc).date().isoformat()
     first_ms, after_ms = _day_start_ms(first_day), _day_start_ms(last_day) + MILLIS_PER_DAY
@@ -139,6 +141,10 @@ def capped_history(bars: DataFrame, first_day: str = BAR_HISTORY_START, last_day
                          F.col("day").alias("last_day"),
                          (F.lit(cap) - F.col("reached") + F.col("day_rows")).alias("room"),
                          F.ceil(F.sqrt(F.col("day_rows") / cap)).alias("shares")))
+    spark = bars.sparkSession
+    place = run_folder(spark, "capped_history")
+    last_days.write.parquet(place)
+    last_days = spark.read.schema(last_days.schema).parquet(place)
     joined = dated.join(
         last_days, F.col("symbol").eqNullSafe(F.col("capped_symbol")), "left")
     columns = bars.columns

@@ -95,6 +95,21 @@ def observations(documents: DataFrame) -> DataFrame:
     return listed.select("series_id", "seq", "place", "observation.date", "observation.value")
 
 
+def latest_of_documents(documents: DataFrame) -> DataFrame:
+    """The newest observation per series, straight from the documents.
+
+    Each document is reduced to its own newest observation inside its row, so the aggregate, which has
+    to sort as its buffer holds text, sees one row per document and not one per observation.
+    """
+    parsed = parse_once(documents, F.from_json("value", OBSERVATION_DOCUMENT), "document")
+    listed = F.transform("document.observations", lambda observation, place: F.struct(
+        observation["date"].alias("date"), F.col("seq").alias("seq"), (-place).alias("place"),
+        observation["value"].alias("value")))
+    own = parsed.select("series_id", F.array_max(listed).alias("own")).filter("own is not null")
+    return own.groupBy("series_id").agg(F.max("own").alias("newest")).select(
+        "series_id", "newest.value", "newest.date")
+
+
 def latest_observation(rows: DataFrame) -> DataFrame:
     """The newest observation per series; of several for one date, the one landed last."""
     newest = F.max(F.struct("date", "seq", -F.col("place"), "value"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql.types import StructType
 
 from barlake.dimensions import (
     COMMODITY_TICKERS, FOREX_TICKERS, INDEX_TICKERS, MACRO_SERIES, broadcast_listed, dimension,
@@ -15,9 +16,10 @@ from barlake.operators.bars import (
     parse_bar_documents, silver_bars,
 )
 from barlake.operators.boards import (
-    index_changes, latest_observation, observations, quote_changes,
+    index_changes, latest_of_documents, quote_changes,
 )
 from barlake.operators.latest import latest_documents, latest_row, newest
+from barlake.schemas import BAR
 from barlake.sources.files import read_bars, write_json_lines
 from barlake.sources.tables import refresh_table
 
@@ -88,7 +90,7 @@ def macro_pulse(documents: DataFrame, series: Sequence[tuple] = MACRO_SERIES) ->
     """Every listed indicator with its newest observation, nulls where there is none."""
     keys = dimension(documents.sparkSession, series, ["indicator", "series_id", "label"])
     listed = documents.filter(F.col("series_id").isin([series_id for _, series_id, _ in series]))
-    latest = latest_observation(observations(listed))
+    latest = latest_of_documents(listed)
     board = keys.join(broadcast_listed(latest, series), "series_id", "left")
     return in_list_order(board, series).select("indicator", "label", "value", "date")
 
@@ -101,14 +103,14 @@ def land_bars(documents: DataFrame, universe: DataFrame, path: str,
 
     Documents are texts (`value`), which are parsed after those outside the universe are gone, or
     already parsed. The count is taken while writing, and the missing symbols are read off the
-    written bars, so nothing is parsed twice.
+    written bars, of which only the symbol is parsed.
     """
     listed = in_universe(documents, universe)
     parsed = parse_bar_documents(listed) if "value" in listed.columns else listed
     bars, _ = bars_from_documents(parsed, received_ms)
     written = Observation("bars")
     write_json_lines(bars.observe(written, F.count(F.lit(1)).alias("rows")), path)
-    landed = read_bars(documents.sparkSession, path)
+    landed = read_bars(documents.sparkSession, path, StructType([BAR["symbol"]]))
     return written.get["rows"], missing_symbols(universe, landed)
 
 
