@@ -1,0 +1,108 @@
+"""The pipeline against what its stages must do, worked out by hand and by the public encoder."""
+
+import hashlib
+import random
+import struct
+from collections import Counter
+
+import public_tokenizers
+import pytest
+import tiktoken
+
+import corpus_pipeline
+from barlake.llm import byte_bpe
+from tests.llm.test_pairs import brute_force
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string"
+WORDS = {"en": "house under yellow often walks garden river bread",
+         "fr": "maison sous jaune souvent marche jardin rivière pain"}
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    draw = random.Random(5)
+    rows = []
+    for k in range(90):
+        lang = draw.choice(["en", "fr"])
+        text = " ".join(draw.choices(WORDS[lang].split(), k=draw.randint(8, 40)))
+        rows.append([k, text, lang, f"src{k % 4}"])
+    rows += [[100 + k, rows[k][1], "en", "src0"] for k in range(12)]  # copies
+    rows += [[200 + k, rows[k][1] + " more", "en", "src1"] for k in range(12)]  # near copies
+    rows += [[300, "12 34 !", "en", "src2"], [301, None, "en", "src2"], [302, "", None, None],
+             [303, "house under yellow a@b.example or +1 555 010 1234", "en", None], list(rows[5])]
+    place = str(tmp_path_factory.mktemp("corpus"))
+    table = [(*row, len(row[1] or ""), "x") for row in rows]
+    spark.createDataFrame(table, SCHEMA).write.parquet(f"{place}/documents.parquet")
+    return place
+
+
+def stage_results(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    found = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stored(stage(spark, docs, folder), f"test-{name}")
+        found.append(docs)
+    return found
+
+
+def test_every_stage_works_on_what_the_one_before_kept(spark, folder):
+    start, language, distinct, redacted, mixed, encoded = [
+        [row.asDict() for row in frame.collect()] for frame in stage_results(spark, folder)]
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "language", "distinct", "redacted", "mixed", "encoded"]
+    for rows in (language, distinct, redacted, mixed):
+        assert set(rows[0]) == set(corpus_pipeline.COLUMNS)
+
+    rejected = {300, 301, 302}
+    assert Counter(r["doc_id"] for r in language) == Counter(
+        r["doc_id"] for r in start if r["doc_id"] not in rejected)
+
+    _, classes = brute_force([(r["doc_id"], r["text"]) for r in language])
+    assert sorted(r["doc_id"] for r in distinct) == sorted(set(classes.values()))
+
+    texts = {r["doc_id"]: r["text"] for r in distinct}
+    for r in redacted:
+        expected = texts[r["doc_id"]]
+        if r["doc_id"] == 303:
+            expected = "house under yellow [EMAIL] or [PHONE]"
+        assert r["text"] == expected and r["n_chars"] == len(expected)
+    assert len(redacted) == len(distinct)
+
+    size = Counter()
+    taken = Counter()
+    for r in redacted:
+        size[r["source"]] += len(r["text"].split())
+    for r in mixed:
+        taken[r["source"]] += len(r["text"].split())
+    order = sorted(size, key=lambda s: (s is None, s))
+    weights = {source: 1 + k % 3 for k, source in enumerate(order)}
+    targets, full = {}, {}
+    while True:
+        rest = sum(size.values()) - sum(full.values())
+        unit = rest / sum(weights[s] for s in size if s not in full)
+        over = {s: 3 * size[s] for s in size if s not in full and unit * weights[s] > 3 * size[s]}
+        if not over:
+            break
+        full.update(over)
+    targets = {s: full.get(s, unit * weights[s]) for s in size}
+    longest = max(len(r["text"].split()) for r in redacted)
+    assert all(abs(taken[s] - targets[s]) <= longest for s in size)
+    assert max(Counter(r["doc_id"] for r in mixed).values()) <= 3
+
+    encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                                mergeable_ranks=byte_bpe.read_ranks(
+                                    public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    digests = Counter()
+    for r in mixed:
+        ids = encoder.encode_ordinary(r["text"])
+        digests[r["doc_id"], len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(),
+                hashlib.sha256(r["text"].encode()).hexdigest()] += 1
+    assert digests == Counter(tuple(r[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"))
+                              for r in encoded)
+    assert digests == Counter(tuple(row) for row in corpus_pipeline.run(spark, folder).select(
+        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())
+
+
+def test_an_empty_table_goes_through(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
