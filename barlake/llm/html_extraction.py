@@ -46,22 +46,27 @@ FURNITURE = frozenset(
     "comment comments commentlist respond disqus discussion reply replies share sharing social related "
     "recommended newsletter subscribe subscription signup login search skip contentinfo complementary "
     "dialog widget teaser".split())
-ROOTS = frozenset("html body article main".split())
+COMMENT = frozenset("comment comments reply replies ad ads advert promo related teaser".split())
 SCORED = frozenset("p pre blockquote td dd li h1 h2 h3 h4 h5 h6 div section article main body".split())
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "furniture", "text", "linked", "score", "level")
+    __slots__ = ("tag", "parts", "parent", "furniture", "suspect", "text", "linked", "score", "level")
 
-    def __init__(self, tag, parent, furniture=False):
-        self.tag, self.parent, self.furniture = tag, parent, furniture
+    def __init__(self, tag, parent, furniture=False, suspect=False):
+        self.tag, self.parent, self.furniture, self.suspect = tag, parent, furniture, suspect
         self.parts = []  # child nodes and texts, in page order
         self.text = self.linked = 0
         self.score = 0.0
         self.level = parent.level + 1 if parent else 0
 
 
+# Words that say a header is the article's own.
+OWN_HEADER = frozenset("article post entry story".split())
+
+
 def is_furniture(tag: str, attrs, inside_article: bool) -> bool:
+    """Whether the element can't hold article text, by its name or because it is hidden."""
     if tag in DROPPED or tag == "header" and not inside_article:
         return True
     for name, value in attrs:
@@ -69,15 +74,34 @@ def is_furniture(tag: str, attrs, inside_article: bool) -> bool:
             return True
         if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id", "role") and value and tag not in ROOTS and not FURNITURE.isdisjoint(
-                re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-            return True
-        if name in ("class", "id") and value and tag == "article" and re.search(
-                r"\b(comment|reply|ad|advert|promo|related|teaser)s?\b", value.lower()):
-            return True
     return False
 
 
+def looks_like_furniture(tag: str, attrs) -> bool:
+    """Whether class, id or role name the element as furniture."""
+    if tag in ("html", "body", "main"):
+        return False
+    for name, value in attrs:
+        if name in ("class", "id", "role") and value:
+            words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+            named = words & (COMMENT if tag == "article" else FURNITURE)
+            if named and not (named == {"header"} and words & OWN_HEADER):
+                return True
+    return False
+
+
+def clear_suspects(root: Node) -> None:
+    """A suspect is furniture, unless it holds an article or main part that is not one itself."""
+    nodes = preorder(root)
+    for node in nodes:
+        if node.tag in ("article", "main") and not node.suspect:
+            up = node.parent
+            while up is not None:
+                up.suspect, up = False, up.parent
+    for node in nodes:
+        node.furniture |= node.suspect
+
+
 class Tree(HTMLParser):
     """The element tree without furniture; repairs unclosed paragraphs, items and cells."""
 
@@ -102,8 +126,9 @@ class Tree(HTMLParser):
             return
         if tag in ("html", "body") and any(node.tag == tag for node in self._open()):
             return
-        node = Node(tag, here, here.furniture or (tag in DROPPED or tag == "header" or bool(attrs))
-                    and is_furniture(tag, attrs, any(x.tag == "article" for x in self._open())))
+        furniture = here.furniture or (tag in DROPPED or tag == "header" or bool(attrs)) and is_furniture(
+            tag, attrs, any(x.tag == "article" for x in self._open()))
+        node = Node(tag, here, furniture, bool(attrs) and looks_like_furniture(tag, attrs))
         here.parts.append(node)
         self.here = node
 
@@ -215,6 +240,7 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", html))
     tree.close()
+    clear_suspects(tree.root)
     nodes = preorder(tree.root)
     measure(nodes)
     best = max(nodes, key=lambda node: (node.score * (1 - link_share(node)), -node.level))

@@ -389,6 +389,13 @@ def test_article_is_found_among_furniture(article):
     assert html_extraction.main_text(PAGE % (article % BODY)) == TEXT
 
 
+def test_layout_classes_around_an_article_do_not_hide_it():
+    page = ("<div class='layout with-sidebar'><article><div class='post-header'><h1>Title</h1></div><p>Text, here."
+            "<div class='ad'>Buy, this.</div><p>More.</article><article class='comment'><p>No, not, at, all."
+            "</article><div class='sidebar'><p>x, y, z</div></div>")
+    assert html_extraction.main_text(page) == "Title\nText, here.\nMore."
+
+
 def test_pages_one_by_one(spark):
     deep = "<div>" * 3000 + "<p>deep, text</p>" + "</div>" * 3000
     rows = [(1, "u", PAGE % ("<article>" + BODY + "</article>"), 0), (1, "u", "<p>x", 0), (2, None, None, 0),
