@@ -23,16 +23,22 @@ def read_bar_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """Landed responses, one per file named after its key, as (key, seq, value).
+    """Landed responses, one per file, as (key, seq, value).
 
-    Later files have a larger seq, by modification time. Texts are kept whole.
+    The key is the file's name, or the value of a folder named after it (`ticker=GC%3DF/...`). Later files
+    have a larger seq, by modification time. Texts are kept whole.
     """
     files = spark.read.text(folder, wholetext=True)
     return files.select(
-        _name_in_path().alias(key),
+        (F.col(key).cast("string") if key in files.columns else _name_in_path()).alias(key),
         F.unix_micros("_metadata.file_modification_time").alias("seq"), "value")
 
 
+def write_documents(documents: DataFrame, folder: str, key: str) -> None:
+    """Responses (key, value) as text files in one folder per key; a key has one document."""
+    documents.select(key, "value").write.partitionBy(key).text(folder)
+
+
 def read_bars(spark: SparkSession, path: str, schema: StructType | None = BAR) -> DataFrame:
     """Bronze bars from JSON lines; without a schema Spark infers one from the data.
 

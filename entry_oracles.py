@@ -386,6 +386,16 @@ FROM listed JOIN index_change c ON listed.ticker = c.ticker
 JOIN newest n ON c.ticker = n.ticker AND c.seq = n.seq""",
     "forex_board": quote_board("pair", FOREX, 8),
     "commodity_board": quote_board("commodity", COMMODITIES, 6),
+    "landed_forex_board": quote_board("pair", FOREX, 8),
+    "landed_macro_pulse": f"""
+WITH series(indicator, series_id, label, event_type) AS (VALUES {SERIES}),
+newest AS (
+  SELECT event_type, value::VARCHAR AS value, strftime(ts::DATE, '%Y-%m-%d') AS date, event_id
+  FROM events
+  QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) = 1)
+SELECT indicator, label, CASE WHEN event_id % 10 NOT IN (7, 8) THEN value END AS value,
+       CASE WHEN event_id % 10 NOT IN (7, 8) THEN date END AS date
+FROM series LEFT JOIN newest USING (event_type)""",
     "quote_changes": f"""
 WITH {quotes(FOREX, 8)}
 SELECT ticker, seq, price, prev_close, change_pct, currency, error FROM quote""",

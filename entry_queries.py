@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barlake import adapters
 from barlake.adapters import table, table_stream
+from barlake.dimensions import FOREX_TICKERS, MACRO_SERIES
 from barlake.operators import bars, boards, candles, decode, latest
 from barlake.plans import market
 from barlake.schemas import BRONZE_TICK_DDL, CANDLE_COLUMNS, TICK
 from barlake.session import configure, run_folder
-from barlake.sources.files import read_bars, write_lines
+from barlake.sources.files import read_bars, read_documents, write_documents, write_lines
 from barlake.sources.tables import append_rows, ensure_table
 from barlake.streaming import jobs
 
@@ -277,6 +278,24 @@ def commodity_board(spark, folder):
     return market.commodity_board(adapters.commodity_documents_of(events(spark, folder)))
 
 
+def landed_forex_board(spark, folder):
+    """The newest quote documents as landed files, read back for the board."""
+    place = run_folder(configure(spark), "landed_forex_board")
+    documents = adapters.forex_documents_of(events(spark, folder))
+    keys = [ticker for _, ticker in FOREX_TICKERS]
+    write_documents(latest.latest_documents(documents, "ticker", "seq", keys), place, "ticker")
+    return market.forex_board(read_documents(spark, place, "ticker"))
+
+
+def landed_macro_pulse(spark, folder):
+    """The newest document of every series as landed files, read back for the report."""
+    place = run_folder(configure(spark), "landed_macro_pulse")
+    documents = adapters.observation_documents_of(events(spark, folder))
+    keys = [series_id for _, series_id, _ in MACRO_SERIES]
+    write_documents(latest.latest_documents(documents, "series_id", "seq", keys), place, "series_id")
+    return market.macro_pulse(read_documents(spark, place, "series_id"))
+
+
 def quote_changes(spark, folder):
     documents = adapters.forex_documents_of(events(spark, folder))
     return boards.quote_changes(documents).drop("value")
@@ -350,7 +369,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         silver_bars, silver_table, rejected_bars, bars_for_symbol, symbols,
         universe_bars, missing_symbols, bars_capped, bars_default_cap, sample_bars, prev_close_change,
         macro_pulse, series_history, index_board, forex_board, commodity_board,
-        quote_changes, index_changes,
+        landed_forex_board, landed_macro_pulse, quote_changes, index_changes,
         stream_bronze, stream_rejected, stream_candles, stream_ilp_lines, stream_published,
         stream_totals,
     ]
