@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -51,17 +51,20 @@ _shipped: set[str] = set()
 
 
 def ship_library(spark: SparkSession) -> None:
-    """Give the executors this package, once per application: Spark serves the archive from the driver,
-    so that Python workers can import it whether or not it is installed on their machines."""
+    """Give the executors this package, once per application: an archive in the shared folder, so that
+    Python workers can import it whether or not it is installed on their machines."""
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
-    root = Path(__file__).resolve().parents[1]
-    place = Path(tempfile.mkdtemp(prefix="barlake-")) / "barlake.zip"
-    with zipfile.ZipFile(place, "w") as archive:
+    root, archive = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as files:
         for module in sorted(root.rglob("*.py")):
-            archive.write(module, module.relative_to(root.parent))
-    context.addPyFile(str(place))
+            files.write(module, module.relative_to(root.parent))
+    place = context._jvm.org.apache.hadoop.fs.Path(f"{run_folder(spark, 'llm-library')}/barlake.zip")
+    out = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place)
+    out.write(bytearray(archive.getvalue()))
+    out.close()
+    context.addPyFile(place.toString())
     _shipped.add(context.applicationId)
 
 

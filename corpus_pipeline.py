@@ -10,8 +10,9 @@ from barlake.llm import byte_bpe, language_id, mixing, ngram_join, pii
 from barlake.llm.common import remainder, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# Documents whose best language is less likely than this are rejected, as are those without any.
-LEAST_LANGUAGE_SCORE = 0.5
+# Documents whose best language is less likely than this are rejected, as are those without any. It is
+# low, so that short but readable texts stay, which several languages may share.
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
