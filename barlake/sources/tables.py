@@ -38,6 +38,18 @@ def append_rows(df: DataFrame, name: str) -> None:
     (rows.hint("rebalance", *parts) if parts else rows).write.insertInto(name)
 
 
+def compact_partitions(rows: DataFrame, path: str, partition_by: str = "day",
+                       format: str = "parquet") -> None:
+    """Rewrite partitions that a stream left in many small files as a few large ones below `path`.
+
+    `rows` are the closed partitions to compact, for example yesterday's, read from the stream's folder.
+    Only the partitions they have are replaced, so a run may be repeated. The stream's own folder stays
+    as it is, since its sink keeps a list of its files.
+    """
+    (rows.hint("rebalance", partition_by).write.format(format).partitionBy(partition_by)
+     .option("partitionOverwriteMode", "dynamic").mode("overwrite").save(path))
+
+
 def refresh_table(df: DataFrame, name: str, sort_by: Sequence[str] = (),
                   location: str | None = None, format: str = "parquet") -> None:
     """Rebuild a table behind a view: write a new build, then point the view at it.

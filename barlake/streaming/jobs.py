@@ -8,11 +8,12 @@ restarted query neither loses nor repeats rows.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from barlake.dimensions import SUBSCRIBED_SYMBOLS
 from barlake.operators.candles import (
     arrival_order, candles, line_protocol, summary_lines, with_day,
 )
@@ -46,10 +47,10 @@ def observed(ticks: DataFrame) -> DataFrame:
         F.max_by("price", order).alias("latest_price"))
 
 
-def publish_writer(envelopes: DataFrame, format: str, options: dict[str, str],
-                   checkpoint: str) -> DataStreamWriter:
-    """Envelopes decoded and published to the tick topic, keyed by symbol."""
-    ticks, _ = decode_trades(envelopes)
+def publish_writer(envelopes: DataFrame, format: str, options: dict[str, str], checkpoint: str,
+                   symbols: Sequence[str] | None = SUBSCRIBED_SYMBOLS) -> DataStreamWriter:
+    """Envelopes of the subscribed symbols (all, if None) decoded and published, keyed by symbol."""
+    ticks, _ = decode_trades(envelopes, symbols=symbols)
     return (topic_writer(encode_ticks(observed(ticks)), format, options)
             .option("checkpointLocation", checkpoint).outputMode("append"))
 

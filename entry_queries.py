@@ -342,7 +342,7 @@ def stream_published(spark, folder):
     place = run_folder(configure(spark), "stream_published")
     envelopes = adapters.envelopes_of(table_stream(spark, folder, "events"))
     jobs.drain(jobs.publish_writer(
-        envelopes, "parquet", {"path": f"{place}/rows"}, f"{place}/checkpoint"))
+        envelopes, "parquet", {"path": f"{place}/rows"}, f"{place}/checkpoint", symbols=None))
     records = spark.read.schema("key STRING, value STRING").parquet(f"{place}/rows")
     accepted, _ = decode.decode_ticks(records, keep=["key"])
     return accepted.select("key", *[c for c in TICK.fieldNames() if c != "ingested_at_ms"])

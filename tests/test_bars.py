@@ -260,3 +260,15 @@ def test_capped_history_reaches_from_its_fixed_start_to_today(spark):
     rows = frame(spark, bar("A", date="2023-12-31", timestamp_ms=1703980800000),
                  bar("A", date="2024-01-02", timestamp_ms=1704153600000))
     assert [row.date for row in bars.capped_history(rows).collect()] == ["2024-01-02"]
+
+
+def test_compaction_replaces_only_the_partitions_it_gets(spark, tmp_path):
+    rows = spark.range(0, 3000, 1, 16).select("id", (F.col("id") % 2).cast("string").alias("day"))
+    rows.write.partitionBy("day").parquet(str(tmp_path / "stream"))
+    stream = spark.read.parquet(str(tmp_path / "stream"))
+    for day in ("0", "1", "1"):
+        tables.compact_partitions(stream.filter(F.col("day") == day), str(tmp_path / "compact"))
+    done = spark.read.parquet(str(tmp_path / "compact"))
+    assert done.count() == 3000
+    assert len(list((tmp_path / "stream").rglob("*.parquet"))) == 32
+    assert len(list((tmp_path / "compact").rglob("*.parquet"))) <= 4

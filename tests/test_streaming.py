@@ -165,7 +165,7 @@ def test_published_ticks_reach_both_readers(topic):
                  for n, s in enumerate(["A", "B", "A"])]
     topic.send(*envelopes)
     jobs.drain(jobs.publish_writer(topic.stream(), "parquet", {"path": topic.path("records")},
-                                   topic.path("state")))
+                                   topic.path("state"), symbols=["A", "B"]))
     records = topics.read_topic(topic.spark, "parquet", {"path": topic.path("records")},
                                 "key STRING, value STRING")
     assert sorted(row.key for row in records.collect()) == ["A", "A", "B"]
@@ -173,6 +173,16 @@ def test_published_ticks_reach_both_readers(topic):
     assert rejected.count() == 0 and c.candles(ticks).agg(F.sum("trade_count")).first()[0] == 3
 
 
+def test_only_subscribed_symbols_are_published_by_default(topic):
+    envelopes = [json.dumps({"data": {"e": "trade", "s": s, "p": "2.5", "q": "1", "t": n,
+                                      "T": ALIGN_MS, "m": False}})
+                 for n, s in enumerate(["BTCUSDT", "OTHER"])]
+    topic.send(*envelopes)
+    jobs.drain(jobs.publish_writer(topic.stream(), "parquet", {"path": topic.path("records")},
+                                   topic.path("state")))
+    assert [row.key for row in topic.spark.read.parquet(topic.path("records")).collect()] == ["BTCUSDT"]
+
+
 def test_batch_publish_and_options(topic):
     records = topic.spark.createDataFrame([("A", "{}")], "key STRING, value STRING")
     topics.write_topic(records, "parquet", {"path": topic.path("out")})
