@@ -115,6 +115,8 @@ class Tree(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self._end_open("p", P_WALLS)
+            if tag != "html" and self.here.furniture:  # what belongs to the body ends an open head
+                self._end_open("head", frozenset(["body"]))
         if tag in ENDERS:
             for open_tag, (enders, holders) in ENDED_BY.items():
                 if tag in enders:

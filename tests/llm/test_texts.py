@@ -396,6 +396,12 @@ def test_layout_classes_around_an_article_do_not_hide_it():
     assert html_extraction.main_text(page) == "Title\nText, here.\nMore."
 
 
+@pytest.mark.parametrize("page", [
+    "<html><head><title>T</title><body><p>One, two.</p>", "<head><style>p{}</style><div><p>One, two.</div>"])
+def test_an_unclosed_head_ends_where_the_body_begins(page):
+    assert html_extraction.main_text(page) == "One, two."
+
+
 def test_pages_one_by_one(spark):
     deep = "<div>" * 3000 + "<p>deep, text</p>" + "</div>" * 3000
     rows = [(1, "u", PAGE % ("<article>" + BODY + "</article>"), 0), (1, "u", "<p>x", 0), (2, None, None, 0),
