@@ -113,13 +113,19 @@ def connected_components(edges: DataFrame, job: str) -> DataFrame:
     links = (edges.filter("a <> b")
              .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     links = stored(links, job)
-    before = None
+    before, count = None, links.count()
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"),
+                                      F.count("*").alias("ends"))
+        # Nodes with more than a thousandth of the edges, of which there can be no more than 2,000, are
+        # looked up from a broadcast, so the edges of a large class never meet in one task.
+        hot = F.broadcast(least.filter(F.col("ends") > max(count // 1000, 1000)).select("a", "least"))
+        upward = both.filter("b > a")
         # Large star: every larger neighbour of a node hangs on the node's smallest neighbour.
-        large = (both.filter("b > a").join(least, "a")
-                 .select(F.col("b").alias("a"), F.col("least").alias("b")).distinct())
+        known = upward.join(hot, "a").unionByName(
+            upward.join(hot, "a", "left_anti").join(least.select("a", "least"), "a"))
+        large = known.select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         # Small star: a node and its smaller neighbours hang on the smallest of them.
         small_least = large.groupBy("a").agg(F.min("b").alias("least"))
         small = (large.join(small_least, "a")
@@ -131,6 +137,6 @@ def connected_components(edges: DataFrame, job: str) -> DataFrame:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, count = now, now[0]
     stars = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component")).distinct()

@@ -188,6 +188,13 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(edges.limit(0), "test").collect() == []
 
 
+def test_components_of_a_hot_star(spark):
+    star = spark.range(1, 3000).select(F.lit(5000).cast("long").alias("a"), F.col("id").alias("b"))
+    tail = spark.range(6000, 6040).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = connected_components(star.unionByName(tail), "test").groupBy("component").count().collect()
+    assert {r["component"]: r["count"] for r in got} == {1: 3000, 6000: 41}
+
+
 def test_most_frequent_cuts_where_counts_differ(spark):
     counts = spark.createDataFrame([("a", 100), ("b", 50), ("c", 3), ("d", 3), ("e", 3)], "word string, n long")
     assert {r["word"] for r in most_frequent(counts, 4).collect()} == {"a", "b"}
