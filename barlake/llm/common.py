@@ -39,7 +39,17 @@ def stored(df: DataFrame, job: str) -> DataFrame:
     are repeated because an executor was lost, read the files and compute nothing again."""
     place = run_folder(df.sparkSession, f"llm-{job}")
     df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    result = df.sparkSession.read.schema(df.schema).parquet(place)
+    result.stored_place = place
+    return result
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of stored frames that no later result reads."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(frame.stored_place)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def remainder(id_column: Column, modulus: int) -> Column:
@@ -133,7 +143,8 @@ def connected_components(edges: DataFrame, job: str) -> DataFrame:
                      F.struct(F.col("a"), F.col("least").alias("b")),
                      F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e"))
                  .select("e.a", "e.b").filter("a <> b").distinct())
-        links = stored(small, job)
+        old, links = links, stored(small, job)
+        discard(old)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.common import arrow_pass, connected_components, ship_library, stored
+from barlake.llm.common import arrow_pass, connected_components, discard, ship_library, stored
 
 # Dimensions compared before each check of the bound.
 STEPS = (8, 16, 32, 64, 128, 256, 512, 1024, 4096, 1 << 30)
@@ -141,8 +141,8 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
             cells = []
             for row in xs:
                 turned = unit_rows(np.array([row]))[0] @ axes[len(row)][:, :2]
-                spots = np.floor(turned / width).astype(int).tolist()
-                cells.append((spots + [0])[:2])
+                cell = np.floor(turned / width).astype(int).tolist()
+                cells.append((cell + [0])[:2])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([c[0] for c in cells], pa.int32()),
                  pa.array([c[1] for c in cells], pa.int32())], ["label", "x", "rep", "copies", "u", "v"])
@@ -150,9 +150,10 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
 
     label_type = reps.schema["label"].dataType.simpleString()
     id_type = reps.schema["rep"].dataType.simpleString()
-    placed = stored(arrow_pass(
+    spots = stored(arrow_pass(
         reps, f"label {label_type}, x array<double>, rep {id_type}, copies bigint, u int, v int", place),
-        "dedup-cells").withColumn("dim", F.size("x"))
+        "dedup-cells")
+    placed = spots.withColumn("dim", F.size("x"))
 
     # Tiles per cell, so that every cell knows how many its neighbours have.
     cell = ["label", "dim", "u", "v"]
@@ -210,6 +211,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
 
     found = stored(met.groupBy("label", "dim", "fu", "fv", "sa", "sb", "t0", "t1").applyInPandas(
         compare, f"a {id_type}, b {id_type}, links bigint"), "dedup-links")
+    discard(spots)
     links = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     components = connected_components(found.filter("b is not null").select("a", "b"), "dedup-components")
     known = (reps.join(links, "rep", "left")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from barlake.llm.common import arrow_pass, connected_components, ship_library, stored
+from barlake.llm.common import arrow_pass, connected_components, discard, ship_library, stored
 from barlake.llm.embedding_dedup import forest
 
 BANDS, BAND_ROWS = 21, 3
@@ -190,9 +190,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     ship_library(spark)
     keep = [id_column] if keep is None else keep
     names = [f"__k{i}" for i in range(len(keep))]
-    slim = docs.select(F.coalesce(text, F.lit("")).alias("body"), F.col(id_column).alias("id"),
-                       *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)])
-    carried = slim.columns[1:]
+    carried = ["id", *names]
+    slim = docs.select(F.col(id_column).alias("id"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)],
+                       *([] if text in keep else [F.col(text).alias("body")]))
+    body_at = 1 + keep.index(text) if text in keep else len(carried)
 
     def sign():
         shingler = Shingler(words)
@@ -201,12 +202,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
         def work(batch: pa.RecordBatch):
             keys, signs = [], []
-            for body in batch.column(0).cast(pa.binary()).to_pylist():
-                found = shingler.shingles(body)
+            for body in batch.column(body_at).cast(pa.binary()).to_pylist():
+                found = shingler.shingles(body or b"")
                 keys.append(xxhash.xxh3_128_hexdigest(found) if len(found) else None)
                 signs.append(signature(found, a, b).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(keys, pa.string()), pa.array(signs, pa.binary())],
+                [*batch.columns[:len(carried)], pa.array(keys, pa.string()), pa.array(signs, pa.binary())],
                 [*carried, "node", "sign"])
         return work
 
@@ -260,6 +261,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     likely = (bundled(dealt, ["bucket", "t0", "t1"]).join(signs, "node").groupBy("bundle")
               .applyInPandas(candidates, "a string, b string"))
     clusters = stored(connected_components(likely, "join-clusters"), "join-clustered")
+    discard(members, signs)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
     clustered = clusters.join(sizes, "component").join(nodes, "node")
 
@@ -331,6 +333,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     tiles = tiled(held, "component", "n", "node", verify_rows)
     found = stored(bundled(tiles, ["component", "t0", "t1"], 1000).groupBy("bundle")
                    .applyInPandas(verify, "a string, b string, links bigint"), "join-links")
+    discard(held, clusters)
     links = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = connected_components(found.filter("b is not null").select("a", "b"), "join-classes")
     placed = (nodes.join(classes, "node", "left").join(links, "node", "left")
