@@ -83,9 +83,9 @@ def candles(ticks: DataFrame, seconds: int = 60, time_basis: str = "arrival",
     `time_basis` picks the clock: "arrival" (when the tick was received) or "event". Open and close
     follow that clock and the trade id, or, by arrival, the topic offset where the frame carries
     one: the frame must then be of one topic, each symbol of which stays in one partition, as the
-    publisher's key makes sure; frames over several topics have to drop `offset` first. Only partial aggregates are shuffled, so a symbol
-    with most of the ticks costs its task no more than the others. On a stream a window is emitted
-    once it is `late_by` behind the newest tick.
+    publisher's key makes sure; frames over several topics have to drop `offset` first. Only partial
+    aggregates are shuffled, so a symbol with most of the ticks costs its task no more than the others.
+    On a stream a window is emitted once it is `late_by` behind the newest tick.
     """
     time_column = TIME_COLUMNS[time_basis]
     timed = ticks.withColumn("ts", instant_of_millis(time_column))
