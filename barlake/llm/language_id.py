@@ -175,8 +175,8 @@ def learn(labelled: DataFrame, text: str, lang: str, lexicon: int = 60_000, gram
     """Fit the model on all rows with a text and a language; None if there is no such row.
 
     Counts cover every word of every row. The model then keeps at most `lexicon` words and `gram_entries`
-    n-grams (rows of word and language with the highest counts, cut where counts differ), which bounds what is sent to executors;
-    all other words are unseen words and handled by backoff.
+    n-grams (rows of word and language with the highest counts, cut where counts differ), which bounds
+    what is sent to executors; all other words are unseen words and handled by backoff.
     """
     words = stored(count_words(labelled, text, lang), "language-words")
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
