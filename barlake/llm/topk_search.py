@@ -35,14 +35,14 @@ def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return left @ right.T
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= floor)
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], -scores[some]))][:k]
+def best_of(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int,
+            ) -> tuple[np.ndarray, np.ndarray]:
+    """Of scores that belong to rows, each row's k highest, ties to the smaller id: rows and places."""
+    order = np.lexsort((ids, -scores, rows))
+    sorted_rows = rows[order]
+    begins = np.searchsorted(sorted_rows, sorted_rows, side="left")
+    kept = np.arange(len(order)) - begins < k
+    return sorted_rows[kept], order[kept]
 
 
 class Cells:
@@ -76,8 +76,8 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
     than most (of two equally frequent lengths, than the longer). A table without queries or candidates
     gives an empty result; other columns are ignored.
 
-    The pivots (`pivots` vectors picked by hash) and one row per cell are all that reaches the driver.
-    Cells are split into blocks of about `block_rows`, so a cell of copies is no larger a task than
+    The pivots (vectors picked by hash, one for half a block and at most `pivots`) and one row per cell
+    are all that reaches the driver. Cells are split into blocks of about `block_rows`, so a cell of copies is no larger a task than
     another, and a block returns at most k rows per query.
     """
     ship_library(vectors.sparkSession)
@@ -88,6 +88,7 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
     if common is None:
         return vectors.sparkSession.createDataFrame([], schema)
     data = data.filter(F.size("v") == common["n"])
+    pivots = max(1, min(pivots, 2 * common["rows"] // block_rows))
     some = (data.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(pivots)
             .select("v").distinct().collect())
     centres = np.unique(np.array([r["v"] for r in some], float), axis=0)
@@ -150,21 +151,21 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
     sent = "id bigint, v array<bigint>, floor bigint, cell int, block int"
 
     def solve(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found = [np.zeros((3, 0), np.int64)]
         if len(asked) and len(held):
             left, right = np.stack(asked["v"].to_numpy()), np.stack(held["v"].to_numpy())
-            names = held["id"].to_numpy()
+            names, queries = held["id"].to_numpy(), asked["id"].to_numpy()
             floors = asked["floor"].astype(float).fillna(-np.inf).to_numpy()
             for start in range(0, len(left), 512):
-                scores = products(left[start:start + 512], right)
-                for row, (query, floor) in enumerate(zip(asked["id"].iloc[start:start + 512],
-                                                         floors[start:start + 512])):
-                    some = np.flatnonzero((scores[row] >= floor) & (names != query))
-                    best = some[best_of(scores[row][some], names[some], k)]
-                    found.append(pd.DataFrame({"query_id": query, "vec_id": names[best],
-                                               "score": scores[row][best]}))
-        return pd.concat(found) if found else pd.DataFrame(
-            {"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+                part = slice(start, start + 512)
+                scores = products(left[part], right)
+                fit = (scores >= floors[part, None]) & (names[None, :] != queries[part, None])
+                row, column = np.nonzero(fit)
+                row, best = best_of(row, scores[row, column], names[column], k)
+                found.append(np.stack([queries[part][row], names[column[best]],
+                                       scores[row, column[best]]]))
+        query, name, score = np.concatenate(found, axis=1)
+        return pd.DataFrame({"query_id": query, "vec_id": name, "score": score})
 
     def solved(asked: DataFrame) -> DataFrame:
         return (asked.groupBy("cell", "block").cogroup(placed.groupBy("cell", "block"))
