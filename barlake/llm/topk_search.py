@@ -70,10 +70,11 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
     """Each query's k highest scores: query_id, rank (from 1), vec_id, score.
 
     Queries are the rows whose id is divisible by `query_every`, candidates all rows but the query's own
-    id; the score is the inner product of the quantized vectors; ties go to the smaller id, and repeated
-    rows count as often as they are there. A query with fewer candidates gets all of them. Vectors that
-    are null or empty or hold null or non-finite components take no part, nor do those of another length
-    than most (of two equally frequent lengths, than the longer). A table without queries or candidates
+    id; the score is the inner product of the quantized vectors; ties go to the smaller id. A repeated
+    query id is one query, with the smallest of its vectors; repeated candidate rows count as often as
+    they are there. A query with fewer candidates gets all of them. Vectors that are null or empty or hold
+    null or non-finite components take no part, nor do those of another length than most (of two equally
+    frequent lengths, than the longer). A table without queries or candidates
     gives an empty result; other columns are ignored.
 
     The pivots (vectors picked by hash, one for half a block and at most `pivots`) and one row per cell
@@ -114,7 +115,9 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
     blocks = np.maximum(1, -(-counts // block_rows))
     of_cell = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), of_cell).cast("int")).drop("away")
-    queries = placed.filter(F.col("id") % query_every == 0).select("id", "v")
+    # A repeated query row is one query in both passes; its own id is never a candidate.
+    queries = stored(placed.filter(F.col("id") % query_every == 0).groupBy("id").agg(F.min("v").alias("v")),
+                     "search-queries")
 
     def route(first: bool):
         """Send queries to the blocks they need: at first to the most promising cells that hold k others
@@ -175,8 +178,7 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
     trial = solved(arrow_pass(queries, sent, route(True)))
     floors = (trial.withColumn("rank", rank).filter(F.col("rank") == k)
               .select(F.col("query_id").alias("id"), F.col("score").alias("floor")))
-    # A repeated query row is one query; its own id is never a candidate.
-    asked = queries.dropDuplicates(["id"]).join(floors, "id", "left").select("id", "v", "floor")
+    asked = queries.join(floors, "id", "left").select("id", "v", "floor")
     answers = solved(arrow_pass(stored(asked, "search-floors"), sent, route(False)))
     return (answers.withColumn("rank", rank).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int"), "vec_id", "score"))

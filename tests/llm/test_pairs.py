@@ -165,6 +165,22 @@ def test_search_equals_brute_force(spark):
     assert not got
 
 
+def test_search_with_repeated_query_and_candidate_rows(spark):
+    draw = np.random.default_rng(9)
+    vectors = {i: draw.integers(-64, 65, 4) / 64 for i in range(200)}
+    rows = [(i, v.tolist()) for i, v in vectors.items() for _ in range(5 if i % 20 == 0 else 1 + i % 2)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk_search.search(table, pivots=5, block_rows=16).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = [(i, np.floor(np.array(v) * 64).astype(int)) for i, v in rows]
+    assert sorted(got) == list(range(0, 200, 20))
+    for query, found in got.items():
+        own = np.floor(vectors[query] * 64).astype(int)
+        best = sorted((-int(own @ v), i) for i, v in whole if i != query)[:20]
+        assert sorted(found) == [(k, i, -score) for k, (score, i) in enumerate(best, 1)]
+
+
 def test_search_with_few_candidates_or_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1.0, 0.0]), (2, [-1.0, 0.5])], schema)
