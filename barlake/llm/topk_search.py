@@ -78,8 +78,10 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
     gives an empty result; other columns are ignored.
 
     The pivots (vectors picked by hash, one for half a block and at most `pivots`) and one row per cell
-    are all that reaches the driver. Cells are split into blocks of about `block_rows`, so a cell of copies is no larger a task than
-    another, and a block returns at most k rows per query.
+    are all that reaches the driver. Rows of a cell are dealt by their place in the table to blocks of
+    about `block_rows`, and the queries that a cell is asked by to parts of about as many, so a group
+    holds about that many rows of either side even where cells are wide, hot or full of copies; a block
+    returns at most k rows per query.
     """
     ship_library(vectors.sparkSession)
     data = quantized(vectors, id_column, vector)
@@ -106,48 +108,55 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
                 [*batch.columns, pa.array(cell, pa.int32()), pa.array(away)], ["id", "v", "cell", "away"])
         return work
 
-    placed = stored(arrow_pass(data, "id bigint, v array<bigint>, cell int, away double", assign),
-                    "search-cells")
+    placed = stored(arrow_pass(data, "id bigint, v array<bigint>, cell int, away double", assign)
+                    .withColumn("row", F.monotonically_increasing_id()), "search-cells")
     counts, radii = np.zeros(len(centres), int), np.zeros(len(centres))
     for row in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect():
         counts[row["cell"]], radii[row["cell"]] = row["n"], row["r"]
     cells = Cells(centres, counts, radii)
     blocks = np.maximum(1, -(-counts // block_rows))
     of_cell = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), of_cell).cast("int")).drop("away")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("row"), of_cell).cast("int")).drop("away", "row")
     # A repeated query row is one query in both passes; its own id is never a candidate.
     queries = stored(placed.filter(F.col("id") % query_every == 0).groupBy("id").agg(F.min("v").alias("v")),
                      "search-queries")
 
-    def route(first: bool):
-        """Send queries to the blocks they need: at first to the most promising cells that hold k others
-        for sure, later to every block whose bound reaches the query's score to beat."""
+    def needed(batch: pa.RecordBatch, first: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Queries (by place in the batch) and the cells they need: at first the most promising cells that
+        hold k others for sure, later every cell whose bound reaches the query's score to beat."""
+        centre, bound = cells.promises(matrix(batch.column(1)))
+        if not first:
+            beat = np.array([-np.inf if x is None else x for x in batch.column(2).to_pylist()])
+            return np.nonzero((bound >= beat[:, None]) & (cells.counts > 0)[None, :])
+        order = np.argsort(-centre, axis=1, kind="stable")
+        inside = np.cumsum(cells.counts[order], axis=1)
+        row, place = np.nonzero(inside - cells.counts[order] < 2 * k + 1)
+        return row, order[row, place]
+
+    def tally(first: bool):
+        """How many queries need each cell."""
         def make():
             def work(batch: pa.RecordBatch):
-                rows = matrix(batch.column(1))
-                centre, bound = cells.promises(rows)
-                picked_rows, picked_cells = [], []
-                if first:
-                    for number, order in enumerate(np.argsort(-centre, axis=1, kind="stable")):
-                        inside = np.cumsum(cells.counts[order])
-                        enough = int(np.searchsorted(inside, 2 * k + 1)) + 1
-                        for cell in order[:enough]:
-                            picked_rows.append(number)
-                            picked_cells.append(int(cell))
-                    floors = [None] * batch.num_rows
-                else:
-                    floors = batch.column(2).to_pylist()
-                    beat = np.array([-np.inf if x is None else x for x in floors])
-                    found = np.nonzero((bound >= beat[:, None]) & (cells.counts > 0)[None, :])
-                    picked_rows, picked_cells = found[0].tolist(), found[1].tolist()
-                out = [(number, cell, block) for number, cell in zip(picked_rows, picked_cells)
-                       for block in range(blocks[cell])]
-                take = pa.array([x[0] for x in out], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take),
-                     pa.array(floors, pa.int64()).take(take),
-                     pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())],
-                    ["id", "v", "floor", "cell", "block"])
+                cell, n = np.unique(needed(batch, first)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(n, pa.int64())],
+                                                 ["cell", "n"])
+            return work
+        return make
+
+    def route(first: bool, slice_rows: int = 8192):
+        """Send queries to all blocks of the cells they need, a slice at a time."""
+        def make():
+            def work(batch: pa.RecordBatch):
+                number, cell = needed(batch, first)
+                ends = np.cumsum(blocks[cell])
+                for start in range(0, int(ends[-1]) if len(ends) else 0, slice_rows):
+                    copy = np.arange(start, min(start + slice_rows, ends[-1]))
+                    at = np.searchsorted(ends, copy, side="right")
+                    take = pa.array(number[at], pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(i).take(take) for i in range(3)), pa.array(cell[at], pa.int32()),
+                         pa.array(copy - ends[at] + blocks[cell[at]], pa.int32())],
+                        ["id", "v", "floor", "cell", "block"])
             return work
         return make
 
@@ -170,15 +179,24 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
         query, name, score = np.concatenate(found, axis=1)
         return pd.DataFrame({"query_id": query, "vec_id": name, "score": score})
 
-    def solved(asked: DataFrame) -> DataFrame:
-        return (asked.groupBy("cell", "block").cogroup(placed.groupBy("cell", "block"))
+    def solved(asked: DataFrame, first: bool) -> DataFrame:
+        parts = np.zeros(len(centres), int)
+        for row in (arrow_pass(asked, "cell int, n bigint", tally(first))
+                    .groupBy("cell").agg(F.sum("n").alias("n")).collect()):
+            parts[row["cell"]] = -(-row["n"] // block_rows)
+        in_parts = F.element_at(F.array(*[F.lit(int(n)) for n in parts]), F.col("cell") + 1)
+        left = arrow_pass(asked, sent, route(first)).withColumn(
+            "part", F.pmod(F.xxhash64("id", F.lit(2)), in_parts).cast("int"))
+        right = placed.filter(in_parts > 0).withColumn("part", F.explode(F.sequence(F.lit(0), in_parts - 1)))
+        keys = ["cell", "block", "part"]
+        return (left.groupBy(*keys).cogroup(right.groupBy(*keys))
                 .applyInPandas(solve, "query_id bigint, vec_id bigint, score bigint"))
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    trial = solved(arrow_pass(queries, sent, route(True)))
+    trial = solved(queries.withColumn("floor", F.lit(None).cast("bigint")), True)
     floors = (trial.withColumn("rank", rank).filter(F.col("rank") == k)
               .select(F.col("query_id").alias("id"), F.col("score").alias("floor")))
     asked = queries.join(floors, "id", "left").select("id", "v", "floor")
-    answers = solved(arrow_pass(stored(asked, "search-floors"), sent, route(False)))
+    answers = solved(stored(asked, "search-floors"), False)
     return (answers.withColumn("rank", rank).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int"), "vec_id", "score"))

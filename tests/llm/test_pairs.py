@@ -181,6 +181,26 @@ def test_search_with_repeated_query_and_candidate_rows(spark):
         assert sorted(found) == [(k, i, -score) for k, (score, i) in enumerate(best, 1)]
 
 
+def test_a_hot_cell_is_searched_in_groups_of_bounded_size(spark, monkeypatch, tmp_path):
+    """One cell, candidates of one id, many queries: no product may meet many rows of either side."""
+    place = str(tmp_path)
+    plain = topk_search.products
+
+    def watched(left, right):
+        import uuid
+        with open(f"{place}/{uuid.uuid4()}", "w") as out:
+            out.write(f"{len(left)} {len(right)}")
+        return plain(left, right)
+
+    monkeypatch.setattr(topk_search, "products", watched)
+    rows = [(20 * i, [1.0, i / 64]) for i in range(400)] + [(7, [0.5, 0.5])] * 400
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_search.search(table, pivots=1, block_rows=32).collect()
+    assert len(got) == 400 * 20
+    sizes = np.array([list(map(int, x.read_text().split())) for x in tmp_path.iterdir()])
+    assert len(sizes) and sizes.max() < 4 * 32
+
+
 def test_search_with_few_candidates_or_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1.0, 0.0]), (2, [-1.0, 0.5])], schema)
