@@ -265,33 +265,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
     clustered = clusters.join(sizes, "component").join(nodes, "node")
 
-    # Shingles of the clustered nodes: a filter of bounded size picks the rows worth reading again.
-    count = clustered.count()
-    bits = 1 << min(max(int(count * 16).bit_length(), 10), 27)
-
-    def spots(column):
-        return [F.pmod(F.xxhash64(F.coalesce(column.cast("string"), F.lit("")), F.lit(k)), F.lit(bits))
-                for k in (1, 2)]
-
-    marked = (clustered.select(F.explode(F.array(*spots(F.col("id")))).alias("spot"))
-              .groupBy((F.col("spot") / 32768).cast("int").alias("block"))
-              .agg(F.collect_set((F.col("spot") % 32768).cast("int")).alias("spots")).collect())
-    filled = np.zeros(bits, bool)
-    for row in marked:
-        filled[row["block"] * 32768 + np.array(row["spots"])] = True
-    shared = spark.sparkContext.broadcast(np.packbits(filled))
-
+    # Shingles of the clustered nodes: a semi-join on their ids picks the rows worth reading again.
     def again():
-        shingler, known = Shingler(words), shared.value
+        shingler = Shingler(words)
         import xxhash
 
         def work(batch: pa.RecordBatch):
-            hit = np.ones(batch.num_rows, bool)
-            for column in (1, 2):
-                spot = batch.column(column).to_numpy()
-                hit &= (known[spot >> 3] >> (7 - (spot & 7)) & 1).astype(bool)
             keys, sets = [], []
-            for body in batch.column(0).take(pa.array(np.flatnonzero(hit))).cast(pa.binary()).to_pylist():
+            for body in batch.column(0).cast(pa.binary()).to_pylist():
                 found = shingler.shingles(body)
                 if len(found):
                     keys.append(xxhash.xxh3_128_hexdigest(found))
@@ -300,8 +281,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
                                              ["node", "shingles"])
         return work
 
-    texts = docs.select(F.coalesce(text, F.lit("")).alias("body"),
-                        *[s.alias(f"s{k}") for k, s in enumerate(spots(F.col(id_column)))])
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text).alias("body")).filter("body is not null")
+    asked = clustered.select(F.col("id").alias("asked")).distinct()
+    texts = texts.join(asked, F.col("id").eqNullSafe(F.col("asked")), "left_semi").select("body")
     read_again = arrow_pass(texts, "node string, shingles binary", again)
     held = stored(read_again.join(clustered.select("node", "component", "n", "copies"), "node")
                   .groupBy("node", "component", "n", "copies").agg(F.first("shingles").alias("shingles")),

@@ -94,6 +94,29 @@ def test_ngram_join_keeps_one_of_repeated_rows_and_takes_empty_tables(spark):
     assert ngram_join.near_duplicates(as_docs(spark, [])).collect() == []
 
 
+def test_ngram_join_collects_nothing_per_document(spark, monkeypatch):
+    draw = random.Random(3)
+    rows = []
+    for k in range(150):
+        words = [f"v{draw.randrange(10 ** 6)}" for _ in range(60)]
+        rows += [(None if k == 0 else 2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "end"]))]
+    docs, collected = as_docs(spark, rows), []
+    joined = type(docs)
+    plain = joined.collect
+
+    def watched(frame):
+        found = plain(frame)
+        collected.append(sum(len(x) if isinstance(x, (list, str, bytes)) else 1 for r in found for x in r))
+        return found
+
+    monkeypatch.setattr(joined, "collect", watched)
+    result = ngram_join.near_duplicates(docs)
+    assert sum(collected) < 100
+    monkeypatch.undo()
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in result.collect()} == {
+        (i, (1 if i in (None, 1) else i - i % 2), 1) for i, _ in rows}
+
+
 def test_pruning_steps_keep_pairs_at_the_threshold():
     steps = ngram_join.least_matches(0.8, 1e-6)
     assert [n for n, _ in steps] == list(range(16, 97, 16))
