@@ -47,13 +47,20 @@ FURNITURE = frozenset(
     "recommended newsletter subscribe subscription signup login search skip contentinfo complementary "
     "dialog widget teaser".split())
 COMMENT = frozenset("comment comments reply replies ad ads advert promo related teaser".split())
+# Furniture words that slugs of an article's own sections have as well.
+TOPICS = frozenset(
+    "advertising promotion navigation cookies consent gdpr notice alert response discussion related "
+    "recommended social share sharing search subscription login".split())
+# Only containers are furniture by class, id or role, not headings, paragraphs or inline elements.
+CONTAINERS = BLOCKS - frozenset(
+    "h1 h2 h3 h4 h5 h6 hgroup p pre blockquote address summary caption figcaption legend hr".split())
 SCORED = frozenset("p pre blockquote td dd li h1 h2 h3 h4 h5 h6 div section article main body".split())
 
 
 class Node:
     __slots__ = ("tag", "parts", "parent", "furniture", "suspect", "text", "linked", "score", "level")
 
-    def __init__(self, tag, parent, furniture=False, suspect=False):
+    def __init__(self, tag, parent, furniture=False, suspect=None):
         self.tag, self.parent, self.furniture, self.suspect = tag, parent, furniture, suspect
         self.parts = []  # child nodes and texts, in page order
         self.text = self.linked = 0
@@ -77,29 +84,58 @@ def is_furniture(tag: str, attrs, inside_article: bool) -> bool:
     return False
 
 
-def looks_like_furniture(tag: str, attrs) -> bool:
-    """Whether class, id or role name the element as furniture."""
-    if tag in ("html", "body", "main"):
-        return False
+def looks_like_furniture(tag: str, attrs) -> str | None:
+    """Whether class, id or role name a container as furniture: "firm", or "topic" if all of the words
+    may as well be the topic of a section."""
+    if tag in ("html", "body", "main") or tag not in CONTAINERS:
+        return None
+    kind = None
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
             words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
             named = words & (COMMENT if tag == "article" else FURNITURE)
-            if named and not (named == {"header"} and words & OWN_HEADER):
-                return True
-    return False
+            if named - TOPICS and not (named == {"header"} and words & OWN_HEADER):
+                return "firm"
+            if named & TOPICS:
+                kind = "topic"
+    return kind
 
 
-def clear_suspects(root: Node) -> None:
-    """A suspect is furniture, unless it holds an article or main part that is not one itself."""
+def clear_suspects(root: Node) -> list[Node]:
+    """A suspect is furniture, unless it holds an article or main part that is not one itself: those
+    that are furniture."""
     nodes = preorder(root)
     for node in nodes:
         if node.tag in ("article", "main") and not node.suspect:
             up = node.parent
             while up is not None:
-                up.suspect, up = False, up.parent
-    for node in nodes:
-        node.furniture |= node.suspect
+                up.suspect, up = None, up.parent
+    found = [node for node in nodes if node.suspect]
+    for node in found:
+        node.furniture = True
+    return found
+
+
+def restore_topics(suspects: list[Node], scope: Node) -> None:
+    """Sections of the article named by their topic: text enough, and little of it linked."""
+    for node in reversed(suspects):  # inner ones first
+        up = node.parent
+        while up is not None and up is not scope:
+            up = up.parent
+        if node.suspect != "topic" or up is None:
+            continue
+        node.text = node.linked = 0
+        stack = [(node, False)]
+        while stack:
+            here, linked = stack.pop()
+            for x in here.parts:
+                if not isinstance(x, str):
+                    if not x.furniture:
+                        stack.append((x, linked or x.tag == "a"))
+                elif length := len(x.strip()):
+                    node.text += length
+                    node.linked += length * linked
+        node.furniture = node.text < 80 or link_share(node) >= 0.25
 
 
 class Tree(HTMLParser):
@@ -130,7 +166,7 @@ class Tree(HTMLParser):
             return
         furniture = here.furniture or (tag in DROPPED or tag == "header" or bool(attrs)) and is_furniture(
             tag, attrs, any(x.tag == "article" for x in self._open()))
-        node = Node(tag, here, furniture, bool(attrs) and looks_like_furniture(tag, attrs))
+        node = Node(tag, here, furniture, looks_like_furniture(tag, attrs) if attrs else None)
         here.parts.append(node)
         self.here = node
 
@@ -242,7 +278,7 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", html))
     tree.close()
-    clear_suspects(tree.root)
+    suspects = clear_suspects(tree.root)
     nodes = preorder(tree.root)
     measure(nodes)
     best = max(nodes, key=lambda node: (node.score * (1 - link_share(node)), -node.level))
@@ -258,18 +294,24 @@ def main_text(html: str | None) -> str:
         outer = outer.parent
     if whole is not None:
         best = whole
+    restore_topics(suspects, best if whole is not None else best.parent or best)
     kept = [best]
     floor = max(10.0, 0.2 * best.score)
     if best.parent is not None:
-        kept = []
+        kept, between = [], []  # what stands between kept siblings is kept with them
         for other in best.parent.parts:
             if other is best:
-                kept.append(best)
+                kept += [*between, best]
+                between = []
             elif isinstance(other, Node) and not other.furniture and other.text:
                 share = link_share(other)
                 if (other.score >= floor or other.tag in ("article", "section") and share < 0.25
                         or other.tag in ("p", "h1", "h2", "pre", "blockquote") and share < 0.25):
-                    kept.append(other)
+                    kept += [*between, other]
+                    between = []
+                elif kept and (other.tag in ("h3", "h4", "h5", "h6", "figure")
+                               or other.tag in ("ul", "ol", "dl", "table") and share < 0.9):
+                    between.append(other)
     return "\n".join(blocks_of(kept))
 
 

@@ -396,6 +396,23 @@ def test_layout_classes_around_an_article_do_not_hide_it():
     assert html_extraction.main_text(page) == "Title\nText, here.\nMore."
 
 
+@pytest.mark.parametrize("article", ["<article>%s</article>", "<div class='post'>%s</div>"])
+def test_slugs_in_an_article_hide_nothing(article):
+    long = "Words, of the section, that go on, and on, and on, until they are, by far, more than a label has."
+    body = (f"<h2 id='related-work'>Related</h2><p class='notice'>One, two, {long}</p><h3 id='social-impact'>Impact</h3>"
+            f"<p>A <span class='search-term'>term</span>, <a id='reply-2'>here</a>, {long}</p>"
+            f"<section id='discussion'><h2>Discussion</h2><p>{long}</p></section><div class='share'>Share, it</div>")
+    assert html_extraction.main_text(PAGE % (article % body)).split("\n") == [
+        "Related", f"One, two, {long}", "Impact", f"A term, here, {long}", "Discussion", long]
+
+
+def test_what_stands_between_kept_siblings_is_kept():
+    text = "<p>Text, with, many, commas, in, it, for, points, and, more, of, them.</p>"
+    page = (f"<body><div>{text * 3}</div><h3>Next</h3><ul><li>one<li>two</ul><table><tr><td>x</table>"
+            f"<p>Last, of, all.</p><ul><li>after</ul>")
+    assert html_extraction.main_text(page).split("\n")[3:] == ["Next", "one", "two", "x", "Last, of, all."]
+
+
 @pytest.mark.parametrize("page", [
     "<html><head><title>T</title><body><p>One, two.</p>", "<head><style>p{}</style><div><p>One, two.</div>"])
 def test_an_unclosed_head_ends_where_the_body_begins(page):
