@@ -42,7 +42,8 @@ def turn_rows(conversations: DataFrame) -> DataFrame:
         digest(role, text).alias("mark"), F.octet_length(text).cast("bigint").alias("n_bytes"))
 
 
-def with_shared_openings(turns: DataFrame, lengths: DataFrame, family: int = 5, modulus: int = 9) -> DataFrame:
+def with_shared_openings(turns: DataFrame, lengths: DataFrame, family: int = 5, modulus: int = 9,
+                         block: int = BLOCK) -> DataFrame:
     """Conversations c rebuilt: the first h turns of conversation c - c % family, then c's own after its
     first h, where h is crc32 of c's decimal text modulo `modulus`. Columns conv_id, pos, mark, n_bytes.
 
@@ -53,8 +54,8 @@ def with_shared_openings(turns: DataFrame, lengths: DataFrame, family: int = 5,
     heads = lengths.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n"))
     convs = stored(convs.join(heads, "base", "left").withColumn(
         "m", F.least("h", F.coalesce("base_n", F.lit(0)))), "trie-convs")
-    own = (turns.withColumn("block", block_of("pos"))
-           .join(each_block(convs, "n").select("conv_id", "block", "h", "m"), ["conv_id", "block"])
+    own = (turns.withColumn("block", block_of("pos", block))
+           .join(each_block(convs, "n", block).select("conv_id", "block", "h", "m"), ["conv_id", "block"])
            .filter("pos > h").select("conv_id", (F.col("pos") - F.col("h") + F.col("m")).alias("pos"),
                                      "mark", "n_bytes"))
     opening = (turns.filter((F.col("pos") < modulus) & (F.col("conv_id") % family == 0))
@@ -95,16 +96,16 @@ def _block_starts(batches):
     return batched(run(), _STARTS)
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
+def prefixes(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """Each turn with `prefix`, which names the sequence of turns up to it, and `parent`, that up to the
     turn before. A block's turns are chained by themselves, then hung on the prefix the block begins
     with; so a long conversation takes a row per block in one task and no more."""
-    blocked = turns.withColumn("block", block_of("pos")).select("conv_id", "pos", "block", "n_bytes", "mark")
+    blocked = turns.withColumn("block", block_of("pos", block)).select("conv_id", "pos", "block", "n_bytes", "mark")
     local = stored(stream_pass(
         blocked.repartition("conv_id", "block").sortWithinPartitions("conv_id", "pos"),
         "conv_id bigint, pos bigint, block bigint, n_bytes bigint, local binary, before binary",
         _chained), "trie-chained")
-    full = local.filter(F.col("pos") % BLOCK == 0).select("conv_id", "block", "local")
+    full = local.filter(F.col("pos") % block == 0).select("conv_id", "block", "local")
     starts = stream_pass(full.repartition("conv_id").sortWithinPartitions("conv_id", "block"),
                          "conv_id bigint, block bigint, start binary", _block_starts)
     first = local.filter("block = 0").withColumn("start", root())
@@ -121,20 +122,23 @@ _ENDS = pa.schema([("prefix", pa.binary()), ("depth", pa.int64()), ("conv_id", p
                    ("weight", pa.int64()), ("ends_sha256", pa.string())])
 
 
-def _chunked(batches):
-    """Pieces of the ascending lists of ids per prefix."""
-    def run():
+def chunked(size: int):
+    """A pass that makes pieces, of at most `size` ids, of the ascending lists of ids per prefix."""
+    def piece(at, ids):
+        return *at, ids[0], len(ids), ",".join(map(str, ids))
+
+    def pieces(batches):
         at, ids = None, []
         for prefix, depth, conv in rows_of(batches):
-            if at != (prefix, depth) or len(ids) == CHUNK:
-                if ids:
-                    yield *at, ids[0], len(ids), ",".join(map(str, ids))
-                at, ids = (prefix, depth), []
+            if ids and (at != (prefix, depth) or len(ids) == size):
+                yield piece(at, ids)
+                ids = []
+            at = prefix, depth
             ids.append(conv)
         if ids:
-            yield *at, ids[0], len(ids), ",".join(map(str, ids))
+            yield piece(at, ids)
 
-    return batched(run(), _CHUNKS, 200)
+    return lambda batches: batched(pieces(batches), _CHUNKS, 200)
 
 
 def _hashed(batches):
@@ -156,7 +160,7 @@ def _hashed(batches):
     return batched(run(), _ENDS)
 
 
-def weighted_sequences(steps: DataFrame, ids: DataFrame) -> DataFrame:
+def weighted_sequences(steps: DataFrame, ids: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The distinct whole sequences: prefix, depth, conv_id (the smallest that has it), weight (how many
     have it) and ends_sha256, the SHA-256 of their ids, ascending and comma-joined. `ids` are all
     conversations; those without turns share the empty sequence."""
@@ -166,23 +170,23 @@ def weighted_sequences(steps: DataFrame, ids: DataFrame) -> DataFrame:
         F.coalesce("depth", F.lit(0).cast("bigint")).alias("depth"), "conv_id")
     chunks = stream_pass(
         members.repartitionByRange("prefix", "conv_id").sortWithinPartitions("prefix", "conv_id"),
-        "prefix binary, depth bigint, first bigint, n bigint, ids string", _chunked)
+        "prefix binary, depth bigint, first bigint, n bigint, ids string", chunked(chunk))
     return stream_pass(chunks.repartition("prefix").sortWithinPartitions("prefix", "first"),
                        "prefix binary, depth bigint, conv_id bigint, weight bigint, ends_sha256 string",
                        _hashed)
 
 
-def subtree_sums(paths: DataFrame) -> DataFrame:
+def subtree_sums(paths: DataFrame, block: int = BLOCK) -> DataFrame:
     """For every step of a path the sums of `own` and `leaf` from there to the path's end."""
     within = Window.partitionBy("conv_id", "block").orderBy(F.col("pos").desc())
     sums = paths.withColumns({"saved": F.sum("own").over(within), "leaves": F.sum("leaf").over(within)})
     after = Window.partitionBy("conv_id").orderBy(F.col("block").desc()).rowsBetween(
         Window.unboundedPreceding, -1)
-    totals = (paths.filter(F.col("length") > BLOCK).groupBy("conv_id", "block")
+    totals = (paths.filter(F.col("length") > block).groupBy("conv_id", "block")
               .agg(F.sum("own").alias("own"), F.sum("leaf").alias("leaf"))
               .select("conv_id", "block", F.sum("own").over(after).alias("later_own"),
                       F.sum("leaf").over(after).alias("later_leaf")))
-    short, long = sums.filter(F.col("length") <= BLOCK), sums.filter(F.col("length") > BLOCK)
+    short, long = sums.filter(F.col("length") <= block), sums.filter(F.col("length") > block)
     joined = long.join(totals, ["conv_id", "block"]).withColumns({
         "saved": F.col("saved") + F.coalesce("later_own", F.lit(0)),
         "leaves": F.col("leaves") + F.coalesce("later_leaf", F.lit(0))})
@@ -190,25 +194,25 @@ def subtree_sums(paths: DataFrame) -> DataFrame:
     return short.select(*columns).unionByName(joined.select(*columns))
 
 
-def with_parents(nodes: DataFrame, children: DataFrame) -> DataFrame:
+def with_parents(nodes: DataFrame, children: DataFrame, hot_children: int = HOT) -> DataFrame:
     """Nodes with `parent_conv_id`. Of a parent's children there may be very many: parents with more than a
     thousandth of all nodes as children, fewer than a thousand, are broadcast; the others are joined."""
     parents = children.join(nodes.select("prefix", F.col("conv_id").alias("parent_conv_id")), "prefix")
     parents = stored(parents.withColumnRenamed("prefix", "parent"), "trie-parents")
-    busy = F.col("n_children") > max(nodes.count() // 1000, HOT)
+    busy = F.col("n_children") > max(nodes.count() // 1000, hot_children)
     hot = F.broadcast(parents.filter(busy).drop("n_children"))
     rest = nodes.join(hot.select("parent"), "parent", "left_anti")
     return nodes.join(hot, "parent").unionByName(
         rest.join(parents.filter(~busy).drop("n_children"), "parent", "left"))
 
 
-def trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
+def trie(turns: DataFrame, ids: DataFrame, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """The nodes of the trie of sequences `turns` (conv_id, pos from 1 without gaps, mark, n_bytes) of the
     conversations `ids`; see `prefix_trie` for the columns."""
-    steps = stored(prefixes(turns), "trie-steps")
-    sequences = stored(weighted_sequences(steps, ids), "trie-sequences")
+    steps = stored(prefixes(turns, block), "trie-steps")
+    sequences = stored(weighted_sequences(steps, ids, chunk), "trie-sequences")
     kept = sequences.select("conv_id", "weight", F.col("depth").alias("length"))
-    paths = steps.join(each_block(kept.filter("length > 0"), "length"), ["conv_id", "block"])
+    paths = steps.join(each_block(kept.filter("length > 0"), "length", block), ["conv_id", "block"])
     tops = kept.select("conv_id", F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("block"),
                        F.lit(0).cast("bigint").alias("n_bytes"), root().alias("prefix"),
                        F.lit(None).cast("binary").alias("parent"), "weight", "length")
@@ -226,7 +230,7 @@ def trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
     own = nodes.join(leaves, "prefix", "left").select(
         "conv_id", F.col("depth").alias("pos"), "leaf", ((F.col("n_convs") - 1) * F.col("n_bytes")).alias("own"))
     booked = paths.join(own, ["conv_id", "pos"], "left").fillna(0, ["own", "leaf"])
-    sums = subtree_sums(booked).groupBy("prefix").agg(
+    sums = subtree_sums(booked, block).groupBy("prefix").agg(
         F.sum("saved").alias("saved_tokens"), F.sum("leaves").alias("n_leaves"))
     result = (with_parents(nodes, children).join(sums, "prefix").join(children, "prefix", "left")
               .join(sequences.select("prefix", "ends_sha256"), "prefix", "left"))
@@ -236,7 +240,8 @@ def trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
         F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
 
 
-def prefix_trie(conversations: DataFrame, rebuild: bool = True) -> DataFrame:
+def prefix_trie(conversations: DataFrame, rebuild: bool = True, block: int = BLOCK,
+                chunk: int = CHUNK) -> DataFrame:
     """One row per distinct beginning of the conversations, the empty one included.
 
     Turns are ordered by `turn`, nulls first, those of one turn by the digest of role and text, so that
@@ -251,4 +256,5 @@ def prefix_trie(conversations: DataFrame, rebuild: bool = True) -> DataFrame:
     turns, lengths = numbered(turn_rows(conversations), "conv_id", ["turn", "mark"], "trie-turns")
     lengths = stored(lengths, "trie-lengths")
     turns = turns.drop("turn")
-    return trie(with_shared_openings(turns, lengths) if rebuild else turns, lengths)
+    rebuilt = with_shared_openings(turns, lengths, block=block) if rebuild else turns
+    return trie(rebuilt, lengths, block, chunk)

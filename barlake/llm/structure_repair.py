@@ -242,9 +242,10 @@ def kept_system(tokens: str, piece: str) -> bool:
     return False
 
 
-def _edited(batches):
-    """What becomes of every row: lines inserted before and behind it, whether it stays, its new role."""
-    def run():
+def edited(block_size: int):
+    """A pass that tells what becomes of every row: lines inserted before and behind it, whether it stays,
+    its new role."""
+    def run(batches):
         for key, block, tokens, piece, lines, system in rows_of(batches):
             row, lead, edits = 0, [], []
 
@@ -256,7 +257,7 @@ def _edited(batches):
                     lead.append(f"{role()}:")
                     lines += 1
                     continue
-                edits.append([key, block * BLOCK + row + 1, "\n".join(lead) if lead else None, edit != "D",
+                edits.append([key, block * block_size + row + 1, "\n".join(lead) if lead else None, edit != "D",
                               role() if edit == "R" else None, None])
                 row, lead = row + 1, []
                 lines += edit != "D"
@@ -264,7 +265,7 @@ def _edited(batches):
                 edits[-1][5] = "\n".join(lead)
             yield from map(tuple, edits)
 
-    return batched(run(), _EDITS)
+    return lambda batches: batched(run(batches), _EDITS)
 
 
 def _hashed(batches):
@@ -285,10 +286,10 @@ def _hashed(batches):
     return batched(run(), _HASHES)
 
 
-def plans_of(tokens: DataFrame) -> DataFrame:
+def plans_of(tokens: DataFrame, block: int = BLOCK) -> DataFrame:
     """The cheapest edits per conversation and block: piece of the audit, lines before it, whether a
     system turn leads, total cost, and on the `last` block the illegal pairs."""
-    blocks = tokens.groupBy("key", block_of("pos").alias("block")).agg(
+    blocks = tokens.groupBy("key", block_of("pos", block).alias("block")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))),
                                  lambda t: t["token"]), "").alias("tokens"))
     parsed = stream_pass(
@@ -300,12 +301,12 @@ def plans_of(tokens: DataFrame) -> DataFrame:
         "cost bigint, illegal bigint", _composed)
 
 
-def repaired(rows: DataFrame, plans: DataFrame) -> DataFrame:
+def repaired(rows: DataFrame, plans: DataFrame, block: int = BLOCK) -> DataFrame:
     """The SHA-256 of each repaired conversation. The hash is by nature taken in order: the lines of a
     conversation stream through one task, which holds a batch of them at a time."""
     edits = stream_pass(
         plans.select("key", "block", "tokens", "piece", "lines", "system"),
-        "key string, pos bigint, lead string, kept boolean, role string, trail string", _edited)
+        "key string, pos bigint, lead string, kept boolean, role string, trail string", edited(block))
     own = F.when(F.col("kept"), F.concat(F.coalesce(F.col("new_role"), F.col("role")), F.lit(":"), F.col("text")))
     lines = rows.select("key", "pos", "role", "text").join(
         edits.withColumnRenamed("role", "new_role"), ["key", "pos"]).filter(
@@ -316,7 +317,7 @@ def repaired(rows: DataFrame, plans: DataFrame) -> DataFrame:
         "key string, repaired_sha256 string", _hashed)
 
 
-def repair(conversations: DataFrame, damage: bool = True) -> DataFrame:
+def repair(conversations: DataFrame, damage: bool = True, block: int = BLOCK) -> DataFrame:
     """Faults and cheapest repair of every conversation.
 
     Rows go by turn, nulls first, those of one turn by the digest of role and text, so that repeated rows
@@ -337,7 +338,7 @@ def repair(conversations: DataFrame, damage: bool = True) -> DataFrame:
     rows, _ = numbered(rows.withColumn("mark", digest(F.col("role"), F.col("text"))), "key",
                        ["turn", "mark"], "repair-rows")
     tokens = stored(tokens_of(rows), "repair-tokens")
-    plans = stored(plans_of(tokens), "repair-plans")
+    plans = stored(plans_of(tokens, block), "repair-plans")
 
     def count(fault: str) -> Column:
         return F.count_if(F.col("fault") == fault)
@@ -352,7 +353,7 @@ def repair(conversations: DataFrame, damage: bool = True) -> DataFrame:
         F.max("cost").alias("cost"), F.max("illegal").alias("illegal"))
     every = conversations.select("conv_id", key_of("conv_id").alias("key")).distinct()
     result = every
-    for part in (faults, turns, audits, repaired(rows, plans)):
+    for part in (faults, turns, audits, repaired(rows, plans, block)):
         result = result.join(part, "key", "left")
     zero = F.lit(0).cast("bigint")
     return result.select(

@@ -36,15 +36,14 @@ def half_of(content: bytes) -> bytes:
     return hashlib.sha256(content).digest()[:16]
 
 
-def block_of(pos: Column | str) -> Column:
+def block_of(pos: str, block: int) -> Column:
     """The block of a place from 1 (0 counts as 1)."""
-    return F.expr(f"(greatest(`{pos}`, 1) - 1) div {BLOCK}") if isinstance(pos, str) else (
-        F.floor((F.greatest(pos, F.lit(1)) - 1) / BLOCK))
+    return F.expr(f"(greatest(`{pos}`, 1) - 1) div {block}")
 
 
-def each_block(rows: DataFrame, length: str) -> DataFrame:
+def each_block(rows: DataFrame, length: str, block: int) -> DataFrame:
     """A row for each block of a sequence of that length, so that joins meet at most a block per key."""
-    return rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), block_of(length))))
+    return rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), block_of(length, block))))
 
 
 def stream_pass(df: DataFrame, schema: str,
