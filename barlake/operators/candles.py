@@ -16,6 +16,8 @@ TIME_COLUMNS = {"arrival": "ingested_at_ms", "event": "timestamp_ms"}
 
 _ID_RANGE = Decimal(10 ** 20)
 _ID_OFFSET = Decimal(2 ** 63)
+_PARTITION_RANGE = Decimal(10 ** 19)
+_TIME_RANGE = Decimal(10 ** 25)
 
 
 def order_key(millis: Column | str, trade_id: Column | str) -> Column:
@@ -29,8 +31,19 @@ def order_key(millis: Column | str, trade_id: Column | str) -> Column:
             + (trade_id.cast("decimal(20,0)") + F.lit(_ID_OFFSET)))
 
 
+def topic_order(millis: str, partition: str = "partition", offset: str = "offset") -> Column:
+    """(time, topic partition, offset) as one number. Offsets of different partitions do not compare:
+    the producer's time decides between partitions, and the offset between ticks of one millisecond."""
+    return (F.col(millis).cast("decimal(13,0)") * F.lit(_TIME_RANGE)
+            + F.col(partition).cast("decimal(6,0)") * F.lit(_PARTITION_RANGE)
+            + F.col(offset).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def arrival_order(ticks: DataFrame, time_column: str) -> Column:
-    """The topic offset where the frame carries one, as a symbol stays in one topic partition."""
+    """The order in which the ticks arrived, by what the frame carries: (time, partition, offset) if it
+    names the topic partition; the offset alone for a topic of one partition; else (time, trade id)."""
+    if {"partition", "offset"} <= set(ticks.columns):
+        return topic_order(time_column)
     if "offset" in ticks.columns:
         return F.col("offset")
     return order_key(time_column, "trade_id")
@@ -81,9 +94,9 @@ def candles(ticks: DataFrame, seconds: int = 60, time_basis: str = "arrival",
     """One row per symbol and window that saw a tick, labelled with the window's end.
 
     `time_basis` picks the clock: "arrival" (when the tick was received) or "event". Open and close
-    follow that clock and the trade id, or, by arrival, the topic offset where the frame carries
-    one: the frame must then be of one topic, each symbol of which stays in one partition, as the
-    publisher's key makes sure; frames over several topics have to drop `offset` first. Only partial
+    follow that clock and the trade id, or, by arrival, the place in the topic where the frame carries
+    `offset`, with `partition` if the topic has several (see `arrival_order`); frames over several
+    topics have to drop both first. Only partial
     aggregates are shuffled, so a symbol with most of the ticks costs its task no more than the others.
     On a stream a window is emitted once it is `late_by` behind the newest tick.
     """
@@ -96,8 +109,9 @@ def candles(ticks: DataFrame, seconds: int = 60, time_basis: str = "arrival",
     totals = [F.max("price").alias("high"), F.min("price").alias("low"),
               F.sum("quantity").alias("volume"), F.count(F.lit(1)).alias("trade_count")]
     if time_basis == "arrival" and "offset" in ticks.columns:
-        folded = windows.agg(F.min_by("price", "offset").alias("open"),
-                             F.max_by("price", "offset").alias("close"), *totals)
+        order = arrival_order(ticks, time_column)
+        folded = windows.agg(F.min_by("price", order).alias("open"),
+                             F.max_by("price", order).alias("close"), *totals)
     else:
         ends = _Ends(time_column, seconds)
         folded = windows.agg(*ends.aggregates, *totals).withColumns(ends.columns())

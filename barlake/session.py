@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -58,3 +61,37 @@ def shared_folder(spark: SparkSession) -> str:
 def run_folder(spark: SparkSession, job: str) -> str:
     """A fresh folder for one run of one job below the shared folder."""
     return f"{shared_folder(spark)}/barlake/{job}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: an archive in the shared folder, so that
+    Python workers can import it whether or not it is installed on their machines."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root, archive = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as files:
+        for module in sorted(root.rglob("*.py")):
+            files.write(module, module.relative_to(root.parent))
+    place = f"{run_folder(spark, 'library')}/barlake.zip"
+    write_file(spark, place, archive.getvalue())
+    context.addPyFile(place)
+    _shipped.add(context.applicationId)
+
+
+def write_file(spark: SparkSession, place: str, content: bytes) -> None:
+    """Write or replace a small file in any file system Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(content))
+    out.close()
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []

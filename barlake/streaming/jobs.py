@@ -32,9 +32,19 @@ REPORT_SECONDS = 10
 METRICS = "ticks"
 
 
-def archive_limits(rows: int = ARCHIVE_BATCH_ROWS) -> dict[str, str]:
-    """Reader option that bounds a Kafka micro-batch of the archive."""
-    return {"maxOffsetsPerTrigger": str(rows)}
+def archive_limits(rows: int | None = ARCHIVE_BATCH_ROWS, files: int | None = None,
+                   size: str | None = None) -> dict[str, str]:
+    """Reader options that bound a micro-batch: by rows for Kafka, by files or bytes (such as "1g") for
+    topics of landed files. Of files and bytes a file source takes one."""
+    if files is not None and size is not None:
+        raise ValueError("bound a micro-batch by files or by bytes, not by both")
+    limits = {"maxOffsetsPerTrigger": rows, "maxFilesPerTrigger": files, "maxBytesPerTrigger": size}
+    return {name: str(limit) for name, limit in limits.items() if limit is not None}
+
+
+def places(records: DataFrame) -> list[str]:
+    """The columns that say where in the topic a record stands."""
+    return [name for name in ("partition", "offset") if name in records.columns]
 
 
 def observed(ticks: DataFrame) -> DataFrame:
@@ -58,8 +68,7 @@ def publish_writer(envelopes: DataFrame, format: str, options: dict[str, str], c
 def archive_writer(records: DataFrame, path: str, checkpoint: str,
                    strict: bool = False, format: str = "parquet") -> DataStreamWriter:
     """Every decodable tick appended to bronze, partitioned by arrival day. No deduplication."""
-    keep = ["offset"] if "offset" in records.columns else []
-    ticks, _ = decode_ticks(records, keep=keep, strict=strict)
+    ticks, _ = decode_ticks(records, keep=places(records), strict=strict)
     return (archive_rows(observed(ticks)).writeStream.format(format)
             .option("path", path).option("checkpointLocation", checkpoint)
             .partitionBy("day").outputMode("append"))
@@ -77,8 +86,7 @@ def candle_stream(records: DataFrame, seconds: int = 60, time_basis: str = "arri
                   late_by: str = "10 seconds") -> DataFrame:
     """Closed candles of the topic. A candle needs symbol, price, quantity and its clock only."""
     clock = "ingested_at_ms" if time_basis == "arrival" else "timestamp_ms"
-    keep = ["offset"] if "offset" in records.columns else []
-    ticks, _ = decode_ticks(records, required=[*CANDLE_FIELDS, clock], keep=keep)
+    ticks, _ = decode_ticks(records, required=[*CANDLE_FIELDS, clock], keep=places(records))
     return candles(ticks, seconds, time_basis, late_by)
 
 
