@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
+from barlake.operators.decode import parse_once
 from barlake.schemas import BAR, BAR_DOCUMENT
 
 
+MALFORMED = "malformed"
+
+
 def _name_in_path() -> Column:
     """File name without its ending; names are percent-encoded in paths."""
     return F.url_decode(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
@@ -22,6 +26,35 @@ def read_bar_documents(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select(_name_in_path().alias("symbol"), "*")
 
 
+def checked(texts: DataFrame, schema: StructType, *keep: Column) -> tuple[DataFrame, DataFrame]:
+    """JSON texts (`value`) to (rows, rejected). A text that is no JSON object, which would otherwise
+    become a row of nulls, is rejected as it is (`malformed`); blank ones are no records. Texts are parsed
+    once for both; `keep` are columns to carry along."""
+    whole = StructType([*schema.fields, StructField(MALFORMED, StringType())])
+    record = F.from_json("value", whole, {"columnNameOfCorruptRecord": MALFORMED})
+    kept = texts.filter(F.trim("value") != "").select(*keep, "value")
+    names = kept.columns[:-1]
+    rows = parse_once(kept, record, "record")
+    broken = F.col("record").isNull() | F.col(f"record.{MALFORMED}").isNotNull()
+    return (rows.filter(~broken).select(*names, *[F.col(f"record.{name}") for name in schema.names]),
+            rows.filter(broken).select(*names, F.col("value").alias(MALFORMED)))
+
+
+def read_bar_documents_checked(spark: SparkSession, folder: str, key: str | None = None,
+                               ) -> tuple[DataFrame, DataFrame]:
+    """Landed bar responses and the files that are no JSON. The ticker is the file's name, or that of a
+    folder named after `key`."""
+    files = spark.read.text(folder, wholetext=True)
+    symbol = _name_in_path() if key is None else F.col(key).cast("string")
+    return checked(files, StructType.fromDDL(BAR_DOCUMENT), symbol.alias("symbol"))
+
+
+def read_bars_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Bronze bars from JSON lines, and the lines that are no JSON with the name of their file."""
+    rows, broken = checked(spark.read.text(path), BAR, F.col("_metadata.file_name").alias("file"))
+    return rows.drop("file"), broken
+
+
 def read_documents(spark: SparkSession, folder: str, key: str) -> DataFrame:
     """Landed responses, one per file, as (key, seq, value).
 

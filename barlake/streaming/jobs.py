@@ -20,6 +20,7 @@ from barlake.operators.candles import (
 from barlake.operators.decode import (
     CANDLE_FIELDS, archive_rows, decode_ticks, decode_trades, encode_ticks,
 )
+from barlake.sources.tables import table_writer
 from barlake.sources.topics import topic_writer
 
 # Fixed value: rows per append of the tick archive. Used as is this makes many small files; raise
@@ -65,15 +66,32 @@ def publish_writer(envelopes: DataFrame, format: str, options: dict[str, str], c
             .option("checkpointLocation", checkpoint).outputMode("append"))
 
 
-def archive_writer(records: DataFrame, path: str, checkpoint: str,
-                   strict: bool = False, format: str = "parquet") -> DataStreamWriter:
-    """Every decodable tick appended to bronze, partitioned by arrival day. No deduplication."""
+def archived(records: DataFrame, strict: bool = False, distinct_within: str | None = None) -> DataFrame:
+    """Every decodable tick as a bronze row. Ticks are not deduplicated unless `distinct_within`, such as
+    "10 minutes", asks for it: then a symbol's trade id counts once within that time."""
     ticks, _ = decode_ticks(records, keep=places(records), strict=strict)
-    return (archive_rows(observed(ticks)).writeStream.format(format)
+    ticks = observed(ticks)
+    if distinct_within is not None:
+        ticks = (ticks.withColumn("arrived", F.timestamp_millis("ingested_at_ms"))
+                 .withWatermark("arrived", distinct_within)
+                 .dropDuplicatesWithinWatermark(["symbol", "trade_id"]).drop("arrived"))
+    return archive_rows(ticks)
+
+
+def archive_writer(records: DataFrame, path: str, checkpoint: str, strict: bool = False,
+                   format: str = "parquet", distinct_within: str | None = None) -> DataStreamWriter:
+    """Bronze rows appended to files, partitioned by arrival day (see `archived`)."""
+    return (archived(records, strict, distinct_within).writeStream.format(format)
             .option("path", path).option("checkpointLocation", checkpoint)
             .partitionBy("day").outputMode("append"))
 
 
+def archive_table_writer(records: DataFrame, name: str, checkpoint: str, strict: bool = False,
+                         distinct_within: str | None = None) -> DataStreamWriter:
+    """Bronze rows appended to a catalog table; a batch that is run again adds nothing."""
+    return table_writer(archived(records, strict, distinct_within), name, checkpoint)
+
+
 def quarantine_writer(records: DataFrame, path: str, checkpoint: str,
                       format: str = "parquet") -> DataStreamWriter:
     """The messages the archive leaves out, with the reason."""

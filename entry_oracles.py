@@ -116,6 +116,13 @@ document_bar AS (
 """
 
 
+FIRST_LINE = """
+first_line AS (
+  SELECT * FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) = 1)
+"""
+
+
 def candle(view: str, seconds: int, clock: str = "ingested_at_ms") -> str:
     """Candles of a tick view as the view `candle`, windows counted from 2026-01-01."""
     return f"""
@@ -308,6 +315,14 @@ WITH {TICK}, {candle('tick', 3600)}
 SELECT symbol, timestamp::VARCHAR AS timestamp,
        printf('%s O=%.2f H=%.2f L=%.2f C=%.2f V=%.4f trades=%d',
               symbol, open, high, low, close, volume, trade_count) AS summary FROM candle""",
+    "landed_document_bars": f"""
+WITH {FIRST_LINE}, {DOCUMENT_BAR.replace("FROM lineitem", "FROM first_line")}
+SELECT * EXCLUDE (l_suppkey) FROM document_bar WHERE l_suppkey % 5 <> 2""",
+    "rejected_document_files": f"""
+WITH {FIRST_LINE}
+SELECT 'S' || l_suppkey AS symbol,
+       CASE WHEN l_linenumber = 1 THEN '{{"status":"E' ELSE '{{"status":"O' END AS malformed
+FROM first_line WHERE l_suppkey % 5 = 2""",
     "bar_documents": f"WITH {DOCUMENT_BAR} SELECT * EXCLUDE (l_suppkey) FROM document_bar",
     "rejected_document_bars": """
 SELECT 'S' || l_suppkey AS symbol, epoch_ms(l_shipdate) + 86399999 AS timestamp_ms,
@@ -408,6 +423,18 @@ FROM tick WHERE trade_id % 31 IN (3, 11, 17)""",
     "stream_candles": f"""
 WITH {GOOD_TICK}, {candle('good', 60)}
 SELECT * REPLACE (timestamp::VARCHAR AS timestamp) FROM candle {CLOSED}""",
+    "stream_settled_candles": f"""
+WITH {GOOD_TICK}, {candle('good', 3600)} SELECT * REPLACE (timestamp::VARCHAR AS timestamp) FROM candle""",
+    "stream_open_candles": f"""
+WITH {GOOD_TICK}, {candle('good', 3600)}
+SELECT c.* REPLACE (timestamp::VARCHAR AS timestamp) FROM candle c
+JOIN (SELECT symbol, max(ingested_at_ms) AS newest FROM good GROUP BY symbol) USING (symbol)
+WHERE timestamp + INTERVAL 10 SECOND > make_timestamp(newest * 1000)""",
+    "stream_ledger": f"""
+WITH {GOOD_TICK}
+SELECT (SELECT count(DISTINCT event_id % 7) FROM events) AS batches, 2 AS runs, count(*) AS ticks,
+       (SELECT count(*) FROM events) AS input_rows, 0 AS late_rows FROM good""",
+    "stream_table": f"WITH {GOOD_TICK} {BRONZE}",
     "stream_ilp_lines": f"WITH {GOOD_TICK}, {candle('good', 3600)} {ILP} FROM candle {CLOSED}",
     "stream_published": f"""
 WITH {ENVELOPE}

@@ -15,10 +15,12 @@ from barlake.dimensions import FOREX_TICKERS, MACRO_SERIES
 from barlake.operators import bars, boards, candles, decode, latest
 from barlake.plans import market
 from barlake.schemas import BRONZE_TICK_DDL, CANDLE_COLUMNS, TICK
-from barlake.session import configure, run_folder
-from barlake.sources.files import read_bars, read_documents, write_documents, write_lines
-from barlake.sources.tables import append_rows, ensure_table
-from barlake.streaming import jobs
+from barlake.session import configure, file_names, run_folder
+from barlake.sources.files import (
+    read_bar_documents_checked, read_bars, read_documents, write_documents, write_lines,
+)
+from barlake.sources.tables import BATCH_PARTITIONS, append_rows, batch_ddl, ensure_table
+from barlake.streaming import jobs, ledger, updates
 
 CANDLE_DDL = ("symbol STRING, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE, "
               "trade_count BIGINT, timestamp TIMESTAMP")
@@ -195,6 +197,32 @@ def landed_bars(spark, folder):
     return read_bars(spark, place)
 
 
+def landed_documents(spark, folder, job):
+    """The response of the first line of every supplier, one file each; every fifth is cut short."""
+    place = run_folder(configure(spark), job)
+    first = lineitem(spark, folder).groupBy("l_suppkey").agg(
+        F.min_by(F.struct("*"), F.struct("l_orderkey", "l_linenumber")).alias("line")).select("line.*")
+    documents = adapters.bar_documents_of(first)
+    number = F.regexp_extract("symbol", "[0-9]+", 0).cast("bigint")
+    value = F.when(number % 5 == 2, F.substring("value", 1, 12)).otherwise(F.col("value"))
+    write_documents(documents.withColumn("value", value), place, "symbol")
+    return place
+
+
+def landed_document_bars(spark, folder):
+    """Bars of landed response files, one per symbol; files that are no JSON are left out."""
+    place = landed_documents(spark, folder, "landed_document_bars")
+    documents, _ = read_bar_documents_checked(spark, place, "symbol")
+    return bars.bars_from_documents(documents, F.col("bar.t") + 1)[0]
+
+
+def rejected_document_files(spark, folder):
+    """The landed response files that are no JSON."""
+    place = landed_documents(spark, folder, "rejected_document_files")
+    rejected = read_bar_documents_checked(spark, place, "symbol")[1]
+    return rejected.select("symbol", F.rtrim("malformed", F.lit("\n")).alias("malformed"))
+
+
 def landing_report(spark, folder):
     """Bars written by a landing run and the listed symbols that had none."""
     place = run_folder(configure(spark), "landing_report")
@@ -358,6 +386,80 @@ def stream_totals(spark, folder):
         "ticks BIGINT, latest_symbol STRING, latest_price DOUBLE")
 
 
+# Streams over a topic of several files, a micro-batch each. Events are dealt to the files by their number,
+# so that every file spans the whole time and most ticks come after later ones.
+
+TOPIC_FILES = 7
+
+
+def send(spark, folder, place, files):
+    """Write some of the topic's files."""
+    number = F.col("event_id") % TOPIC_FILES
+    dealt = events(spark, folder).filter(number.isin(list(files)))
+    records = adapters.records_of(dealt).withColumn("file", F.col("offset") % TOPIC_FILES)
+    records.repartition("file").write.mode("append").partitionBy("file").parquet(f"{place}/topic")
+
+
+def topic_stream(spark, place):
+    reader = spark.readStream.schema("offset BIGINT, value STRING").options(**jobs.archive_limits(None, files=1))
+    return reader.parquet(f"{place}/topic/file=*")
+
+
+def updates_run(spark, folder, job):
+    """Hourly candles of the topic as updates, over two runs of one checkpoint."""
+    place = run_folder(configure(spark), job)
+    for files in (range(4), range(4, TOPIC_FILES)):
+        send(spark, folder, place, files)
+        stream = updates.candle_updates(topic_stream(spark, place), 3600, idle_seconds=3600)
+        updates.drain_updates(spark, updates.update_writer(stream, f"{place}/rows", f"{place}/checkpoint"))
+    return place
+
+
+def stream_settled_candles(spark, folder):
+    """Every tick in its candle, however late: closed windows with their corrections, and open ones."""
+    place = updates_run(spark, folder, "stream_settled_candles")
+    rows = spark.read.schema(updates.UPDATE_DDL).parquet(f"{place}/rows")
+    return as_text(updates.settled(rows).unionByName(
+        updates.open_candles(spark, f"{place}/checkpoint", 3600)))
+
+
+def stream_open_candles(spark, folder):
+    """The windows a drained stream has left open, read from its state."""
+    place = updates_run(spark, folder, "stream_open_candles")
+    return as_text(updates.open_candles(spark, f"{place}/checkpoint", 3600))
+
+
+def stream_ledger(spark, folder):
+    """Counters over two runs of one checkpoint, with the number of micro-batches."""
+    place = run_folder(configure(spark), "stream_ledger")
+    checkpoint = f"{place}/checkpoint"
+    for files in (range(4), range(4, TOPIC_FILES)):
+        send(spark, folder, place, files)
+        ledger.run_counted(spark, jobs.archive_writer(
+            topic_stream(spark, place), f"{place}/rows", checkpoint).trigger(availableNow=True), checkpoint)
+    return ledger.totals(spark, checkpoint).select("batches", "runs", "ticks", "input_rows", "late_rows")
+
+
+def stream_table(spark, folder):
+    """Bronze ticks appended to a catalog table; the last batch is run twice, as after a failure."""
+    place = run_folder(configure(spark), "stream_table")
+    name = "stream_table_" + place.rpartition("-")[2]
+    ensure_table(spark, name, batch_ddl(), BATCH_PARTITIONS, f"{place}/rows")
+    send(spark, folder, place, range(TOPIC_FILES))
+    checkpoint = f"{place}/checkpoint"
+    for _ in range(2):
+        jobs.drain(jobs.archive_table_writer(topic_stream(spark, place), name, checkpoint))
+        forget_commit(spark, checkpoint)
+    return as_text(spark.table(name).drop("writer", "batch"))
+
+
+def forget_commit(spark, checkpoint):
+    """Take back the commit of the last batch: the next run has to do it again."""
+    last = max(int(commit) for commit in file_names(spark, f"{checkpoint}/commits") if commit.isdigit())
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/{last}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in [
         decode_ticks, rejected_envelopes, subscribed_ticks, topic_records, bronze_ticks,
@@ -365,12 +467,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ohlcv_1m, ohlcv_1h, ohlcv_1m_event_time, ohlcv_aligned_77s, latest_candle,
         candles_for_symbol, stored_candles, stored_latest_candle, stored_candles_for_symbol,
         ilp_lines, candle_summaries,
-        bar_documents, rejected_document_bars, landed_bars, landing_report,
+        bar_documents, rejected_document_bars, landed_bars, landed_document_bars, rejected_document_files,
+        landing_report,
         silver_bars, silver_table, rejected_bars, bars_for_symbol, symbols,
         universe_bars, missing_symbols, bars_capped, bars_default_cap, sample_bars, prev_close_change,
         macro_pulse, series_history, index_board, forex_board, commodity_board,
         landed_forex_board, landed_macro_pulse, quote_changes, index_changes,
         stream_bronze, stream_rejected, stream_candles, stream_ilp_lines, stream_published,
-        stream_totals,
+        stream_totals, stream_settled_candles, stream_open_candles, stream_ledger, stream_table,
     ]
 }

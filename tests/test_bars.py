@@ -143,12 +143,38 @@ def test_refresh_replaces_the_table_and_a_failed_one_leaves_it(spark, tmp_path):
         market.refresh_silver(frame(spark, bar("D", date="bad")), "silver_t", place)
     assert spark.table("silver_t").count() == 2
     builds = [row.name for row in spark.catalog.listTables() if row.name.startswith("silver_t__")]
-    assert len(builds) == 1
-    assert [path.name for path in (tmp_path / "silver").iterdir()] == [builds[0].rpartition("__")[2]]
+    # The build before is left for those who still read it; older ones go once they are old enough.
+    assert len(builds) == 2
+    assert sorted(path.name for path in (tmp_path / "silver").iterdir()) == sorted(
+        name.rpartition("__")[2] for name in builds)
     market.refresh_silver(frame(spark, bar("E")), "silver_managed")
     assert market.symbol_list(spark.table("silver_managed")).first().symbol == "E"
 
 
+def test_a_reader_of_the_build_before_keeps_its_files(spark, tmp_path):
+    place = str(tmp_path / "silver")
+    tables.refresh_table(frame(spark, bar("A")).select("symbol"), "kept_t", ["symbol"], place, keep_seconds=0)
+    reader = spark.table("kept_t")
+    assert reader.inputFiles()
+    tables.refresh_table(frame(spark, bar("B")).select("symbol"), "kept_t", ["symbol"], place, keep_seconds=0)
+    assert [r.symbol for r in reader.collect()] == ["A"]
+    for name in "CD":
+        tables.refresh_table(frame(spark, bar(name)).select("symbol"), "kept_t", ["symbol"], place, keep_seconds=0)
+    assert [r.symbol for r in spark.table("kept_t").collect()] == ["D"]
+    builds = [row.name for row in spark.catalog.listTables() if row.name.startswith("kept_t__")]
+    assert len(builds) == 2
+
+
+def test_lines_that_are_no_json_are_rejected(spark, tmp_path):
+    (tmp_path / "bars.json").write_text(
+        '{"symbol":"A","open":1.5}\n{"symbol":"B",\n\n  \n[1]\n7\n{"symbol":"C","open":"x"}\n{}\n')
+    rows, rejected = files.read_bars_checked(spark, str(tmp_path / "bars.json"))
+    assert [(r.symbol, r.open) for r in rows.collect()] == [("A", 1.5), (None, None)]
+    assert rows.columns == BAR.names
+    assert sorted(r.malformed for r in rejected.collect()) == ['7', '[1]', '{"symbol":"B",', '{"symbol":"C","open":"x"}']
+    assert {r.file for r in rejected.collect()} == {"bars.json"}
+
+
 def test_symbol_filter_reaches_the_scan(spark, tmp_path):
     market.refresh_silver(frame(spark, bar("A"), bar("B")), "silver_p", str(tmp_path / "s"))
     report = market.symbol_bars(spark.table("silver_p"), "a", 5)

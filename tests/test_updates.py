@@ -1,6 +1,5 @@
 """Candle updates, the stored ledger, idempotent appends and orders over topic partitions."""
 
-import json
 import os
 import time
 
@@ -9,7 +8,8 @@ from pyspark.sql import functions as F
 
 from barlake.operators import candles as c
 from barlake.operators import latest
-from barlake.streaming import jobs, updates
+from barlake.sources import tables
+from barlake.streaming import jobs, ledger, updates
 from tests.test_candles import ALIGN_MS, FIELDS, candle_rows, fold, random_ticks, tick
 from tests.test_streaming import Topic
 
@@ -122,3 +122,75 @@ def test_limits_of_micro_batches():
     assert jobs.archive_limits(None, size="64m") == {"maxBytesPerTrigger": "64m"}
     with pytest.raises(ValueError, match="not by both"):
         jobs.archive_limits(files=1, size="1g")
+
+
+def commits(topic):
+    return sorted(int(n) for n in os.listdir(topic.path("state") + "/commits") if n.isdigit())
+
+
+def test_a_ledger_adds_up_over_runs_and_knows_what_it_lacks(topic):
+    rows = random_ticks(50, 9)
+    for start in (0, 10, 20):
+        topic.send(*rows[start:start + 10], "{bad")
+    counted = lambda: ledger.run_counted(topic.spark, jobs.archive_writer(
+        topic.stream(), topic.path("bronze"), topic.path("state")).trigger(availableNow=True), topic.path("state"))
+    counted()
+    topic.send(*rows[30:])
+    counted()
+    total = ledger.totals(topic.spark, topic.path("state")).first()
+    assert (total.runs, total.ticks, total.input_rows) == (2, 50, 53)
+    assert topic.spark.read.parquet(topic.path("bronze")).count() == total.ticks
+    assert total.batches == len(commits(topic)) == 4
+    newest = max(rows[30:], key=lambda row: (row[5], row[3]))
+    assert total.latest_price == newest[1] or newest[5] == max(r[5] for r in rows[30:])
+    os.remove(topic.path("state") + f"/ledger/{1:012d}.json")
+    with pytest.raises(RuntimeError, match=r"lacks batches \[1\]"):
+        ledger.totals(topic.spark, topic.path("state"))
+
+
+def test_more_batches_than_a_query_remembers_are_in_the_ledger(topic):
+    for n in range(130):
+        topic.send(tick("A", 1.0, 1.0, n, ALIGN_MS + 1_000, n))
+    ledger.run_counted(topic.spark, jobs.archive_writer(
+        topic.stream(), topic.path("bronze"), topic.path("state")).trigger(availableNow=True), topic.path("state"))
+    assert ledger.totals(topic.spark, topic.path("state")).first().ticks == 130
+
+
+def test_a_batch_run_again_adds_no_rows(topic):
+    rows = random_ticks(40, 5)
+    topic.send(*rows[:20])
+    topic.send(*rows[20:30])
+    tables.ensure_table(topic.spark, "again_t", tables.batch_ddl(), tables.BATCH_PARTITIONS, topic.path("table"))
+    run = lambda: jobs.drain(jobs.archive_table_writer(topic.stream(), "again_t", topic.path("state")))
+    run()
+    last = commits(topic)[-1]
+    for name in (f"{last}", f".{last}.crc"):  # killed between append and commit
+        os.remove(topic.path("state") + f"/commits/{name}")
+    run()
+    assert commits(topic) == [0, 1]
+    topic.send(*rows[30:])
+    run()
+    got = topic.spark.table("again_t").drop("writer", "batch", "source", "day").collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
+    # A query that begins anew appends its own batches.
+    jobs.drain(jobs.archive_table_writer(topic.stream(), "again_t", topic.path("state2")))
+    assert topic.spark.table("again_t").count() == 80
+
+
+def test_repeated_ticks_can_be_left_out(topic):
+    rows = random_ticks(20, 6)
+    topic.send(*rows, *rows[:5])
+    topic.send(*rows[:3])
+    jobs.drain(jobs.archive_writer(topic.stream(), topic.path("once"), topic.path("s1"), distinct_within="1 day"))
+    jobs.drain(jobs.archive_writer(topic.stream(), topic.path("all"), topic.path("s2")))
+    assert topic.spark.read.parquet(topic.path("once")).count() == len({(r[0], r[3]) for r in rows})
+    assert topic.spark.read.parquet(topic.path("all")).count() == 28
+
+
+def test_compacted_days_are_read_once(topic):
+    spark, rows = topic.spark, [("A", 1), ("B", 1), ("C", 2), ("D", 3)]
+    fresh = spark.createDataFrame(rows, "symbol string, day int")
+    fresh.write.partitionBy("day").parquet(topic.path("fresh"))
+    tables.compact_partitions(fresh.filter("day < 3"), topic.path("done"))
+    both = tables.with_compacted(spark.read.parquet(topic.path("fresh")), spark.read.parquet(topic.path("done")))
+    assert sorted((r.symbol, r.day) for r in both.collect()) == rows
