@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlake.dimensions import broadcast_listed
 from barlake.functions import percent_change
+from barlake.session import run_folder, ship_library
 
 
 def latest_row(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -62,26 +65,62 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], lim
             .drop("share"))
 
 
+_ORDER_OF_BARS = ["open", "high", "low", "close", "volume", "vwap", "trade_count"]
+# Whether a row is the first or the last of its task.
+_FIRST, _LAST = 1, 2
+
+
+def _with_row_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The close of the row before, where it is of the same symbol; the rows are sorted."""
+    held, symbol, close = None, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        symbols, closes = batch.column("symbol"), batch.column("close")
+        above = pa.concat_arrays([pa.array([symbol], symbols.type), symbols.slice(0, len(symbols) - 1)])
+        value = pa.concat_arrays([pa.array([close], closes.type), closes.slice(0, len(closes) - 1)])
+        same = pc.fill_null(pc.equal(symbols, above), False)
+        before = pc.if_else(same, value, pa.scalar(None, closes.type))
+        edge = [0] * len(symbols)
+        if held is not None:
+            yield held
+        else:
+            edge[0] = _FIRST
+        held = pa.RecordBatch.from_arrays(
+            [*batch.columns, before, pa.array(edge, pa.int32())], names=[*batch.schema.names, "before", "edge"])
+        symbol, close = symbols[-1].as_py(), closes[-1].as_py()
+    if held is not None:
+        edge = held.column("edge").to_pylist()
+        edge[-1] |= _LAST
+        yield held.set_column(held.schema.get_field_index("edge"), "edge", pa.array(edge, pa.int32()))
+
+
 def previous_close(silver: DataFrame) -> DataFrame:
     """Close, previous bar's close and change for every bar of every symbol.
 
-    Bars follow each other by trade date, those of one date by their values. Only the bars of one
-    symbol and date are ordered together; a date's first bar takes the last close of the symbol's
-    date before, which comes from one row per symbol and date, so even the hottest symbol's window
-    holds no more rows than the calendar has days.
+    Bars follow each other by trade date, those of one date by their values. They are sorted once, dealt
+    by ranges of symbol, date and values (copies of one bar by chance), so a hot symbol is spread over
+    several tasks, each of which looks at a batch of rows at a time. Only a task's first bar may follow
+    one in another task: the last bar of every task, a row each, is broadcast. The sorted bars are written
+    to the run folder, so that both steps see the same tasks.
     """
-    ties = [F.col(name).asc_nulls_last() for name in
-            ("open", "high", "low", "close", "volume", "vwap", "trade_count")]
-    day = Window.partitionBy("symbol", "trade_date").orderBy(*ties)
-    whole_day = day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    bars = silver.select(
-        "symbol", "trade_date", "close", F.row_number().over(day).alias("place"),
-        F.lag("close").over(day).alias("before"), F.last("close").over(whole_day).alias("day_close"))
-    days = Window.partitionBy("symbol").orderBy("trade_date")
-    firsts = bars.filter("place = 1").select(
-        "symbol", "trade_date", F.lag("day_close").over(days).alias("day_before"))
-    previous = bars.join(firsts, ["symbol", "trade_date"]).withColumn(
-        "prev_close", F.when(F.col("place") == 1, F.col("day_before")).otherwise(F.col("before")))
+    spark = silver.sparkSession
+    ship_library(spark)
+    order = ["symbol", F.col("trade_date"), *[F.col(name).asc_nulls_last() for name in _ORDER_OF_BARS]]
+    salted = silver.select("symbol", "trade_date", *_ORDER_OF_BARS,
+                           F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
+    dealt = (salted.repartitionByRange(*order, "salt").sortWithinPartitions(*order)
+             .select("symbol", "trade_date", "close", F.spark_partition_id().alias("part")))
+    schema = "symbol string, trade_date date, close double, part int, before double, edge int"
+    place = run_folder(spark, "previous_close")
+    dealt.mapInArrow(_with_row_before, schema).write.parquet(place)
+    rows = spark.read.schema(schema).parquet(place)
+    by_part = Window.orderBy("part")  # a row per task
+    carried = rows.filter(F.col("edge").bitwiseAND(_LAST) > 0).select(
+        "part", F.lag("symbol").over(by_part).alias("last_symbol"), F.lag("close").over(by_part).alias("last_close"))
+    follows = (F.col("edge").bitwiseAND(_FIRST) > 0) & (F.col("symbol") == F.col("last_symbol"))
+    previous = rows.join(F.broadcast(carried), "part").withColumn(
+        "prev_close", F.when(follows, F.col("last_close")).otherwise(F.col("before")))
     return previous.select(
         "symbol", "trade_date", "close", "prev_close",
         (F.col("close") - F.col("prev_close")).alias("change"),

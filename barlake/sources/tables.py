@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from barlake.schemas import BRONZE_TICK_DDL
-from barlake.session import file_names, write_file
+from barlake.session import file_names, settings, write_file
 
 WRITER_FILE = "writer.txt"
 # Partitions of a table that batches are appended to.
@@ -61,13 +61,8 @@ def append_batch(df: DataFrame, name: str, writer: str, batch: int) -> None:
     columns = spark.table(name).columns
     parts = [column.name for column in spark.catalog.listColumns(name) if column.isPartition]
     rows = df.withColumns({"writer": F.lit(writer), "batch": F.lit(batch).cast("bigint")}).select(*columns)
-    mode = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(mode)
-    spark.conf.set(mode, "dynamic")
-    try:
+    with settings(spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
         rows.hint("rebalance", *parts).write.insertInto(name, overwrite=True)
-    finally:
-        spark.conf.set(mode, before)
 
 
 def writer_of(spark: SparkSession, checkpoint: str) -> str:

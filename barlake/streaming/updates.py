@@ -22,7 +22,7 @@ from barlake.functions import instant_of_millis
 from barlake.operators.candles import ALIGN_TO_EPOCH_SECONDS, TIME_COLUMNS, arrival_order, order_key
 from barlake.operators.decode import CANDLE_FIELDS, decode_ticks
 from barlake.schemas import CANDLE_COLUMNS
-from barlake.session import ship_library
+from barlake.session import settings, ship_library
 from barlake.streaming.jobs import places
 
 CLOSED, CORRECTED, LATE = "closed", "corrected", "late"
@@ -164,8 +164,8 @@ def candle_updates(records: DataFrame, seconds: int = 60, time_basis: str = "arr
     ship_library(records.sparkSession)
     clock = TIME_COLUMNS[time_basis]
     ticks, _ = decode_ticks(records, required=[*CANDLE_FIELDS, clock], keep=places(records))
-    order = (arrival_order(ticks, clock) if time_basis == "arrival"
-             else order_key(clock, F.coalesce("trade_id", F.lit(0))))
+    ticks = ticks.withColumn("trade_id", F.coalesce("trade_id", F.lit(0)))  # only breaks ties
+    order = arrival_order(ticks, clock) if time_basis == "arrival" else order_key(clock, "trade_id")
     length = seconds * 1000
     into = F.pmod(F.col(clock) - ALIGN_TO_EPOCH_SECONDS * 1000, F.lit(length))
     partials = ticks.select(
@@ -218,19 +218,18 @@ def open_candles(spark: SparkSession, checkpoint: str, seconds: int = 60) -> Dat
         instant_of_millis(F.col("start_ms") + seconds * 1000).alias("timestamp"))
 
 
-def drain_updates(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
+def drain_updates(spark: SparkSession, writer: DataStreamWriter, partitions: int | None = None) -> StreamingQuery:
     """Process everything that is there, commit and stop. Windows that neither ticks nor the clock have
     closed stay open in the checkpoint: `open_candles` lists them, and the next run goes on from there.
 
     Timers would have Spark run batches without input for ever, so a drain has none of those; a timer that
-    is due fires in a batch with input, or in the next run.
+    is due fires in a batch with input, or in the next run. `partitions` is how many parts the state has,
+    which the first run of a checkpoint decides.
     """
-    name = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")  # a query takes the settings it is started with
-    try:
+    wanted = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    if partitions is not None:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    with settings(spark, wanted):  # a query takes the settings it is started with
         query = writer.trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(name, before)
     query.awaitTermination()
     return query

@@ -411,7 +411,8 @@ def updates_run(spark, folder, job):
     for files in (range(4), range(4, TOPIC_FILES)):
         send(spark, folder, place, files)
         stream = updates.candle_updates(topic_stream(spark, place), 3600, idle_seconds=3600)
-        updates.drain_updates(spark, updates.update_writer(stream, f"{place}/rows", f"{place}/checkpoint"))
+        writer = updates.update_writer(stream, f"{place}/rows", f"{place}/checkpoint")
+        updates.drain_updates(spark, writer, partitions=8)
     return place
 
 

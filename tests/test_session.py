@@ -3,7 +3,9 @@ from types import SimpleNamespace
 import pytest
 
 from barlake.dimensions import MAX_BROADCAST_ROWS, broadcast_listed, dimension, in_list_order
-from barlake.session import RUNTIME_CONF, configure, run_folder, shared_folder
+from barlake.session import (
+    RUNTIME_CONF, configure, file_names, run_folder, settings, shared_folder, write_file,
+)
 
 
 def session(master, folder=None):
@@ -47,3 +49,22 @@ def test_list_order(spark, length, exchanges):
     assert plan.count("Exchange rangepartitioning") == exchanges
     assert [row.position for row in ordered.collect()] == list(range(length))
 
+
+
+def test_settings_hold_inside_only(spark):
+    names = {"spark.sql.shuffle.partitions": "3", "barlake.some.name": "x"}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with pytest.raises(ValueError):
+        with settings(spark, names):
+            assert all(spark.conf.get(name) == value for name, value in names.items())
+            raise ValueError
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert spark.conf.get("barlake.some.name", None) is None
+
+
+def test_small_files(spark, tmp_path):
+    assert file_names(spark, f"{tmp_path}/none") == []
+    for content in (b"one", b"two"):
+        write_file(spark, f"{tmp_path}/folder/a.txt", content)
+    assert "a.txt" in file_names(spark, f"{tmp_path}/folder")
+    assert (tmp_path / "folder" / "a.txt").read_bytes() == b"two"

@@ -99,8 +99,20 @@ def test_windows_must_be_kept_longer_than_they_are_open(topic):
 
 def test_damaged_records_do_not_reach_the_state(topic):
     topic.send("{bad", '{"symbol":"A"}', tick("A", 1.0, 1.0, None, ALIGN_MS, ALIGN_MS))
+    topic.send(tick("A", 2.0, 1.0, None, ALIGN_MS, ALIGN_MS + 1), "")
     assert run_updates(topic, basis="arrival").count() == 0
-    assert candle_rows(opened(topic)) == [("A", 1.0, 1.0, 1.0, 1.0, 1.0, 1, ALIGN_MS + 60_000)]
+    assert candle_rows(opened(topic)) == [("A", 1.0, 2.0, 1.0, 2.0, 2.0, 2, ALIGN_MS + 60_000)]
+
+
+def test_a_late_tick_among_many_batches(topic):
+    for n in range(30):
+        topic.send(tick("A", 1.0, 1.0, n, ALIGN_MS + n * 60_000 + 1, 0))
+        if n == 5:
+            topic.send(tick("A", 7.0, 1.0, 100, ALIGN_MS + 2, 0))
+    rows = run_updates(topic)
+    assert [(r.kind, r.high) for r in rows.filter("late_ticks > 0").collect()] == [("corrected", 7.0)]
+    whole = all_candles(topic, rows)
+    assert len(whole) == 30 and sum(r[6] for r in whole) == 31
 
 
 def test_orders_over_topic_partitions(spark):
