@@ -40,11 +40,13 @@ def turned_axes(reps: DataFrame) -> dict[int, np.ndarray]:
         return work
 
     parts = arrow_pass(reps.select("x"), "size int, i int, row array<double>", make, rows=5000)
-    entries = (parts.select("size", "i", F.posexplode("row").alias("j", "value"))
-               .groupBy("size", "i", "j").agg(F.sum("value").alias("value")).collect())
+    lines = (parts.select("size", "i", F.posexplode("row").alias("j", "value"))
+             .groupBy("size", "i", "j").agg(F.sum("value").alias("value"))
+             .groupBy("size", "i").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("row"))
+             .select("size", "i", F.col("row.value").alias("row")).collect())  # one matrix per vector length
     axes: dict[int, np.ndarray] = {}
-    for entry in entries:
-        axes.setdefault(entry["size"], np.zeros((entry["size"],) * 2))[entry["i"], entry["j"]] = entry["value"]
+    for line in lines:
+        axes.setdefault(line["size"], np.zeros((line["size"],) * 2))[line["i"]] = line["row"]
     return {size: np.linalg.eigh((m + m.T) / 2)[1][:, ::-1] for size, m in axes.items()}
 
 
@@ -115,10 +117,11 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
     `least`. n_links counts the other rows linked directly, component_id is the smallest id reachable by
     links, and kept says that the row's id is that one. Vectors that are null, empty or zero, hold null
     or non-finite components or have no label link with nothing, nor do vectors of different length. An
-    id stands for one vector; its repeated rows are copies and linked as such. An empty table gives an
-    empty one; other columns are ignored.
+    id stands for one vector; its repeated rows are copies and linked as such. A null id counts as larger
+    than any other: rows without one are linked and counted like the rest, and component_id is null where
+    no linked vector has an id. An empty table gives an empty one; other columns are ignored.
 
-    Equal vectors are compared once, with their number as weight. Cells are as wide in the two leading
+    Equal vectors are compared once, with their number as weight, under a number of their own. Cells are as wide in the two leading
     dimensions as two linked vectors can be apart, so that a vector meets those of its own and of
     neighbouring cells only; cells with many vectors are cut into tiles that meet pair by pair. A tile
     pair returns a weighted number of links per vector and a forest of its links, never all of them.
@@ -131,7 +134,8 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
              & F.exists("x", lambda c: c != 0))
     rows = stored(rows.withColumn("valid", F.coalesce(valid, F.lit(False))), "dedup-rows")
     reps = stored(rows.filter("valid").groupBy("label", "x")
-                  .agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "dedup-reps")
+                  .agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+                  .withColumn("rep", F.monotonically_increasing_id()), "dedup-reps")
     axes = turned_axes(reps)
     width = float(np.sqrt(2 - 2 * least)) * (1 + 1e-9) + 1e-12
 
@@ -149,10 +153,9 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
         return work
 
     label_type = reps.schema["label"].dataType.simpleString()
-    id_type = reps.schema["rep"].dataType.simpleString()
     spots = stored(arrow_pass(
-        reps, f"label {label_type}, x array<double>, rep {id_type}, copies bigint, u int, v int", place),
-        "dedup-cells")
+        reps.select("label", "x", "rep", "copies"),
+        f"label {label_type}, x array<double>, rep bigint, copies bigint, u int, v int", place), "dedup-cells")
     placed = spots.withColumn("dim", F.size("x"))
 
     # Tiles per cell, so that every cell knows how many its neighbours have.
@@ -210,14 +213,17 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
         return pd.concat([x for x in out if len(x)]) if any(map(len, out)) else out[0]
 
     found = stored(met.groupBy("label", "dim", "fu", "fv", "sa", "sb", "t0", "t1").applyInPandas(
-        compare, f"a {id_type}, b {id_type}, links bigint"), "dedup-links")
+        compare, "a bigint, b bigint, links bigint"), "dedup-links")
     discard(spots)
     links = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     components = connected_components(found.filter("b is not null").select("a", "b"), "dedup-components")
     known = (reps.join(links, "rep", "left")
              .join(components.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("label", "x", "copies", "rep", F.coalesce("links", F.lit(0)).alias("links"),
-                     F.coalesce("component", "rep").alias("component")))
+             .select("label", "x", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), "component"))
+    heads = known.filter("component is not null").groupBy("component").agg(F.min("least").alias("head"))
+    known = known.join(heads, "component", "left").select(
+        "label", "x", "copies", "links",
+        F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("head")).alias("component"))
     joined = (rows.filter("valid").join(known, ["label", "x"])
               .select("id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component"))
     alone = rows.filter("not valid").select("id", F.lit(0).cast("bigint").alias("n_links"),
