@@ -75,7 +75,8 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
     they are there. A query with fewer candidates gets all of them. Vectors that are null or empty or hold
     null or non-finite components take no part, nor do those of another length than most (of two equally
     frequent lengths, than the longer). A table without queries or candidates
-    gives an empty result; other columns are ignored.
+    gives an empty result; other columns are ignored. Quantized components and scores are 64-bit integers:
+    components of over about 1.4e17 in size saturate, and scores beyond 64 bits wrap around.
 
     The pivots (vectors picked by hash, one for half a block and at most `pivots`) and one row per cell
     are all that reaches the driver. Rows of a cell are dealt by their place in the table to blocks of
