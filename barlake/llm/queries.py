@@ -55,7 +55,7 @@ def op4_quality(spark, folder):
 def op5_language_id(spark, folder):
     docs = table(spark, folder, "documents")
     held_out = remainder(F.col("doc_id"), 3) == 1
-    predicted = language_id.identify(docs.select("doc_id", "text", "lang"), ~held_out)
+    predicted = language_id.identify(docs.select("doc_id", "text", "lang"), ~held_out, keep=["doc_id"])
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
