@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.session import run_folder
+from barlake.session import run_folder, ship_library
 
 # Words are runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,15 +39,43 @@ def stored(df: DataFrame, job: str) -> DataFrame:
     df.write.parquet(place)
     result = df.sparkSession.read.schema(df.schema).parquet(place)
     result.stored_place = place
+    if _places is not None:
+        _places.append(place)
     return result
 
 
+# Folders of the frames that are stored while `recorded` is on.
+_places: list[str] | None = None
+
+
+@contextmanager
+def recorded():
+    """The folders of all frames that are stored inside and not discarded there."""
+    global _places
+    before, _places = _places, []
+    try:
+        yield _places
+    finally:
+        _places = before
+
+
+def delete(spark: SparkSession, place: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of stored frames that no later result reads."""
     for frame in frames:
-        context = frame.sparkSession.sparkContext
-        place = context._jvm.org.apache.hadoop.fs.Path(frame.stored_place)
-        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        delete(frame.sparkSession, frame.stored_place)
+        if _places and frame.stored_place in _places:
+            _places.remove(frame.stored_place)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are done and stored. Spark deletes them when the driver's
+    garbage is collected, which on a roomy driver may be long after they have filled the disks."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def remainder(id_column: Column, modulus: int) -> Column:
@@ -57,27 +83,6 @@ def remainder(id_column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-_shipped: set[str] = set()
-
-
-def ship_library(spark: SparkSession) -> None:
-    """Give the executors this package, once per application: an archive in the shared folder, so that
-    Python workers can import it whether or not it is installed on their machines."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root, archive = Path(__file__).resolve().parents[1], io.BytesIO()
-    with zipfile.ZipFile(archive, "w") as files:
-        for module in sorted(root.rglob("*.py")):
-            files.write(module, module.relative_to(root.parent))
-    place = context._jvm.org.apache.hadoop.fs.Path(f"{run_folder(spark, 'llm-library')}/barlake.zip")
-    out = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place)
-    out.write(bytearray(archive.getvalue()))
-    out.close()
-    context.addPyFile(place.toString())
-    _shipped.add(context.applicationId)
-
-
 def arrow_pass(df: DataFrame, schema: str,
                make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]],
                rows: int = 2000) -> DataFrame:
@@ -92,10 +97,32 @@ def arrow_pass(df: DataFrame, schema: str,
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 yield from work(batch.slice(start, rows))
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, schema)
 
 
+def running_totals(numbers: Column, width: int = 128) -> Column:
+    """Sums of an array's beginnings: in pieces of a fixed width, then over the pieces, so that the work
+    does not grow with the square of the length."""
+    zero = F.lit(0).cast("bigint")
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, zero, lambda so_far, x: so_far + x)
+
+    def totals(values: Column) -> Column:
+        return F.aggregate(
+            values, F.struct(zero.alias("total"), F.array().cast("array<bigint>").alias("sums")),
+            lambda state, x: F.struct((state["total"] + x).alias("total"), F.concat(
+                state["sums"], F.array(state["total"] + x)).alias("sums")),
+            lambda state: state["sums"])
+
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / width).cast("int")),
+                         lambda i: F.slice(numbers, i * width + 1, width))
+    sizes = F.transform(pieces, total)
+    starts = F.zip_with(totals(sizes), sizes, lambda upto, size: upto - size)
+    summed = F.zip_with(pieces, starts, lambda piece, start: F.transform(totals(piece), lambda x: start + x))
+    return F.when(F.size(numbers) > 0, F.flatten(summed)).otherwise(F.array().cast("array<bigint>"))
 
 
 def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:

@@ -16,12 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from barlake.llm.common import arrow_pass, connected_components, discard, ship_library, stored
+from barlake.llm.common import (
+    arrow_pass, connected_components, discard, forget_shuffles, ship_library, stored,
+)
 from barlake.llm.embedding_dedup import forest
 
 BANDS, BAND_ROWS = 21, 3
 VALUES, STEP = 96, 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
+# Pairs whose signatures, and shingles whose owners, are looked at in one go; bounds memory.
+PAIRS, SHINGLES = 100_000, 1_000_000
+# Shingles of a tile's documents, on average; more of them make more tiles.
+TILE_SHINGLES = 1_000_000
 
 
 def multipliers(count: int, seed: int) -> np.ndarray:
@@ -107,7 +113,15 @@ def likely_pairs(left: np.ndarray, right: np.ndarray, same: bool, least: list[tu
     i, j = np.nonzero(counts >= needed)
     if same:
         i, j = i[i < j], j[i < j]
-    matches = counts[i, j].astype(int)
+    kept = [later_steps(left, right, i[k:k + PAIRS], j[k:k + PAIRS], counts, least)
+            for k in range(0, len(i), PAIRS)]
+    return (np.concatenate([p for p, _ in kept]), np.concatenate([q for _, q in kept])) if kept else (i, j)
+
+
+def later_steps(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, counts: np.ndarray,
+                least: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that the steps after the first leave."""
+    matches, done = counts[i, j].astype(int), least[0][0]
     for n, needed in least[1:]:
         if not len(i):
             break
@@ -118,20 +132,31 @@ def likely_pairs(left: np.ndarray, right: np.ndarray, same: bool, least: list[tu
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets, from the elements that several sets share."""
-    size = len(sets)
-    every, owner = np.concatenate(sets), np.repeat(np.arange(size), [len(s) for s in sets])
-    _, place, often = np.unique(every, return_inverse=True, return_counts=True)
-    shared = often[place] > 1
-    number = (np.cumsum(often > 1) - 1)[place[shared]]
-    owner = owner[shared]
+    """Sizes of the intersections of all pairs of sorted sets, one range of values after the other."""
+    size, total = len(sets), np.zeros((len(sets), len(sets)), np.float32)
+    parts = max(1, -(-sum(map(len, sets)) // SHINGLES))
+    edges = [np.uint64((k << 64) // parts) for k in range(1, parts)]
+    cuts = [[0, *np.searchsorted(s, np.array(edges, np.uint64)).tolist(), len(s)] for s in sets]
+    for k in range(parts):
+        total += common_within([s[cut[k]:cut[k + 1]] for s, cut in zip(sets, cuts)], size)
+    return total
+
+
+def common_within(sets: list[np.ndarray], size: int) -> np.ndarray:
+    """The same for sets that are few enough, from the elements that several of them share."""
+    every, owner = np.concatenate(sets), np.repeat(np.arange(size, dtype=np.int32), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, int)
+    often = np.diff(np.append(first, len(every)))
+    owner = owner[np.repeat(often > 1, often)]
+    often = often[often > 1]
+    number, ends = np.repeat(np.arange(len(often)), often), np.append(0, np.cumsum(often))
     total = np.zeros((size, size), np.float32)
-    order = np.argsort(number, kind="stable")
-    number, owner = number[order], owner[order]
     width = max(1, 4_000_000 // size)
-    for start in range(0, int(number[-1]) + 1 if len(number) else 0, width):
-        low, high = np.searchsorted(number, [start, start + width])
-        hot = np.zeros((size, min(width, int(number[-1]) + 1 - start)), np.float32)
+    for start in range(0, len(often), width):
+        low, high = ends[start], ends[min(start + width, len(often))]
+        hot = np.zeros((size, min(width, len(often) - start)), np.float32)
         hot[owner[low:high], number[low:high] - start] = 1
         total += hot @ hot.T
     return total
@@ -201,26 +226,30 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         import xxhash
 
         def work(batch: pa.RecordBatch):
-            keys, signs = [], []
+            keys, signs, counts = [], [], []
             for body in batch.column(body_at).cast(pa.binary()).to_pylist():
                 found = shingler.shingles(body or b"")
                 keys.append(xxhash.xxh3_128_hexdigest(found) if len(found) else None)
                 signs.append(signature(found, a, b).tobytes() if len(found) else None)
+                counts.append(len(found))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(carried)], pa.array(keys, pa.string()), pa.array(signs, pa.binary())],
-                [*carried, "node", "sign"])
+                [*batch.columns[:len(carried)], pa.array(keys, pa.string()), pa.array(signs, pa.binary()),
+                 pa.array(counts, pa.int64())], [*carried, "node", "sign", "shingles"])
         return work
 
-    schema = StructType(list(slim.select(*carried).schema.fields)).add("node", "string").add("sign", "binary")
+    schema = StructType(list(slim.select(*carried).schema.fields)).add("node", "string").add("sign", "binary").add(
+        "shingles", "long")
     signed = stored(arrow_pass(slim, schema, sign).withColumn("row", F.monotonically_increasing_id()),
                     "join-signed")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row")))
     nodes = stored(signed.filter("node is not null").groupBy("node")
-                   .agg(first.alias("first"), F.count("*").alias("copies"))
-                   .select("node", "copies", "first.none", "first.id", "first.row"), "join-nodes")
+                   .agg(first.alias("first"), F.count("*").alias("copies"), F.max("shingles").alias("shingles"))
+                   .select("node", "copies", "shingles", "first.none", "first.id", "first.row"), "join-nodes")
     signs = stored(signed.select("row", "sign").join(nodes.select("row", "node"), "row")
                    .select("node", "sign"), "join-signs")
 
+    verify_rows = min(tile_rows, 512)
+
     # Buckets of nodes with the same band; of buckets with the same members one is enough.
     def bands():
         weights = multipliers(BAND_ROWS, 4)
@@ -262,8 +291,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
               .applyInPandas(candidates, "a string, b string"))
     clusters = stored(connected_components(likely, "join-clusters"), "join-clustered")
     discard(members, signs)
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    clustered = clusters.join(sizes, "component").join(nodes, "node")
+    forget_shuffles(spark)
+    # A cluster counts as larger if its documents are long, so that its tiles hold bounded sets.
+    clustered = clusters.join(nodes, "node")
+    sizes = clustered.groupBy("component").agg(F.greatest(
+        F.count("*"), F.ceil(F.sum("shingles") * verify_rows / TILE_SHINGLES)).alias("n"))
+    clustered = clustered.drop("shingles").join(sizes, "component")
 
     # Shingles of the clustered nodes: a semi-join on their ids picks the rows worth reading again.
     def again():
@@ -288,8 +321,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     held = stored(read_again.join(clustered.select("node", "component", "n", "copies"), "node")
                   .groupBy("node", "component", "n", "copies").agg(F.first("shingles").alias("shingles")),
                   "join-shingles")
-    verify_rows = min(tile_rows, 512)
-
+    forget_shuffles(spark)
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
         names, weight = frame["node"].to_numpy(), frame["copies"].to_numpy()
@@ -316,6 +348,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     found = stored(bundled(tiles, ["component", "t0", "t1"], 1000).groupBy("bundle")
                    .applyInPandas(verify, "a string, b string, links bigint"), "join-links")
     discard(held, clusters)
+    forget_shuffles(spark)
     links = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = connected_components(found.filter("b is not null").select("a", "b"), "join-classes")
     placed = (nodes.join(classes, "node", "left").join(links, "node", "left")
@@ -325,7 +358,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     known = placed.join(heads, "component").select(
         "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.col("head.id").alias("class_id"), F.col("head.row").alias("head_row"))
-    joined = signed.drop("sign").join(known, "node", "left")
+    joined = signed.drop("sign", "shingles").join(known, "node", "left")
     alone = F.col("n_links").isNull()
     return joined.select(
         *[F.col(n).alias(c) for c, n in zip(keep, names)],

@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.common import stored
+from barlake.llm.common import running_totals, stored
 
 
 class Rule(NamedTuple):
@@ -136,29 +136,6 @@ def _element(kind, value) -> tuple[set[str] | None, Query]:
     return None, ANYTHING
 
 
-def running_totals(numbers: Column, width: int = 128) -> Column:
-    """Sums of an array's beginnings: in pieces of a fixed width, then over the pieces, so that the work
-    does not grow with the square of the length."""
-    zero = F.lit(0).cast("bigint")
-
-    def total(values: Column) -> Column:
-        return F.aggregate(values, zero, lambda so_far, x: so_far + x)
-
-    def totals(values: Column) -> Column:
-        return F.aggregate(
-            values, F.struct(zero.alias("total"), F.array().cast("array<bigint>").alias("sums")),
-            lambda state, x: F.struct((state["total"] + x).alias("total"), F.concat(
-                state["sums"], F.array(state["total"] + x)).alias("sums")),
-            lambda state: state["sums"])
-
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / width).cast("int")),
-                         lambda i: F.slice(numbers, i * width + 1, width))
-    sizes = F.transform(pieces, total)
-    starts = F.zip_with(totals(sizes), sizes, lambda upto, size: upto - size)
-    summed = F.zip_with(pieces, starts, lambda piece, start: F.transform(totals(piece), lambda x: start + x))
-    return F.when(F.size(numbers) > 0, F.flatten(summed)).otherwise(F.array().cast("array<bigint>"))
-
-
 SPAN = "struct<start:bigint,kind:int,end:bigint>"
 
 
