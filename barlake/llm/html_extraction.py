@@ -18,7 +18,7 @@ from barlake.llm.common import arrow_pass
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that never hold article text.
 DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form button select textarea input "
+    "script style noscript template head title nav footer aside button select textarea input "
     "iframe object svg canvas audio video dialog menu".split())
 # A start tag of these ends an open paragraph.
 BLOCKS = frozenset(
@@ -46,6 +46,8 @@ FURNITURE = frozenset(
     "comment comments commentlist respond disqus discussion reply replies share sharing social related "
     "recommended newsletter subscribe subscription signup login search skip contentinfo complementary "
     "dialog widget teaser".split())
+# Furniture that is text by readers, of which there may be more than of the article.
+READERS = frozenset("comment comments commentlist respond disqus discussion reply replies".split())
 COMMENT = frozenset("comment comments reply replies ad ads advert promo related teaser".split())
 # Furniture words that slugs of an article's own sections have as well.
 TOPICS = frozenset(
@@ -85,18 +87,18 @@ def is_furniture(tag: str, attrs, inside_article: bool) -> bool:
 
 
 def looks_like_furniture(tag: str, attrs) -> str | None:
-    """Whether class, id or role name a container as furniture: "firm", or "topic" if all of the words
-    may as well be the topic of a section."""
+    """Whether class, id or role name a container as furniture: "firm", "reader" for readers' comments, or
+    "topic" if all of the words may as well be the topic of a section. A form is "firm"."""
     if tag in ("html", "body", "main") or tag not in CONTAINERS:
         return None
-    kind = None
+    kind = "firm" if tag == "form" else None
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
             words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
             named = words & (COMMENT if tag == "article" else FURNITURE)
             if named - TOPICS and not (named == {"header"} and words & OWN_HEADER):
-                return "firm"
-            if named & TOPICS:
+                return "reader" if named & READERS - TOPICS else "firm"
+            if named & TOPICS and kind is None:
                 kind = "topic"
     return kind
 
@@ -166,7 +168,7 @@ class Tree(HTMLParser):
             return
         furniture = here.furniture or (tag in DROPPED or tag == "header" or bool(attrs)) and is_furniture(
             tag, attrs, any(x.tag == "article" for x in self._open()))
-        node = Node(tag, here, furniture, looks_like_furniture(tag, attrs) if attrs else None)
+        node = Node(tag, here, furniture, looks_like_furniture(tag, attrs) if attrs or tag == "form" else None)
         here.parts.append(node)
         self.here = node
 
@@ -217,6 +219,9 @@ def preorder(root: Node) -> list[Node]:
 def measure(nodes: list[Node]) -> None:
     """Length of text and of linked text of each node, and the points its paragraphs pass on."""
     commas = {}
+    for node in nodes:
+        node.text = node.linked = 0
+        node.score = 0.0
     for node in reversed(nodes):  # children come before their parents
         own = "".join(x for x in node.parts if isinstance(x, str))
         length, count = len(own.strip()), own.count(",")
@@ -271,6 +276,31 @@ def blocks_of(roots: list[Node]) -> list[str]:
     return found
 
 
+def wrapper_among(suspects: list[Node], found: int) -> Node | None:
+    """The suspect that holds the article after all, if there is one: a name such as "content sidebar" may
+    be that of the element around both. It must hold much more plain text of its own, outside other
+    suspects, than was found without it. One named after readers' comments is the last resort, when nothing
+    was found, and then the outermost one, as comments may outweigh the article."""
+    plain = {node: plain_text(node) for node in suspects if node.furniture}
+    likely = [node for node, length in plain.items() if length >= 200 and length >= 3 * found]
+    named = [node for node in likely if node.suspect != "reader"]
+    if named:
+        return max(named, key=plain.get)
+    return min(likely, key=lambda node: (node.level, -plain[node]), default=None) if found < 80 else None
+
+
+def plain_text(node: Node) -> int:
+    """Characters of text below an element that are neither linked nor below furniture."""
+    total, stack = 0, [node]
+    while stack:
+        for x in stack.pop().parts:
+            if isinstance(x, str):
+                total += len(x.strip())
+            elif not x.furniture and x.tag != "a":
+                stack.append(x)
+    return total
+
+
 def main_text(html: str | None) -> str:
     """The article's text: blocks in page order, joined by one line break; empty if there is none."""
     if not html:
@@ -279,11 +309,22 @@ def main_text(html: str | None) -> str:
     tree.feed(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", html))
     tree.close()
     suspects = clear_suspects(tree.root)
-    nodes = preorder(tree.root)
+    while True:
+        text = best_text(tree.root, suspects)
+        wrapper = wrapper_among(suspects, len(text))
+        if wrapper is None:
+            return text
+        while wrapper is not None:  # nor are the elements around it furniture
+            wrapper.furniture, wrapper.suspect, wrapper = False, None, wrapper.parent
+
+
+def best_text(root: Node, suspects: list[Node]) -> str:
+    """The text of the best container and its fitting siblings, without what is furniture by now."""
+    nodes = preorder(root)
     measure(nodes)
     best = max(nodes, key=lambda node: (node.score * (1 - link_share(node)), -node.level))
     if best.score <= 0:
-        return "\n".join(blocks_of([tree.root]))
+        return "\n".join(blocks_of([root]))
     whole = best
     while whole is not None and whole.tag not in ("article", "main"):
         whole = whole.parent
@@ -321,7 +362,9 @@ def extract_main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...
 
     Markup, scripts, styles, menus, page headers and footers, sidebars, notices, adverts, forms and
     reader comments are left out; character references are decoded; white space inside a block becomes
-    one space and blocks are joined by one line break. Nothing else is dropped or cut. A null, empty or
+    one space and blocks are joined by one line break. Nothing else is dropped or cut. An element whose class,
+    id or role names furniture, and a form, is furniture unless it holds the article or main element, or
+    else the article itself (see `wrapper_among`). A null, empty or
     textless page has empty text and 0 characters. Pages are independent: repeated rows give repeated
     rows, an empty table gives an empty one, other columns are ignored.
     """
