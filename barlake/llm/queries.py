@@ -37,9 +37,10 @@ def op1_ngram_join(spark, folder):
 def op2_mix_sources(spark, folder):
     """How many words the mix takes of each document; rows that are repeated appear as often."""
     mix = mixing.mix(table(spark, folder, "documents"))
+    times = F.col("times") + (F.col("row") <= F.col("more")).cast("bigint")
     return (mix.withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
             .select("doc_id", "source", "size", "source_size", "target",
-                    (F.col("size") * F.col("times")).alias("taken"), "times"))
+                    (F.col("size") * times).alias("taken"), times.alias("times")))
 
 
 def op3_byte_bpe(spark, folder):
