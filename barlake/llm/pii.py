@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.common import stored
+from barlake.llm.common import running_totals, stored
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns, written so that no run of characters is tried again from each of its places: a
@@ -23,14 +23,16 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+HOLDS_EMAIL = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 # What a text must hold for a base pattern to match; spares the others the search for places.
 NEEDED = {"email": r"@[A-Za-z0-9-]+\.", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?+[0-9]){12}",
           "phone": r"\+[0-9]"}
-# Identifiers that patterns may discover: unbroken, behind white space, with '@' or a digit.
-CANDIDATE = (r"(?<!\S)(?=[^\s0-9@]*+[0-9@])[(+]?[A-Za-z0-9][A-Za-z0-9@._()/+-]{5,62}[A-Za-z0-9]"
-             r"(?![A-Za-z0-9])")
-CANDIDATE_NEEDED = r"[0-9](?:[^\s0-9]*+[0-9]){5}|@"
+# Identifiers that patterns may discover: whole runs of identifier characters with '@' or a digit, behind
+# anything else (a label, a bracket, a quote, white space); groups of digits may stand one space apart.
+CANDIDATE = (r"(?<![A-Za-z0-9@._/+-])(?=[A-Za-z._()/+-]*+[0-9@])[(+]?[A-Za-z0-9][A-Za-z0-9@._()/+-]*[A-Za-z0-9]"
+             r"(?:(?<=[0-9])\)?\x20[(]?[0-9][0-9()./-]*[0-9])*+(?![A-Za-z0-9])")
+CANDIDATE_NEEDED = r"[0-9](?:[^\s0-9]*+\x20?[0-9]){5}|@"
 # Characters of context that are looked at on either side.
 REACH = 40
 
@@ -67,21 +69,13 @@ def all_matches(text: Column, pattern: str) -> Column:
     The parts between the matches and the matches themselves make up the text, so their lengths add up
     to the places.
     """
-    between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(found, between, lambda value, before: F.struct(
-        value.alias("value"), before.alias("before")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"),
-                     F.array().cast(SPANS).alias("spans"))
-    return F.aggregate(
-        F.filter(pairs, lambda p: p["value"].isNotNull()), start,
-        lambda state, p: F.struct(
-            (state["at"] + F.length(p["before"]) + F.length(p["value"])).alias("at"),
-            F.concat(state["spans"], F.array(F.struct(
-                (state["at"] + F.length(p["before"])).alias("start"),
-                (state["at"] + F.length(p["before"]) + F.length(p["value"])).alias("end"),
-                p["value"].alias("value")))).alias("spans")),
-        lambda state: state["spans"])
+    sizes = F.transform(found, lambda value: F.length(value).cast("bigint"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap).cast("bigint"))
+    ends = running_totals(F.zip_with(sizes, F.slice(gaps, 1, F.greatest(F.size(sizes), F.lit(0))),
+                                     lambda size, gap: size + gap))
+    return F.zip_with(ends, found, lambda end, value: F.struct(
+        (end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"))).cast(SPANS)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -100,21 +94,29 @@ def with_context(text: Column, span: Column, kind: Column) -> Column:
                     F.substring(text, end + 1, F.lit(REACH)).alias("right"))
 
 
+def kept_names(keep: list[str]) -> list[str]:
+    """Names for kept columns that clash with none of the operator's own."""
+    return [f"__k{i}" for i in range(len(keep))]
+
+
 def found_spans(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The kept columns, `spans` (base spans in order of kind and place) and `candidates` (identifier-like
-    strings outside all base spans), both with their context; and `row`, a number for every row."""
+    """The kept columns under `kept_names`, `spans` (base spans in order of kind and place) and `candidates`
+    (identifier-like strings outside all base spans), both with their context; and `row`, a number for
+    every row."""
     body = F.col("__text")
 
     def of_kind(kind: str) -> Column:
         return F.transform(base_spans(body, kind), lambda s: with_context(body, s, F.lit(kind)))
 
     kinds = F.concat(*map(of_kind, KINDS))
-    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(text, F.lit("")).alias("__text"))
+    slim = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, kept_names(keep))],
+                       F.coalesce(text, F.lit("")).alias("__text"))
     slim = slim.withColumn("__spans", kinds)
+    # What holds an address overlaps a base span for sure; only the others are compared with all spans.
     likely = F.filter(
-        all_matches(body, CANDIDATE),
-        lambda c: (c["value"].contains("@") | (F.length(digits(c["value"])) >= 6)) & ~F.exists(
-            "__spans", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+        F.filter(all_matches(body, CANDIDATE), lambda c: ~c["value"].rlike(HOLDS_EMAIL) & (
+            c["value"].contains("@") | (F.length(digits(c["value"])) >= 6))),
+        lambda c: ~F.exists("__spans", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
     candidates = F.when(body.rlike(CANDIDATE_NEEDED), F.transform(
         likely, lambda c: with_context(body, c, F.lit(None).cast("string"))))
     return slim.withColumn("__candidates", candidates).drop("__text").withColumn(
@@ -173,17 +175,25 @@ def discovered(occurrences: DataFrame, least_seeds: int, least_confidence: float
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
-                       least_seeds: int = 8, least_confidence: float = 0.9, rounds: int = 3) -> DataFrame:
+                       **options) -> DataFrame:
     """Personal data of every whole text: the kept columns (all but the text by default), `base` and
     `spans`, arrays of (kind, start, end) in order of kind, start and end; places in code points.
 
     `base` holds the valid matches of the base patterns, leftmost and non-overlapping per kind; `spans`
-    also what bootstrapped patterns discover (see `discovered`), which never overlaps a base span. A null
-    text counts as empty and has no spans. Rows are kept one by one, repeated rows included; without any
-    seed nothing is discovered; an empty table gives an empty one. Columns named `base` or `spans` must
-    not be among the kept ones.
+    also what bootstrapped patterns discover (see `discovered` for the options), which never overlaps a
+    base span. A null text counts as empty and has no spans. Rows are kept one by one, repeated rows
+    included; without any seed nothing is discovered; an empty table gives an empty one. Kept columns that
+    are called `base` or `spans` are left out.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = [c for c in keep if c not in ("base", "spans")]
+    found = spans_of_rows(docs, text, keep, **options)
+    return found.select(*[F.col(n).alias(c) for c, n in zip(keep, kept_names(keep))], "base", "spans")
+
+
+def spans_of_rows(docs: DataFrame, text: str, keep: list[str], least_seeds: int = 8,
+                  least_confidence: float = 0.9, rounds: int = 3) -> DataFrame:
+    """The kept columns under `kept_names`, `base` and `spans`."""
     rows = stored(found_spans(docs, text, keep), "pii-rows")
     every = rows.select("__row", F.explode(F.concat("__spans", F.coalesce(
         "__candidates", F.expr("slice(__spans, 1, 0)")))).alias("o")).select("__row", "o.*")
@@ -199,7 +209,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", keep: list[str] | No
         lambda s: F.struct(order[s["kind"]].alias("k"), s["start"].alias("start"), s["end"].alias("end"),
                            s["kind"].alias("kind")))),
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return joined.withColumn("spans", ordered).select(*[F.col(f"`{c}`") for c in keep], "base", "spans")
+    return joined.withColumn("spans", ordered).select(*kept_names(keep), "base", "spans")
 
 
 def spans_text(spans: Column) -> Column:
@@ -212,22 +222,27 @@ def redacted(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
     Of spans that overlap, the first names the replacement, which covers them all. Null texts stay null.
     """
-    found = find_personal_data(
-        docs.withColumn("__kept", F.col(text)).select(*docs.columns, "__kept").withColumnRenamed(
-            "__kept", "__body"), text, [*[c for c in docs.columns if c != text], "__body"], **options)
-    body = F.col("__body")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    found = spans_of_rows(docs, text, docs.columns, **options)
+    names = kept_names(docs.columns)
+    body = F.col(names[docs.columns.index(text)])
     by_place = F.array_sort(F.transform("spans", lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    clean = F.aggregate(
+    cut = "array<struct<from:bigint,start:bigint,kind:string>>"
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(cut).alias("cuts"))
+    # What is replaced: spans that begin where none before reaches, with the end of what was before.
+    cuts = F.aggregate(
         by_place, start,
-        lambda state, s: F.when(s["start"] >= state["at"], F.struct(
-            s["end"].alias("at"),
-            F.concat(state["out"], F.substring(body, (state["at"] + 1).cast("int"),
-                                               (s["start"] - state["at"]).cast("int")),
-                     F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out")))
-        .otherwise(F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))),
-        lambda state: F.concat(state["out"], F.substring(body, (state["at"] + 1).cast("int"),
-                                                         F.length(body))))
-    replaced = found.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(body))
-    return replaced.select(*[F.col(f"`{c}`") for c in docs.columns])
+        lambda state, s: F.struct(
+            F.greatest(state["at"], s["end"]).alias("at"),
+            F.when(s["start"] >= state["at"], F.concat(state["cuts"], F.array(F.struct(
+                state["at"].alias("from"), s["start"].alias("start"), s["kind"].alias("kind")))))
+            .otherwise(state["cuts"]).alias("cuts")))
+
+    def part(begin: Column, end: Column) -> Column:
+        return F.substring(body, (begin + 1).cast("int"), (end - begin).cast("int"))
+
+    pieces = F.transform(cuts["cuts"], lambda c: F.concat(
+        part(c["from"], c["start"]), F.lit("["), F.upper(c["kind"]), F.lit("]")))
+    clean = F.concat(F.array_join(pieces, ""), part(cuts["at"], F.length(body).cast("bigint")))
+    replaced = F.when(F.size("spans") > 0, clean).otherwise(body)
+    return found.select(*[(replaced if c == text else F.col(n)).alias(c) for c, n in zip(docs.columns, names)])
