@@ -156,6 +156,30 @@ def test_embedding_dedup_equals_brute_force(spark, tile_rows):
     assert len(links) > 1000
 
 
+def test_embedding_dedup_with_null_and_very_large_ids(spark):
+    big = 2 ** 60
+    rows = [(None, [1.0, 0.0], "a"), (big + 1, [1.0, 0.01], "a"), (big + 3, [1.0, 0.02], "a"),
+            (None, [0.0, 1.0], "a"), (None, [0.01, 1.0], "a"), (7, [-1.0, 0.0], "a"), (7, [-1.0, 0.0], "a"),
+            (None, None, "a"), (big + 5, [1.0, 0.0], None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted((tuple(r) for r in embedding_dedup.near_duplicates(frame).collect()), key=repr)
+    assert got == sorted([
+        (None, 2, big + 1, False), (big + 1, 2, big + 1, True), (big + 3, 2, big + 1, False),
+        (None, 1, None, True), (None, 1, None, True), (7, 1, 7, True), (7, 1, 7, True),
+        (None, 0, None, True), (big + 5, 0, big + 5, True)], key=repr)
+
+
+def test_common_counts_in_ranges_equal_set_intersections(monkeypatch):
+    draw = np.random.default_rng(2)
+    pool = draw.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(draw.choice(pool, n)) for n in (0, 1, 5, 80, 300, 300, 700)]
+    expected = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    for most in (10, 200, 10_000):
+        monkeypatch.setattr(ngram_join, "SHINGLES", most)
+        counts = ngram_join.common_counts(sets)
+        assert all(counts[i, j] == expected[i][j] for i in range(7) for j in range(7) if i != j)
+
+
 def test_embedding_dedup_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_duplicates(empty).collect() == []

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from barlake.llm import secret_scan
+from barlake.llm.common import running_totals
 from barlake.llm.secret_scan import ANYTHING, BASE_RULES, MORE_RULES, Rule, find_secrets, trigram_query
 
 RULES = BASE_RULES + MORE_RULES
@@ -88,5 +88,5 @@ def test_texts_with_a_match_satisfy_the_query(pattern):
 def test_running_totals(spark):
     numbers = [[random.Random(n).randint(0, 9) for _ in range(n)] for n in (0, 1, 2, 127, 128, 129, 400)]
     frame = spark.createDataFrame([(x,) for x in numbers], "x array<bigint>")
-    got = [r[0] for r in frame.select(secret_scan.running_totals(F.col("x"))).collect()]
+    got = [r[0] for r in frame.select(running_totals(F.col("x"))).collect()]
     assert got == [[sum(x[:i + 1]) for i in range(len(x))] for x in numbers]

@@ -34,16 +34,17 @@ def test_mix_comes_near_its_targets(spark):
     rows += [(2000, None, "a", 0, 0), (2001, "", "e", 0, 0)]
     got = mixed(spark, rows, bucket_rows=50)
     again = mixed(spark, rows, bucket_rows=50)
-    assert sorted((r["doc_id"], r["times"]) for r in got) == sorted((r["doc_id"], r["times"]) for r in again)
+    assert sorted((r["doc_id"], r["times"], r["more"]) for r in got) == sorted(
+        (r["doc_id"], r["times"], r["more"]) for r in again)
     assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
     total = sum(r["size"] for r in got)
     per = {}
     for r in got:
         assert r["size"] == len((next(x for x in rows if x[0] == r["doc_id"])[1] or "").split())
-        assert 0 <= r["times"] <= 3
+        assert r["rows"] == 1 and 0 <= r["times"] + r["more"] <= 3
         part = per.setdefault(r["source"], [0, r["source_size"], r["target"], 0])
         part[0] += r["size"]
-        part[3] += r["size"] * r["times"]
+        part[3] += r["size"] * (r["times"] + r["more"])
     for size, told, target, taken in per.values():
         assert size == told and target <= 3 * size + 1e-9
         assert abs(taken - target) <= 1
@@ -64,16 +65,39 @@ def test_mix_of_nothing_and_of_texts_without_words(spark):
     assert [r["times"] for r in mixed(spark, [(1, "", "a", 0, 0), (2, None, "b", 0, 0)])] in ([0, 0], [1, 1])
 
 
-def test_repeated_rows_are_taken_together(spark):
+def test_rows_alike_are_documents_of_their_own(spark):
     rows = [(1, "a b c", "s", 0, 0)] * 3 + [(2, "a", "s", 0, 0), (3, "a b", "t", 0, 0)]
-    got = {(r["doc_id"], r["rows"]): r["times"] for r in mixed(spark, rows)}
+    got = {(r["doc_id"], r["rows"]): r["rows"] * r["times"] + r["more"] for r in mixed(spark, rows)}
     assert set(got) == {(1, 3), (2, 1), (3, 1)}
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target int")
-    counts = Counter(r["doc_id"] for r in mixing.mixed_documents(docs).collect())
-    assert counts == Counter({i: n * t for (i, n), t in got.items() if t})
+    assert Counter(r["doc_id"] for r in mixing.mixed_documents(docs).collect()) == Counter(
+        {i: n for (i, _), n in got.items() if n})
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_a_source_with_many_rows_alike_hits_its_target(spark):
+    text = " ".join(["w"] * 50)
+    rows = [(k if k >= 200 else None, text + (" x" if k % 2 and k < 100 else ""), "s", 0, 0) for k in range(600)]
+    rows = [(i, t[:99], s, a, b) for i, t, s, a, b in rows]  # 50 words each, two texts with a null id
+    rows += [(5000 + k, "w " * 10, "t", 0, 0) for k in range(130)]
+    for copies in (rows, rows + [(None, text, "s", 0, 0)] * 100):
+        docs = spark.createDataFrame(copies, "doc_id long, text string, source string, size int, target int")
+        per = {r["source"]: r for r in mixing.mix(docs, bucket_rows=20).groupBy("source").agg(
+            F.max("target").alias("target"), F.max("source_size").alias("source_size"),
+            F.sum(F.col("size") * (F.col("rows") * F.col("times") + F.col("more"))).alias("taken")).collect()}
+        for source, words in (("s", 50), ("t", 10)):
+            assert abs(per[source]["taken"] - per[source]["target"]) <= words / 2
+        taken = mixing.mixed_documents(docs, share_rows=7, bucket_rows=20).groupBy("source").count().collect()
+        assert {r["source"]: r["count"] for r in taken} == {s: per[s]["taken"] // w for s, w in (("s", 50), ("t", 10))}
+
+
+def test_a_giant_among_short_texts_is_fitted():
+    lengths = [*range(1, 4001), 2_000_000]
+    taken = mixing.fit_budget(lengths, [20] * 4000 + [1], 77_777_777.4)
+    assert sum(n * t for n, t in zip(lengths, taken)) == 77_777_777
+    assert all(0 <= t <= c for t, c in zip(taken, [20] * 4000 + [1]))
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_budget_fit_is_the_nearest_sum(seed):
     draw = random.Random(seed)
@@ -86,8 +110,7 @@ def test_budget_fit_is_the_nearest_sum(seed):
     for n, c in zip(lengths, counts):
         sums = {s + n * k for s in sums for k in range(c + 1)}
     reached = sum(n * t for n, t in zip(lengths, taken))
-    # The share taken first may exclude the very nearest sum, by less than the shortest length.
-    assert abs(reached - budget) <= min(abs(s - budget) for s in sums) + lengths[0]
+    assert abs(reached - budget) == min(abs(s - budget) for s in sums)
 
 
 # Byte-pair coding
@@ -184,6 +207,84 @@ def test_quality_shrinks_small_sites_to_the_whole(spark):
     assert got[19]["host_rate"] < got[400]["host_rate"] < 0.5
 
 
+def plain_features(text):
+    """The classifier's features of an ASCII text, by plain loops."""
+    words, chars = [w for w in re.split(r"[ \t-\r]+", text) if w], max(len(text), 1)
+    n = max(len(words), 1)
+    runs = re.findall(r"(([#$%&*!])\2+)", text)
+    pieces = re.split(r"[ \t-\r]+", text)
+    count = lambda test: sum(map(test, text))
+    return [min(v, 1.0) for v in (
+        count(str.isalpha) / chars, count(str.isupper) / chars, count(str.isdigit) / chars,
+        count(lambda c: not (c.isalnum() or c.isspace() or c in ".,;:'\"()-")) / chars,
+        count(lambda c: c in ".!?") / n, text.count(",") / n, text.count("|") / n, len(runs) / n,
+        text.count("\n") / n, len(set(pieces)) / n)] + [min(chars / n / 12, 1.5), math.log1p(n) / 10]
+
+
+def plain_quality(docs, labels):
+    """(evidence, host_rate, path_rate, probability) per row."""
+    given = {}
+    for k, y in labels:
+        if k is not None and y is not None:
+            given.setdefault(k, []).append(y)
+    label = {k: sum(ys) / len(ys) for k, ys in given.items()}
+    some = [bool((text or "").split()) for _, text, *_ in docs]
+    x = [plain_features(text or "") + [1.0] for _, text, *_ in docs]
+    train = [(x[i], label[d[0]]) for i, d in enumerate(docs) if some[i] and d[0] in label]
+    a, b = np.array([t[0] for t in train]), np.array([t[1] for t in train])
+    weights = np.zeros(a.shape[1])
+    for _ in range(60):  # Newton's method on the ridged loss
+        p = 1 / (1 + np.exp(-a @ weights))
+        weights += np.linalg.solve((a.T * (p * (1 - p))) @ a + 1e-3 * len(b) * np.eye(len(weights)),
+                                   a.T @ (b - p) - 1e-3 * len(b) * weights)
+    evidence = 1 / (1 + np.exp(-np.clip(np.array(x) @ weights, -12, 12)))
+    value = [label.get(d[0], evidence[i]) if some[i] else None for i, d in enumerate(docs)]
+
+    def rates(keys, towards, floor=5.0, most=1e6):
+        """Rates of groups shrunk towards others', by the method of moments."""
+        sums = {}
+        for key, v in zip(keys, value):
+            good, n = sums.get(key, (0.0, 0))
+            sums[key] = (good + v, n + 1) if v is not None else (good, n)
+        many = {k: (g / n, n, towards(k)) for k, (g, n) in sums.items() if n > 1}
+        total = sum(n for _, n, _ in many.values())
+        spread = sum(n * (r - t) ** 2 for r, n, t in many.values())
+        inside = sum(t * (1 - t) for _, _, t in many.values())
+        between = max(spread - inside, 0) / total
+        within = sum(n * t * (1 - t) for _, n, t in many.values()) / total
+        s = min(max(within / between if between > 0 else most, floor), most)
+        return {k: (g + s * towards(k)) / (n + s) for k, (g, n) in sums.items()}
+
+    counted = [v for v in value if v is not None]
+    base = sum(counted) / len(counted)
+    hosts = rates([d[2] for d in docs], lambda k: base)
+    paths = rates([(d[2], d[3]) for d in docs], lambda k: hosts[k[0]])
+    odds = lambda p: math.log(p / (1 - p))
+    out = []
+    for i, d in enumerate(docs):
+        path = paths[d[2], d[3]]
+        chance = 1 / (1 + math.exp(-(odds(evidence[i]) + odds(path) - odds(base)))) if some[i] else 0.0
+        out.append((d[0], float(evidence[i]), hosts[d[2]], path, chance))
+    return sorted(out, key=str)
+
+
+def test_quality_equals_plain_loops(spark):
+    draw = random.Random(12)
+    docs = []
+    for k in range(400):
+        site = draw.choice(["a", "a", "b", "c", "d", None])
+        bad = draw.random() < {"a": 0.2, "b": 0.8, "c": 0.5, "d": 0.3, None: 0.6}[site]
+        words = [draw.choice(["House", "walks,", "under", "yellow", "often.", "x|y", "12"]) for _ in range(draw.randint(1, 30))]
+        docs.append((k, " ".join(w + "%%!!" * bad for w in words), site, draw.choice(["en", "fr", None]), 0))
+    docs += [(400, None, "a", "en", 0), (401, " ", "e", "en", 0), (5, docs[5][1], docs[5][2], docs[5][3], 0)]
+    labels = [(k, int("%" not in docs[k][1])) for k in range(0, 400, 3)] + [(3, 0), (9, None), (None, 1), (401, 1)]
+    got = sorted(((r["doc_id"], r["evidence"], r["host_rate"], r["path_rate"], r["probability"])
+                  for r in judged(spark, docs, labels).collect()), key=str)
+    expected = plain_quality(docs, labels)
+    assert [g[0] for g in got] == [e[0] for e in expected]
+    assert all(math.isclose(u, v, rel_tol=1e-5, abs_tol=1e-7) for g, e in zip(got, expected) for u, v in zip(g[1:], e[1:]))
+
+
 def test_quality_without_labels_or_rows(spark):
     docs = [(1, "some words", "a", "en", 0), (2, None, "a", "en", 0)]
     got = {r["doc_id"]: r for r in judged(spark, docs, []).collect()}
@@ -227,6 +328,79 @@ def test_languages_do_not_see_labels_of_held_out_rows(spark):
     assert language_id.identify(docs.limit(0), training).collect() == []
 
 
+def brute_languages(rows, held_out, longest=4):
+    """(language, score) per row by plain counting."""
+    words, grams = {}, {}
+    for k, text, lang in rows:
+        if not held_out(k) and text and lang:
+            for word in re.findall(r"[^\W\d_]+", text.lower()):
+                words.setdefault(lang, Counter())[word] += 1
+                marked = f"<{word}>"
+                for n in range(1, longest + 1):
+                    grams.setdefault(lang, Counter()).update(marked[i:i + n] for i in range(len(marked) - n + 1))
+    names = sorted(words)
+    lexicon = {w for c in words.values() for w in c}
+    known_grams = {g for c in grams.values() for g in c}
+    sizes = Counter(map(len, known_grams))
+
+    def log_shares(counts, entry, totals):
+        found = [math.log((counts[n][entry] + 0.5) / totals[n]) for n in names]
+        return np.array(found) - max(found)
+
+    def of_word(word):
+        if word in lexicon:
+            return log_shares(words, word, {n: sum(words[n].values()) + 0.5 * (len(lexicon) + 1) for n in names})
+        marked, at, cover = f"<{word}>", 0, []
+        while at < len(marked):
+            piece = next((marked[at:e] for e in range(min(at + longest, len(marked)), at, -1)
+                          if marked[at:e] in known_grams), None)
+            at += len(piece) if piece else 1
+            if piece:
+                cover.append(log_shares(grams, piece, {
+                    n: sum(c for g, c in grams[n].items() if len(g) == len(piece)) + 0.5 * (sizes[len(piece)] + 1)
+                    for n in names}))
+        return np.mean(cover, axis=0) if cover else np.zeros(len(names))
+
+    out = {}
+    for k, text, _ in rows:
+        found = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not found:
+            out[k] = ("und", 0.0)
+            continue
+        means = sum(map(of_word, found)) / len(found)
+        shares = np.exp((means - means.max()) * min(len(found), 10))
+        out[k] = (names[int(means.argmax())], float(shares.max() / shares.sum()))
+    return out
+
+
+def test_language_scores_equal_plain_counting_however_few_words_are_shared(spark):
+    draw = random.Random(6)
+    makers = {"aa": "abcde", "bb": "cdefg", "cc": "efghi"}
+    rows = []
+    for k in range(150):
+        lang = draw.choice(["aa", "aa", "aa", "bb", "cc"])
+        text = " ".join("".join(draw.choices(makers[lang], k=draw.randint(1, 4))) for _ in range(draw.randint(1, 12)))
+        rows.append((k, text, lang if k % 9 else None))
+    rows += [(200, None, "aa"), (201, "12 !", "bb"), (202, "Zzz qqq", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    expected = brute_languages(rows, lambda k: zlib.crc32(str(k).encode()) % 3 == 1)
+    for lexicon in (60_000, 12):
+        got = language_id.identify(docs, remainder(F.col("doc_id"), 3) != 1, lexicon=lexicon).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            lang, score = expected[r["doc_id"]]
+            assert math.isclose(r["score"], score, rel_tol=1e-3), (lexicon, r)
+            assert r["lang_pred"] == lang or math.isclose(r["score"], 0.5, rel_tol=0.01)
+
+
+def test_a_small_language_keeps_its_words_beside_a_large_one(spark):
+    counts = spark.createDataFrame([("large", f"w{k}", 3) for k in range(7000)]
+                                   + [("small", f"s{k}", 1) for k in range(30)], "lang string, word string, n long")
+    kept = {r["word"] for r in language_id.frequent_per_language(counts, "word", 600).collect()}
+    assert sum(w[0] == "s" for w in kept) == 30 and 500 < len(kept) < 640
+    assert language_id.quotas({"a": 5, "b": 100, "c": 1000}, 300) == {"a": 5, "b": 100, "c": 195}
+
+
 def test_unseen_words_fall_back_to_shorter_grams():
     model = language_id.BackoffModel(
         ["aa", "bb"], {"abc": {"aa": 5}}, {"ab": {"aa": 9}, "x": {"bb": 3}, "a": {"aa": 1}}, [5, 1], 3)
@@ -293,10 +467,31 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert clean[102] == "nothing here"
 
 
+def test_identifiers_behind_labels_brackets_and_quotes_are_discovered(spark):
+    rows = [(k, f"Write to email: bob{k}@mail.org now, or phone: +1 555 010 {1000 + k} now") for k in range(60)]
+    forms = ["email:bob2@localhost", "email: <bob3@localhost>", 'email: "bob4@localhost"', "email=x",
+             "phone:5550102233", "phone: 030 1234 567", "phone: (030) 1234567", "phone: " + "5" * 200]
+    rows += [(100 + k, f"Write to {form} now") for k, form in enumerate(forms)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id int, text string, base int, spans string")
+    got = {r["doc_id"]: [dict(rows)[r["doc_id"]][s["start"]:s["end"]] for s in r["spans"]]
+           for r in pii.find_personal_data(docs).collect() if r["doc_id"] >= 100}
+    assert got == {100: ["bob2@localhost"], 101: ["bob3@localhost"], 102: ["bob4@localhost"], 103: [],
+                   104: ["5550102233"], 105: ["030 1234 567"], 106: ["(030) 1234567"], 107: ["5" * 200]}
+    clean = {r["doc_id"]: r for r in pii.redacted(docs).collect()}
+    assert clean[101]["text"] == "Write to email: <[EMAIL]> now" and clean[101]["base"] == 1
+
+
+def test_a_text_with_thousands_of_addresses(spark):
+    text = " ".join(f"é a{k}@b.org" for k in range(6000))
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    assert [tuple(s) for s in pii.find_personal_data(docs).first()["spans"]] == plain_spans(text)
+    assert pii.redacted(docs).first()["text"] == " ".join(["é [EMAIL]"] * 6000)
+
+
 def test_redaction_covers_overlaps_and_keeps_nulls(spark):
     docs = spark.createDataFrame([(1, "x a@1.2.3.4 🙂 y", 0), (2, None, 0), (2, None, 0)],
                                  "doc_id int, text string, spans int")
-    got = sorted(((r["doc_id"], r["text"]) for r in pii.redacted(docs.drop("spans")).collect()), key=str)
+    got = sorted(((r["doc_id"], r["text"]) for r in pii.redacted(docs).collect()), key=str)
     assert got == [(1, "x [EMAIL] 🙂 y"), (2, None), (2, None)]
 
 
@@ -437,3 +632,47 @@ def test_long_articles_are_kept_whole():
     parts = [f"Paragraph {k}, with some words" + ", and more" * (k % 7) for k in range(2000)]
     page = PAGE % ("<article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article>")
     assert html_extraction.main_text(page) == "\n".join(parts)
+
+
+WRAPPERS = ["", "class='post-with-comments'", "class='wrap content-sidebar'", "class='elementor-widget'",
+            "id='main-search'", "class='container banner-top'", "class='share-layout search-page'",
+            "class='page layout'", "role='banner'"]
+BOXES = ["<div class='sidebar'><p>%s</p></div>", "<aside><p>%s</p></aside>", "<nav><a href='#'>%s</a></nav>",
+         "<div class='share'><a href='#'>%s</a></div>", "<ul class='menu'><li><a href='/'>%s</a></li></ul>",
+         "<footer><p>%s</p></footer>", "<form><p>%s</p><input></form>", "<div class='promo'><p>%s</p></div>",
+         "<script>var x = '%s';</script>"]
+COMMENTS = "<div class='comments'>%s</div>"
+
+
+def made_page(draw):
+    """A page and the text of its article, by construction."""
+    def words(n):
+        return " ".join("".join(draw.choices("abcdefghij", k=draw.randint(3, 9))) for _ in range(n))
+
+    def around():
+        return "".join(box % words(3) for box in draw.sample(BOXES, draw.randint(0, 3)))
+
+    paragraphs = [f"{words(draw.randint(15, 40))}, {words(draw.randint(5, 20))}, {words(6)}."
+                  for _ in range(draw.randint(3, 8))]
+    article = "<div class='text'>%s</div>" % "".join(f"<p>{p}</p>" for p in paragraphs)
+    if draw.random() < 0.5:
+        article += COMMENTS % "".join(f"<p>{words(12)}, {words(8)}.</p>" for _ in range(draw.randint(1, 20)))
+    for _ in range(draw.randint(1, 3)):
+        article = f"{around()}<div {draw.choice(WRAPPERS)}>{around()}{article}{around()}</div>{around()}"
+    if draw.random() < 0.3:  # one form around the whole page, as some servers make them
+        article = article.replace("<form><p>", "<div class='login'><p>").replace("<input></form>", "</div>")
+        article = f"<form action='/'>{article}<input type='hidden'></form>"
+    return f"<html><head><title>{words(2)}</title></head><body>{article}</body></html>", "\n".join(paragraphs)
+
+
+def test_articles_in_wrappers_named_like_furniture():
+    draw = random.Random(11)
+    for _ in range(600):
+        page, text = made_page(draw)
+        assert html_extraction.main_text(page) == text, page
+
+
+def test_comments_longer_than_the_article_stay_out():
+    page, text = made_page(random.Random(5))
+    comments = COMMENTS % ("<p>Very long comment, of a reader, who goes on and on.</p>" * 200)
+    assert html_extraction.main_text(page.replace("</body>", comments + "</body>")) == text
