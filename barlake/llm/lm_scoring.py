@@ -1,9 +1,9 @@
 """Language-model scoring: a gated recurrent network in numpy with class-factored output.
 
 Counts of all training tokens give the vocabulary, the classes and the scores of rare words. The network
-is trained by truncated backpropagation through time on a sample that grows with the table, by several
-trainers whose weights are averaged. Scoring carries the state across windows, so that the score is the
-log-likelihood of the complete document.
+is trained by truncated backpropagation through time on all training tokens, dealt to trainers whose number
+grows with the table and whose weights are averaged. Scoring carries the state across windows, so that the
+score is the log-likelihood of the complete document.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barlake.llm.common import arrow_pass, most_frequent, ship_library, stored
 
@@ -23,8 +24,12 @@ CLASSES, PER_CLASS, HIDDEN = 64, 64, 32
 # Numbers of the two tokens that are no words; words follow, most frequent first.
 END, RARE = 0, 1
 BLOCK = 8192
+# Tokens as they are stored; there are at most CLASSES * PER_CLASS of them.
+TOKEN = np.dtype("<u2")
 # Networks that are added up in one go.
 FAN_IN = 64
+# Lanes and rate of the trainers: wide steps, so that a pass over all tokens is affordable.
+LANES, RATE = 256, 0.01
 FLUSH = 200_000
 
 
@@ -166,11 +171,12 @@ class Gru:
 
         States are carried from window to window; gradients stop at its beginning. Adam updates.
         """
-        lanes = max(1, min(lanes, len(stream) // window))
-        length = len(stream) // lanes
-        if not length:
+        if not len(stream):
             return self
-        ids = stream[:lanes * length].reshape(lanes, length).T
+        lanes = max(1, min(lanes, len(stream) // window))
+        length = -(-len(stream) // lanes)
+        # No token is left over: the last lane is filled up from the beginning of the stream.
+        ids = np.resize(stream, lanes * length).reshape(lanes, length).T
         state = np.zeros((lanes, HIDDEN), np.float32)
         first = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
         second = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
@@ -181,23 +187,30 @@ class Gru:
                 before.append(state)
                 state, *gates = self.step(state, tokens)
                 kept.append(gates)
-            states = np.concatenate(before)
-            _, back, grads = self.log_shares(states, part.ravel(), gradient=True)
+            states, flat = np.concatenate(before), part.ravel()
+            _, back, grads = self.log_shares(states, flat, gradient=True)
             back = back.reshape(len(part), lanes, HIDDEN)
-            grads["inputs"] = np.zeros_like(self.inputs)
-            grads["recurrent"] = np.zeros_like(self.recurrent)
+            d_given = np.empty((len(part), lanes, 3 * HIDDEN), np.float32)
+            d_carried = np.empty_like(d_given)
             later = np.zeros((lanes, HIDDEN), np.float32)
             for t in range(len(part) - 1, -1, -1):
                 update, reset, fresh, carried = kept[t]
                 flow = later * (part[t] != END)[:, None]
                 d_fresh = flow * (1 - update) * (1 - fresh * fresh)
-                d_update = flow * (before[t] - fresh) * update * (1 - update)
-                d_reset = d_fresh * carried * reset * (1 - reset)
-                d_given = np.concatenate([d_update, d_reset, d_fresh], axis=1)
-                d_carried = np.concatenate([d_update, d_reset, d_fresh * reset], axis=1)
-                np.add.at(grads["inputs"], part[t], d_given)
-                grads["recurrent"] += before[t].T @ d_carried
-                later = flow * update + d_carried @ self.recurrent.T + back[t]
+                own = d_given[t]
+                own[:, :HIDDEN] = flow * (before[t] - fresh) * update * (1 - update)
+                own[:, HIDDEN:2 * HIDDEN] = d_fresh * carried * reset * (1 - reset)
+                own[:, 2 * HIDDEN:] = d_fresh
+                d_carried[t, :, :2 * HIDDEN] = own[:, :2 * HIDDEN]
+                d_carried[t, :, 2 * HIDDEN:] = d_fresh * reset
+                later = flow * update + d_carried[t] @ self.recurrent.T + back[t]
+            grads["recurrent"] = states.T @ d_carried.reshape(-1, 3 * HIDDEN)
+            # Rows of a token are added up in one go: sorted, they lie side by side.
+            order = np.argsort(flat, kind="stable")
+            starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+            grads["inputs"] = np.zeros_like(self.inputs)
+            grads["inputs"][flat[order[starts]]] = np.add.reduceat(
+                d_given.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
             shrink = min(1.0, 1.0 / (norm + 1e-12))
             for name, g in grads.items():
@@ -266,19 +279,12 @@ class Vocabulary:
         self.place = {word: k for k, word in enumerate(self.words)}
 
 
-def fit(training: DataFrame, text: str, id_column: str, head_words: int = 150_000,
-        trainer_tokens: int = 250_000, share: float = 0.01, rounds: int = 2, seed: int = 11):
-    """Counts (a frame of word and n), totals, the vocabulary and the trained network.
+def fit(training: DataFrame, text: str, head_words: int = 150_000):
+    """Counts (a frame of word and n), totals and the vocabulary, all of them over all training rows.
 
-    All counts cover all training rows. `share` of the training tokens, and at least one trainer's fill
-    of `trainer_tokens`, train the network: rows are picked and dealt to trainers by a hash of id, text and
-    place, so that rows that are alike are spread as well, and both the sample and the number of trainers
-    grow with the table. In each round all trainers start from the average of the round before, which is
-    taken in steps of at most FAN_IN sums. `head_words` bounds what is sent to every task: the words with the
-    highest counts; rarer words are looked up by a join.
+    `head_words` bounds what is sent to every task: the words with the highest counts; rarer words are
+    looked up by a join.
     """
-    spark = training.sparkSession
-    ship_library(spark)
     counts = stored(count_tokens(training, text), "lm-counts")
     sums = counts.agg(F.count("*").alias("words"), F.sum("n").alias("n")).first()
     rows = training.count()
@@ -286,52 +292,61 @@ def fit(training: DataFrame, text: str, id_column: str, head_words: int = 150_00
     head = most_frequent(counts, head_words).collect()
     vocabulary = Vocabulary([r["word"].encode() for r in head], [r["n"] for r in head])
     own = vocabulary.counts[:vocabulary.tokens]
-    network = Gru(np.concatenate([[rows, spoken - own.sum()], own]).astype(float))
     totals = {"rows": rows, "tokens": spoken + rows, "kinds": words + (rows > 0),
               "rare_tokens": int(spoken - own.sum()), "rare_kinds": words - len(own)}
-    wanted = max(trainer_tokens, int(share * totals["tokens"]))
-    trainers = -(-wanted // trainer_tokens)
-    own_hash = F.xxhash64(F.col(id_column).cast("string"), text, F.monotonically_increasing_id())
-    keep = min(1.0, wanted / max(totals["tokens"], 1))
-    sample = stored(
-        training.select(F.coalesce(text, F.lit("")).alias("body"), own_hash.alias("at"))
-        .filter(F.pmod(F.xxhash64("at", F.lit(seed)), F.lit(1_000_000)) < int(keep * 1_000_000) + 1)
-        .withColumn("trainer", F.pmod(F.xxhash64("at", F.lit(seed + 1)), F.lit(trainers))), "lm-sample")
-    for _ in range(rounds if rows else 0):
-        shared = spark.sparkContext.broadcast((vocabulary, network))
+    return counts, totals, vocabulary
+
+
+def fit_network(passed: DataFrame, totals: dict[str, int], vocabulary: Vocabulary,
+                trainer_tokens: int = 2_000_000, rounds: int = 2, seed: int = 11) -> tuple[Gru, int]:
+    """The network, trained on all tokens of the rows of `passed` (id, row, tokens), and their number.
+
+    Every row trains once: rows are dealt to rounds, and in a round to trainers of about `trainer_tokens`
+    each, by a hash of id, tokens and place, so that rows that are alike are spread as well. In each round
+    all trainers start from the average of the round before, in which every token has the same weight and
+    which is taken in steps of at most FAN_IN sums.
+    """
+    spark = passed.sparkSession
+    own = vocabulary.counts[:vocabulary.tokens]
+    network = Gru(np.concatenate([[totals["rows"], totals["rare_tokens"]], own]).astype(float))
+    size, trainers = len(own) + 2, max(1, -(-totals["tokens"] // (trainer_tokens * rounds)))
+    at = F.xxhash64(F.col("id").cast("string"), "tokens", "row")
+    dealt = passed.select("tokens", at.alias("at"))
+    trained_tokens = 0
+    for turn in range(rounds if totals["rows"] else 0):
+        shared = spark.sparkContext.broadcast(network.flat())
 
         def trained(frame: pd.DataFrame) -> pd.DataFrame:
-            vocabulary, network = shared.value
-            place, most = vocabulary.place, vocabulary.tokens
-            stream: list[int] = []
-            for body in frame.sort_values(["at", "body"])["body"]:
-                found = (place.get(word, most) for word in tokens_of(body.encode()))
-                stream.extend(k + 2 if k < most else RARE for k in found)
-                stream.append(END)
-            flat = Gru(np.ones(most + 2)).load(network.flat()).train(np.array(stream, np.int32)).flat()
-            blocks = [flat[k:k + BLOCK].astype(float) for k in range(0, len(flat), BLOCK)]
+            frame = frame.sort_values(["at", "tokens"])
+            stream = np.frombuffer(b"".join(frame["tokens"]), TOKEN).astype(np.int32)
+            network = Gru(np.ones(size)).load(shared.value).train(stream, LANES, rate=RATE)
+            flat = network.flat() * np.float32(len(stream))
+            blocks = [flat[k:k + BLOCK] for k in range(0, len(flat), BLOCK)]
             return pd.DataFrame({"part": frame["trainer"].iloc[0] // FAN_IN, "block": range(len(blocks)),
-                                 "n": 1, "weights": blocks})
+                                 "n": len(stream), "weights": blocks})
 
         def summed(frame: pd.DataFrame) -> pd.DataFrame:
             first = frame.iloc[0]
             return pd.DataFrame({"part": [first["part"] // FAN_IN], "block": [first["block"]],
-                                 "n": [frame["n"].sum()], "weights": [np.sum(frame["weights"].to_numpy(), axis=0)]})
+                                 "n": [frame["n"].sum()],
+                                 "weights": [np.sum(frame["weights"].to_numpy(), axis=0)]})
 
-        kind = "part bigint, block int, n bigint, weights array<double>"
-        blocks, parts = sample.groupBy("trainer").applyInPandas(trained, kind), trainers
+        kind = "part bigint, block int, n bigint, weights array<float>"
+        group = dealt.filter(F.pmod(F.xxhash64("at", F.lit(seed)), F.lit(rounds)) == turn).withColumn(
+            "trainer", F.pmod(F.xxhash64("at", F.lit(seed + 1)), F.lit(trainers)))
+        blocks, parts = group.groupBy("trainer").applyInPandas(trained, kind), trainers
         while parts > 0:
             blocks = blocks.groupBy("part", "block").applyInPandas(summed, kind)
             parts = -(-parts // FAN_IN) if parts > FAN_IN else 0
-        blocks = blocks.collect()  # one network
+        blocks = sorted(blocks.collect(), key=lambda r: r["block"])  # one network
         if blocks:
-            network.load(np.concatenate([np.array(r["weights"]) / r["n"]
-                                         for r in sorted(blocks, key=lambda r: r["block"])]))
-    return counts, totals, vocabulary, network
+            network.load(np.concatenate([np.array(r["weights"]) / r["n"] for r in blocks]))
+            trained_tokens += blocks[0]["n"]
+    return network, trained_tokens
 
 
 def score_documents(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text: str = "text",
-                    **options) -> DataFrame:
+                    head_words: int = 150_000, **options) -> DataFrame:
     """Log10 probability of every whole text under a unigram model and under the network.
 
     Both learn from the rows where `held_out` is false. Columns: the id, held_out, n_tokens (words and
@@ -341,18 +356,20 @@ def score_documents(docs: DataFrame, held_out: Column, id_column: str = "doc_id"
     counts as empty: its only token is the end. Without training rows every share is 1 over the kinds.
     One row per row, repeated rows included; an empty table gives an empty one; other columns are ignored.
 
-    Words beyond the shared vocabulary go through a join with the counts, so no task holds all words.
+    Words beyond the shared vocabulary go through a join with the counts, so no task holds all words. Texts
+    are turned into tokens once, in a pass that the network is trained and scores from.
     """
+    ship_library(docs.sparkSession)
     slim = docs.select(F.col(id_column).alias("id"), F.coalesce(text, F.lit("")).alias("body"),
                        F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counts, totals, vocabulary, network = fit(slim.filter("not held_out"), "body", "id", **options)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, network))
+    counts, totals, vocabulary = fit(slim.filter("not held_out"), "body", head_words)
+    words_shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     whole = float(totals["tokens"] + totals["kinds"] + 1)
     rare = float(totals["rare_tokens"] + totals["rare_kinds"] + 1)
     rows = totals["rows"]
 
-    def make():
-        vocabulary, network = shared.value
+    def tokenized():
+        vocabulary = words_shared.value
         place, most = vocabulary.place, vocabulary.tokens
         logs = np.log10(vocabulary.counts + 1.0)
         unknown = len(vocabulary.words)
@@ -369,26 +386,41 @@ def score_documents(docs: DataFrame, held_out: Column, id_column: str = "doc_id"
                 numbers.append((len(words) + 1, len(known) + (rows > 0), logs[known].sum(),
                                 logs[split].sum(), len(split) + len(tail)))
                 tokens = np.where(found < most, found + 2, RARE)
-                documents.append(np.append(tokens, END).astype(np.int32))
-            scores = network.score(documents) / np.log(10)
+                documents.append(np.append(tokens, END).astype(TOKEN).tobytes())
             n, known, base, split, rares = map(list, zip(*numbers)) if numbers else ([],) * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
                  pa.array(base, pa.float64()), pa.array(split, pa.float64()),
-                 pa.array(rares, pa.int64()), pa.array(scores),
+                 pa.array(rares, pa.int64()), pa.array(documents, pa.binary()),
                  pa.array(tails, pa.list_(pa.binary())).cast(pa.list_(pa.string()))],
-                ["id", "held_out", "n", "known", "base", "split", "rares", "network", "tail"])
+                ["id", "held_out", "n", "known", "base", "split", "rares", "tokens", "tail"])
         return work
 
     kind = slim.schema["id"].dataType.simpleString()
     passed = stored(
         arrow_pass(slim, f"id {kind}, held_out boolean, n bigint, known bigint, base double, split double, "
-                         "rares bigint, network double, tail array<string>", make)
+                         "rares bigint, tokens binary, tail array<string>", tokenized)
         .withColumn("row", F.monotonically_increasing_id()), "lm-pass")
+    network, _ = fit_network(passed.filter("not held_out"), totals, vocabulary, **options)
+    network_shared = docs.sparkSession.sparkContext.broadcast(network)
+
+    def scored():
+        network = network_shared.value
+
+        def work(batch: pa.RecordBatch):
+            documents = [np.frombuffer(x, TOKEN).astype(np.int32) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], pa.array(network.score(documents) / np.log(10))], [*numbers, "network"])
+        return work
+
+    numbers = ["row", "id", "held_out", "n", "known", "base", "split", "rares"]
+    numbered = passed.select("tokens", *numbers)
+    every = stored(arrow_pass(numbered, StructType([*numbered.schema.fields[1:],
+                                                    StructField("network", DoubleType())]), scored), "lm-scored")
     asked = passed.select("row", F.explode("tail").alias("word"))
     found = asked.join(counts, "word").groupBy("row").agg(
         F.sum(F.log10(F.col("n") + 1.0)).alias("tail_logs"), F.count("*").alias("tail_known"))
-    joined = passed.join(found, "row", "left")
+    joined = every.join(found, "row", "left")
     logs = F.coalesce("tail_logs", F.lit(0.0))
     return joined.select(
         F.col("id").alias(id_column), "held_out", F.col("n").alias("n_tokens"),

@@ -564,6 +564,31 @@ def test_state_is_carried_across_windows_and_lanes():
     assert math.isclose(every.sum(), 1, rel_tol=1e-4)
 
 
+def test_every_training_token_trains_the_network(spark):
+    draw = random.Random(4)
+    rows = [(k, " ".join(draw.choice("abcdefgh") for _ in range(draw.randint(0, 60)))) for k in range(400)]
+    rows += [rows[0]] * 50 + [(None, None), (None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts, totals, vocabulary = lm_scoring.fit(docs, "text")
+    index = vocabulary.place
+    passed = spark.createDataFrame(
+        [(k, number, np.array([*(index[w.encode()] + 2 for w in (text or "").split()), 0], "<u2").tobytes())
+         for number, (k, text) in enumerate(rows)], "id long, row long, tokens binary")
+    whole = sum(len((text or "").split()) + 1 for _, text in rows)
+    for rounds in (1, 3):
+        network, trained = lm_scoring.fit_network(passed, totals, vocabulary, trainer_tokens=700, rounds=rounds)
+        assert trained == totals["tokens"] == whole
+
+
+def test_no_token_of_a_stream_is_left_out():
+    # 64 lanes of 32 tokens and 63 more: those of the last, the only ones of their kind, are learned too.
+    stream = np.append(np.full(64 * 32, 2), np.full(63, 5)).astype(np.int32)
+    network = lm_scoring.Gru(np.ones(8))
+    before = network.inputs[5].copy()
+    network.train(stream, lanes=64, window=32)
+    assert not np.allclose(network.inputs[5], before)
+
+
 # Pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head>
