@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -73,8 +74,10 @@ def discard(*frames: DataFrame) -> None:
 
 
 def forget_shuffles(spark: SparkSession) -> None:
-    """Let go of the shuffle files of steps that are done and stored. Spark deletes them when the driver's
-    garbage is collected, which on a roomy driver may be long after they have filled the disks."""
+    """Let go of the shuffle files and plans of steps that are done and stored. Spark deletes the files when
+    the driver's garbage is collected, which on a roomy driver may be long after they have filled the disks.
+    Frames that Python has not collected yet would keep both."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -139,13 +142,14 @@ def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
     return counts.filter(F.lit(False) if cut is None else level >= cut)
 
 
-def connected_components(edges: DataFrame, job: str) -> DataFrame:
+def connected_components(edges: DataFrame, job: str, forget: bool = False) -> DataFrame:
     """Smallest id reachable from each node of undirected edges (a, b): columns node, component.
 
     Large-star and small-star rounds: each turns every edge towards the smallest neighbour of one of
     its ends, until nothing changes. The number of edges never grows, no neighbourhood is ever
     collected, and rounds grow with the logarithm of the nodes. Nodes without an edge to another node
-    are left out. Each round is written to the shared folder.
+    are left out. Each round is written to the shared folder; with `forget`, its shuffles and plans are let
+    go of before the next one.
     """
     links = (edges.filter("a <> b")
              .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -172,6 +176,8 @@ def connected_components(edges: DataFrame, job: str) -> DataFrame:
                  .select("e.a", "e.b").filter("a <> b").distinct())
         old, links = links, stored(small, job)
         discard(old)
+        if forget:
+            forget_shuffles(links.sparkSession)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

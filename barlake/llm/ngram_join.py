@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     dealt = tiled(members, "bucket", "n", "node", tile_rows)
     likely = (bundled(dealt, ["bucket", "t0", "t1"]).join(signs, "node").groupBy("bundle")
               .applyInPandas(candidates, "a string, b string"))
-    clusters = stored(connected_components(likely, "join-clusters"), "join-clustered")
+    clusters = stored(connected_components(likely, "join-clusters", forget=True), "join-clustered")
     discard(members, signs)
     forget_shuffles(spark)
     # A cluster counts as larger if its documents are long, so that its tiles hold bounded sets.
@@ -350,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     discard(held, clusters)
     forget_shuffles(spark)
     links = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    classes = connected_components(found.filter("b is not null").select("a", "b"), "join-classes")
+    classes = connected_components(found.filter("b is not null").select("a", "b"), "join-classes", forget=True)
     placed = (nodes.join(classes, "node", "left").join(links, "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
     heads = placed.groupBy("component").agg(

@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from barlake.llm import byte_bpe, language_id, mixing, ngram_join, pii
 from barlake.llm.common import delete, forget_shuffles, recorded, remainder, stored
+from barlake.session import settings
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 # Documents whose best language is less likely than this are rejected, as are those without any. It is
 # low, so that short but readable texts stay, which several languages may share.
 LEAST_LANGUAGE_SCORE = 0.3
+# Spark keeps the text of a thousand plans in the driver, anew after every step of theirs, and those of a
+# stage are long; this many characters of each tell them apart.
+PLAN_TEXT = {"spark.sql.maxPlanStringLength": "2000"}
 
 
 # What the latest stage over a folder has stored on its way.
@@ -26,13 +30,14 @@ _left: dict[str, list[str]] = {}
 
 
 def tidy(stage):
-    """Delete what the stage before stored on its way, and note what this one does."""
+    """Delete what the stage before stored on its way, and note what this one does. The driver keeps little
+    of its plans."""
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for place in _left.pop(sf_dir, []):
             delete(spark, place)
         forget_shuffles(spark)
-        with recorded() as places:
+        with recorded() as places, settings(spark, PLAN_TEXT):
             result = stage(spark, docs, sf_dir)
         _left[sf_dir] = places
         return result

@@ -1,16 +1,20 @@
 """The pipeline against what its stages must do, worked out by hand and by the public encoder."""
 
+import gc
 import hashlib
 import random
 import struct
+import weakref
 from collections import Counter
 
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barlake.llm import byte_bpe
+from barlake.llm.common import forget_shuffles
 from tests.llm.test_pairs import brute_force
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string"
@@ -106,3 +110,33 @@ def test_every_stage_works_on_what_the_one_before_kept(spark, folder):
 def test_an_empty_table_goes_through(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_the_driver_keeps_little_of_the_plans_of_a_stage(spark, tmp_path):
+    name = "spark.sql.maxPlanStringLength"
+    before, seen = spark.conf.get(name), []
+
+    @corpus_pipeline.tidy
+    def stage(spark, docs, folder):
+        wide = docs.select(*[(F.col("id") + k).alias(f"a_rather_long_name_of_a_column_{k}") for k in range(200)])
+        seen.append(wide._jdf.queryExecution().toString())
+        return docs
+
+    stage(spark, spark.range(3), str(tmp_path))
+    assert len(seen[0]) < 4000 and spark.conf.get(name) == before
+
+
+def test_frames_of_finished_steps_are_let_go(spark):
+    class Holder:
+        pass
+
+    one = Holder()
+    one.own, one.frame = one, spark.range(3)  # a cycle, which only Python's collector frees
+    gone = weakref.ref(one)
+    gc.disable()
+    try:
+        del one
+        forget_shuffles(spark)
+        assert gone() is None
+    finally:
+        gc.enable()
