@@ -11,11 +11,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from barlake.llm.common import arrow_pass, stored
+from barlake.llm.common import arrow_pass, forget_shuffles, stored
 
 UNDETERMINED = "und"
 # Words are runs of letters.
@@ -84,35 +85,61 @@ def count_grams(words: DataFrame, longest: int) -> DataFrame:
     return partial.groupBy("lang", F.col("word").alias("gram")).agg(F.sum("n").alias("n"))
 
 
+class Entries:
+    """Counts of words or n-grams per language, without an object for each count: the sorted keys, and for
+    every count the place of its key, its language's place and the count itself."""
+
+    def __init__(self, keys: list[str], at: np.ndarray, place: np.ndarray, counts: np.ndarray):
+        self.keys, self.at, self.place, self.counts = keys, at, place, counts
+
+    @classmethod
+    def of_table(cls, table: pa.Table, languages: list[str]) -> Entries:
+        """From columns of keys, languages and counts."""
+        column = table.column(0).combine_chunks().dictionary_encode()
+        order = np.array(pc.array_sort_indices(column.dictionary))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        place = pc.index_in(table.column(1), pa.array(languages, pa.string())).to_numpy()
+        return cls(column.dictionary.take(pa.array(order)).to_pylist(), rank[column.indices.to_numpy()],
+                   place, table.column(2).to_numpy())
+
+    @classmethod
+    def of_dict(cls, entries: dict[str, dict[str, int]], place: dict[str, int]) -> Entries:
+        rows = [(number, place[language], n) for number, found in enumerate(entries.values())
+                for language, n in found.items()]
+        return cls(list(entries), *np.array(rows, np.int64).reshape(-1, 3).T)
+
+
 class BackoffModel:
     """Log frequencies per language of known words and of n-grams: a number of a table's row for each.
 
     Every row is shifted so that its best language has 0; only differences between languages count.
     """
 
-    def __init__(self, languages: list[str], words: dict[str, dict[str, int]],
-                 grams: dict[str, dict[str, int]], word_totals: list[int], longest: int,
+    def __init__(self, languages: list[str], words: dict[str, dict[str, int]] | Entries,
+                 grams: dict[str, dict[str, int]] | Entries, word_totals: list[int], longest: int,
                  gram_totals: dict[int, list[int]] | None = None, word_kinds: int | None = None,
                  gram_kinds: dict[int, int] | None = None):
         self.languages, self.longest = languages, longest
         place = self.place = {language: i for i, language in enumerate(languages)}
-        counts = np.full((len(words) + len(grams), len(languages)), 0.5)
-        for number, found in enumerate([*words.values(), *grams.values()]):
-            for language, n in found.items():
-                counts[number, place[language]] += n
+        words, grams = (x if isinstance(x, Entries) else Entries.of_dict(x, place) for x in (words, grams))
+        known = len(words.keys)
+        table = np.full((known + len(grams.keys), len(languages)), 0.5)
+        table[words.at, words.place] += words.counts
+        table[grams.at + known, grams.place] += grams.counts
         # Words share their totals; n-grams share those of their length.
-        totals = np.empty_like(counts)
-        self.word_totals = np.asarray(word_totals, float) + 0.5 * ((word_kinds or len(words)) + 1)
-        totals[:len(words)] = self.word_totals
-        lengths = np.fromiter(map(len, grams), np.int64, len(grams))
+        self.word_totals = np.asarray(word_totals, float) + 0.5 * ((word_kinds or known) + 1)
+        table[:known] /= self.word_totals
+        lengths = np.fromiter(map(len, grams.keys), np.int64, len(grams.keys))
         for length in set(lengths.tolist()):
-            rows = np.flatnonzero(lengths == length) + len(words)
-            totals[rows] = counts[rows].sum(axis=0) if gram_totals is None else (
+            rows = np.flatnonzero(lengths == length) + known
+            table[rows] /= table[rows].sum(axis=0) if gram_totals is None else (
                 np.asarray(gram_totals[length], float) + 0.5 * (gram_kinds[length] + 1))
-        table = np.log(counts / totals)
-        self.table = (table - table.max(axis=1, keepdims=True)).astype(np.float32)
-        self.words = {word: number for number, word in enumerate(words)}
-        self.grams = {gram: number for number, gram in enumerate(grams, len(words))}
+        np.log(table, out=table)
+        table -= table.max(axis=1, keepdims=True)
+        self.table = table.astype(np.float32)
+        self.words = {word: number for number, word in enumerate(words.keys)}
+        self.grams = {gram: number for number, gram in enumerate(grams.keys, known)}
 
     def better_known(self, words: list[str], rows: np.ndarray, languages: list[str], counts: np.ndarray,
                      ) -> np.ndarray:
@@ -244,7 +271,9 @@ def learn(labelled: DataFrame, text: str, lang: str, lexicon: int = 100_000, gra
     if not totals:
         return None
     languages = sorted(totals)
+    forget_shuffles(words.sparkSession)
     grams = stored(count_grams(words, longest), "language-grams")
+    forget_shuffles(words.sparkSession)
     lengths: dict[int, list[int]] = {}
     for row in grams.groupBy("lang", F.length("gram").alias("length")).agg(F.sum("n").alias("n")).collect():
         lengths.setdefault(row["length"], [0] * len(languages))[languages.index(row["lang"])] = row["n"]
@@ -253,12 +282,12 @@ def learn(labelled: DataFrame, text: str, lang: str, lexicon: int = 100_000, gra
     gram_kinds = {row["length"]: row["count"] for row in grams.select(
         "gram", F.length("gram").alias("length")).distinct().groupBy("length").count().collect()}
 
-    def table(counts: DataFrame, key: str, most: int) -> tuple[DataFrame, dict[str, dict[str, int]]]:
+    def table(counts: DataFrame, key: str, most: int) -> tuple[DataFrame, Entries]:
         kept = stored(frequent_per_language(counts, key, most), f"language-kept-{key}")
-        found: dict[str, dict[str, int]] = {}
-        for row in counts.join(F.broadcast(kept), key, "left_semi").collect():  # `most` entries
-            found.setdefault(row[key], {})[row["lang"]] = row["n"]
-        return kept, dict(sorted(found.items()))
+        # `most` entries, an entry a language: as Arrow, since a Row for each would be most of the driver's Python
+        found = counts.join(F.broadcast(kept), key, "left_semi").select(key, "lang", "n").toArrow()
+        forget_shuffles(counts.sparkSession)
+        return kept, Entries.of_table(found, languages)
 
     kept, known = table(words, "word", lexicon)
     model = BackoffModel(languages, known, table(grams, "gram", gram_entries)[1],
@@ -279,7 +308,10 @@ def learn(labelled: DataFrame, text: str, lang: str, lexicon: int = 100_000, gra
 
     others = (words.join(F.broadcast(kept), "word", "left_anti").groupBy("word")
               .agg(F.collect_list(F.struct("lang", "n")).alias("counts")))  # an entry a language
-    return model, stored(arrow_pass(others, "word string, better array<double>", make), "language-others")
+    result = stored(arrow_pass(others, "word string, better array<double>", make), "language-others")
+    shared.destroy()  # what it was needed for is stored
+    forget_shuffles(words.sparkSession)
+    return model, result
 
 
 def predict(docs: DataFrame, learned: tuple[BackoffModel, DataFrame] | None, text: str = "text",
@@ -322,6 +354,7 @@ def predict(docs: DataFrame, learned: tuple[BackoffModel, DataFrame] | None, tex
 
     scored = stored(arrow_pass(slim, schema, make, rows=500).withColumn(
         "__row", F.monotonically_increasing_id()), "language-scored")
+    shared.destroy()
     places = range(len(model.languages))
     found = (scored.select("__row", F.explode("__lacking").alias("word")).join(others, "word").groupBy("__row")
              .agg(F.array(*[F.sum(F.col("better")[i]) for i in places]).alias("__more")))

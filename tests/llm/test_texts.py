@@ -409,6 +409,32 @@ def test_unseen_words_fall_back_to_shorter_grams():
     assert model.cover("zz") == []
 
 
+def test_the_driver_collects_no_row_object_for_a_shared_word(spark, monkeypatch):
+    draw = random.Random(8)
+    words = {lang: ["".join(draw.choices(letters, k=6)) for _ in range(1500)]
+             for lang, letters in (("aa", "abcdef"), ("bb", "defghi"))}
+    docs = spark.createDataFrame([(" ".join(words[lang][k:k + 50]), lang) for lang in words
+                                  for k in range(0, 1500, 50)], "text string, lang string")
+    sizes, kind = [], type(docs)
+    plain = kind.collect
+
+    def collect(frame):
+        rows = plain(frame)
+        sizes.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(kind, "collect", collect)
+    model, others = language_id.learn(docs, "text", "lang")
+    assert sizes and max(sizes) < 500  # levels of a histogram; there are about 3,000 words
+    counts = Counter((lang, word) for lang in words for word in words[lang])
+    assert list(model.words) == sorted({word for _, word in counts})
+    for word, row in model.words.items():
+        logs = [math.log((counts[lang, word] + 0.5) / model.word_totals[k]) for k, lang in enumerate(["aa", "bb"])]
+        assert np.allclose(model.table[row], np.array(logs) - max(logs), atol=1e-5)
+    monkeypatch.undo()
+    assert others.collect() == []
+
+
 # Personal data
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
