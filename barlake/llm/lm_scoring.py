@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,8 @@ FAN_IN = 64
 # Lanes and rate of the trainers: wide steps, so that a pass over all tokens is affordable.
 LANES, RATE = 256, 0.01
 FLUSH = 200_000
+# Rows scored in one go: a long text among few leaves most lanes idle. Spark bounds the bytes of a batch.
+SCORED_ROWS = 10_000
 
 
 def tokens_of(body: bytes) -> list[bytes]:
@@ -62,6 +65,21 @@ def _counted(counts: Counter) -> pa.RecordBatch:
          pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
+def ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
+
+
+def exponentials(logits: np.ndarray, every: np.ndarray, places: np.ndarray, bounded: bool) -> tuple[np.ndarray, ...]:
+    """Log share of each row's place, the exponentials (in the place of the logits) and their sums a row."""
+    if not bounded:
+        logits -= logits.max(axis=1, keepdims=True)
+    result = logits[every, places]
+    shares = np.exp(logits, out=logits)
+    sums = shares @ np.ones(shares.shape[1], shares.dtype)
+    result -= np.log(sums)
+    return result, shares, sums
+
+
 class Gru:
     """Weights of the network; `inputs` holds each token's projected embedding with the biases."""
 
@@ -85,27 +103,58 @@ class Gru:
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, name).ravel() for name in self.NAMES])
 
-    def load(self, flat: np.ndarray) -> Gru:
+    def view(self, flat: np.ndarray) -> Gru:
+        """Take the weights from a flat array, which they stay parts of."""
         at = 0
         for name in self.NAMES:
             old = getattr(self, name)
-            setattr(self, name, flat[at:at + old.size].reshape(old.shape).astype(np.float32))
+            setattr(self, name, flat[at:at + old.size].reshape(old.shape))
             at += old.size
         return self
 
-    def step(self, state: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The next state, and the gates it came from; the state is zero behind an end."""
-        given, carried = self.inputs[tokens], state @ self.recurrent
-        gates = given[:, :2 * HIDDEN] + carried[:, :2 * HIDDEN]
-        gates *= 0.5
+    def load(self, flat: np.ndarray) -> Gru:
+        return self.view(flat.astype(np.float32))
+
+    def sums_of_tokens(self, tokens: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Sums of the rows of each token, rows in order of their tokens: class by class, a product with the
+        tokens' indicators."""
+        result = np.zeros((self.classes, PER_CLASS, rows.shape[1]), np.float32)
+        edges = np.searchsorted(tokens, np.arange(self.classes + 1) * PER_CLASS).tolist()
+        marks = np.zeros((PER_CLASS, len(tokens)), np.float32)
+        marks[tokens % PER_CLASS, np.arange(len(tokens))] = 1
+        for c in range(self.classes):
+            own = slice(edges[c], edges[c + 1])
+            if own.start < own.stop:
+                np.matmul(marks[:, own], rows[own], out=result[c])
+        return result.reshape(-1, rows.shape[1])[:len(self.inputs)]
+
+    def planes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs and recurrent weights for update, reset and fresh state one after the other; those of the
+        two gates are halved, as their tanh needs them."""
+        inputs = self.inputs.reshape(-1, 3, HIDDEN).transpose(1, 0, 2).copy()
+        recurrent = self.recurrent.reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2).copy()
+        inputs[:2] *= 0.5
+        recurrent[:2] *= 0.5
+        return inputs, recurrent
+
+    def step(self, state: np.ndarray, tokens: np.ndarray, planes=None) -> tuple[np.ndarray, ...]:
+        """The next state, and the gates it came from; the state is zero behind an end. `planes` are those
+        of `planes`, if the weights have not changed since."""
+        inputs, recurrent = planes or self.planes()
+        given, carried = np.take(inputs, tokens, axis=1), np.matmul(state, recurrent)
+        gates, fresh = given[:2], given[2]
+        gates += carried[:2]
         np.tanh(gates, out=gates)
         gates *= 0.5
         gates += 0.5
-        update, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        fresh = np.tanh(given[:, 2 * HIDDEN:] + reset * carried[:, 2 * HIDDEN:])
-        after = fresh + update * (state - fresh)
-        after *= (tokens != END)[:, None]
-        return after, update, reset, fresh, carried[:, 2 * HIDDEN:]
+        update, reset = gates
+        fresh += reset * carried[2]
+        np.tanh(fresh, out=fresh)
+        after = state - fresh
+        after *= update
+        after += fresh
+        after[tokens == END] = 0
+        return after, update, reset, fresh, carried[2]
 
     def bounded_biases(self) -> tuple[tuple[np.ndarray, np.ndarray], bool]:
         """Biases less the most that a logit can be, as states lie within -1 and 1: exponentials then
@@ -125,45 +174,38 @@ class Gru:
         n = len(tokens)
         classes, places = np.divmod(tokens, PER_CLASS)
         (class_bias, word_bias), bounded = biases or self.bounded_biases()
+        every = np.arange(n)
         logits = states @ self.to_class
         logits += class_bias
-        if not bounded:
-            logits -= logits.max(axis=1, keepdims=True)
-        every = np.arange(n)
-        result = logits[every, classes]
-        shares = np.exp(logits, out=logits)
-        sums = shares.sum(axis=1)
-        result -= np.log(sums)
+        result, shares, sums = exponentials(logits, every, classes, bounded)
         if gradient:
-            shares /= sums[:, None]
-            shares[every, classes] -= 1
-            shares /= n
+            shares *= (1 / (sums * n))[:, None]
+            shares[every, classes] -= np.float32(1 / n)
             back = shares @ self.to_class.T
             grads = {"to_class": states.T @ shares, "class_bias": shares.sum(axis=0),
                      "to_word": np.zeros_like(self.to_word), "word_bias": np.zeros_like(self.word_bias)}
-        order = np.argsort(classes, kind="stable")
-        edges = np.searchsorted(classes[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[edges[c]:edges[c + 1]]
-            if not len(rows):
-                continue
-            own = states[rows]
-            logits = own @ self.to_word[c]
-            logits += word_bias[c]
-            if not bounded:
-                logits -= logits.max(axis=1, keepdims=True)
-            some = np.arange(len(rows))
-            picked = logits[some, places[rows]]
-            shares = np.exp(logits, out=logits)
-            sums = shares.sum(axis=1)
-            result[rows] += picked - np.log(sums)
-            if gradient:
-                shares /= sums[:, None]
-                shares[some, places[rows]] -= 1
-                shares /= n
-                back[rows] += shares @ self.to_word[c].T
-                grads["to_word"][c] = own.T @ shares
-                grads["word_bias"][c] = shares.sum(axis=0)
+        # Rows in order of their classes, so that each class has its rows side by side.
+        order = np.argsort(classes.astype(np.uint8 if self.classes <= 256 else np.int64), kind="stable")
+        edges = np.searchsorted(classes[order], np.arange(self.classes + 1)).tolist()
+        spans = [(c, slice(edges[c], edges[c + 1])) for c in range(self.classes) if edges[c] < edges[c + 1]]
+        own, places = np.take(states, order, axis=0), places[order]
+        logits = np.empty((n, PER_CLASS), np.result_type(own, self.to_word))
+        for c, rows in spans:
+            some = np.matmul(own[rows], self.to_word[c], out=logits[rows])
+            some += word_bias[c]
+        picked, shares, sums = exponentials(logits, every, places, bounded)
+        result[order] += picked
+        if gradient:
+            shares *= (1 / (sums * n))[:, None]
+            shares[every, places] -= np.float32(1 / n)
+            sent = np.empty_like(own)
+            for c, rows in spans:
+                np.matmul(shares[rows], self.to_word[c].T, out=sent[rows])
+                np.matmul(own[rows].T, shares[rows], out=grads["to_word"][c])
+                grads["word_bias"][c] = ones(rows.stop - rows.start) @ shares[rows]
+            spread = np.empty_like(order)
+            spread[order] = every
+            back += np.take(sent, spread, axis=0)
         return (result, back, grads) if gradient else result
 
     def train(self, stream: np.ndarray, lanes: int = 32, window: int = 32, rate: float = 0.004) -> Gru:
@@ -178,48 +220,46 @@ class Gru:
         # No token is left over: the last lane is filled up from the beginning of the stream.
         ids = np.resize(stream, lanes * length).reshape(lanes, length).T
         state = np.zeros((lanes, HIDDEN), np.float32)
-        first = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
-        second = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
+        weights = self.flat()
+        self.view(weights)
+        adam = Adam(weights, rate)
         for turn, start in enumerate(range(0, length, window), 1):
             part = ids[start:start + window]
-            before, kept = [], []
+            before, kept, planes = [], [], self.planes()
             for tokens in part:
                 before.append(state)
-                state, *gates = self.step(state, tokens)
+                state, *gates = self.step(state, tokens, planes)
                 kept.append(gates)
             states, flat = np.concatenate(before), part.ravel()
             _, back, grads = self.log_shares(states, flat, gradient=True)
             back = back.reshape(len(part), lanes, HIDDEN)
-            d_given = np.empty((len(part), lanes, 3 * HIDDEN), np.float32)
-            d_carried = np.empty_like(d_given)
+            # What a flow back into a state is multiplied with, all steps at once: for update, reset and fresh
+            # state as they are carried, and for the fresh state as it is given.
+            update, reset, fresh, carried = (np.stack(gate) for gate in zip(*kept))
+            states = states.reshape(fresh.shape)
+            goes_on = (part != END).astype(np.float32)[:, :, None]
+            keeps = update * goes_on
+            flows = np.empty((len(part), 4, lanes, HIDDEN), np.float32)
+            flows[:, 3] = (goes_on - keeps) * (1 - fresh * fresh)
+            flows[:, 2] = flows[:, 3] * reset
+            flows[:, 1] = flows[:, 2] * carried * (1 - reset)
+            flows[:, 0] = (states - fresh) * keeps * (1 - update)
+            through = self.recurrent.reshape(HIDDEN, 3, HIDDEN).transpose(1, 2, 0).copy()
             later = np.zeros((lanes, HIDDEN), np.float32)
             for t in range(len(part) - 1, -1, -1):
-                update, reset, fresh, carried = kept[t]
-                flow = later * (part[t] != END)[:, None]
-                d_fresh = flow * (1 - update) * (1 - fresh * fresh)
-                own = d_given[t]
-                own[:, :HIDDEN] = flow * (before[t] - fresh) * update * (1 - update)
-                own[:, HIDDEN:2 * HIDDEN] = d_fresh * carried * reset * (1 - reset)
-                own[:, 2 * HIDDEN:] = d_fresh
-                d_carried[t, :, :2 * HIDDEN] = own[:, :2 * HIDDEN]
-                d_carried[t, :, 2 * HIDDEN:] = d_fresh * reset
-                later = flow * update + d_carried[t] @ self.recurrent.T + back[t]
-            grads["recurrent"] = states.T @ d_carried.reshape(-1, 3 * HIDDEN)
-            # Rows of a token are added up in one go: sorted, they lie side by side.
-            order = np.argsort(flat, kind="stable")
-            starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-            grads["inputs"] = np.zeros_like(self.inputs)
-            grads["inputs"][flat[order[starts]]] = np.add.reduceat(
-                d_given.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            shrink = min(1.0, 1.0 / (norm + 1e-12))
-            for name, g in grads.items():
-                g *= shrink
-                first[name] += 0.1 * (g - first[name])
-                second[name] += 0.01 * (g * g - second[name])
-                weights = getattr(self, name)
-                weights -= (rate / (1 - 0.9 ** turn)) * first[name] / (
-                    np.sqrt(second[name] / (1 - 0.99 ** turn)) + 1e-7)
+                flow = flows[t]
+                flow *= later
+                later *= keeps[t]
+                later += back[t]
+                for sent in np.matmul(flow[:3], through):
+                    later += sent
+            grads["recurrent"] = np.matmul(states.transpose(0, 2, 1)[:, None], flows[:, :3]).sum(axis=0).transpose(
+                1, 0, 2).reshape(HIDDEN, 3 * HIDDEN)
+            order = np.argsort(flat.astype(TOKEN), kind="stable")
+            places = order // lanes * (4 * lanes) + order % lanes
+            rows = np.take(flows.reshape(-1, HIDDEN), places[:, None] + [0, lanes, 3 * lanes], axis=0)
+            grads["inputs"] = self.sums_of_tokens(flat[order], rows.reshape(-1, 3 * HIDDEN))
+            adam.step(np.concatenate([grads[name].ravel() for name in self.NAMES]), turn)
         return self
 
     def score(self, documents: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
@@ -242,7 +282,7 @@ class Gru:
         owners = [np.repeat(lane, [len(documents[k]) for k in lane]) for lane in laid]
         order = sorted(range(lanes), key=lambda lane: -len(streams[lane]))
         lengths = np.array([len(streams[lane]) for lane in order])
-        state, biases = np.zeros((lanes, HIDDEN), np.float32), self.bounded_biases()
+        state, biases, planes = np.zeros((lanes, HIDDEN), np.float32), self.bounded_biases(), self.planes()
         # Lanes are sorted by length, so those that still have tokens at a step are the first ones.
         # Few busy lanes get longer windows, so that a window always holds about as many tokens.
         start, longest = 0, int(lengths[0])
@@ -261,13 +301,48 @@ class Gru:
                 before.append(state)
                 tokens.append(ids[t, :active])
                 whose.append(owner[t, :active])
-                state = self.step(state, ids[t, :active])[0]
+                state = self.step(state, ids[t, :active], planes)[0]
             shares = self.log_shares(np.concatenate(before), np.concatenate(tokens), biases=biases)
             result += np.bincount(np.concatenate(whose), shares, len(documents))
             start += steps
         return result
 
 
+class Adam:
+    """Adam on one flat array of weights, in place and piece by piece, so that a piece stays in the cache.
+
+    The moments are kept without the factors 0.1 and 0.01, which are put into the step.
+    """
+
+    PIECE = 1 << 14
+
+    def __init__(self, weights: np.ndarray, rate: float):
+        self.rate, self.size = rate, len(weights)
+        self.weights, self.room = weights, np.empty(self.PIECE, np.float32)
+        self.first, self.second = np.zeros((2, len(weights)), np.float32)
+
+    def step(self, gradient: np.ndarray, turn: int) -> None:
+        """Gradients longer than 1 are cut to that length."""
+        gradient *= np.float32(min(1.0, 1.0 / (np.sqrt(float(gradient @ gradient)) + 1e-12)))
+        unit = np.sqrt(0.01 / (1 - 0.99 ** turn))
+        rate = np.float32(0.1 * self.rate / (1 - 0.9 ** turn) / unit)
+        least, slow, fast = np.float32(1e-7 / unit), np.float32(0.99), np.float32(0.9)
+        for start in range(0, self.size, self.PIECE):
+            own = slice(start, start + self.PIECE)
+            g, first, second = gradient[own], self.first[own], self.second[own]
+            room, weights = self.room[:len(g)], self.weights[own]
+            first *= fast
+            first += g
+            g *= g
+            second *= slow
+            second += g
+            np.sqrt(second, out=room)
+            room += least
+            np.divide(first, room, out=room)
+            room *= rate
+            weights -= room
+
+
 class Vocabulary:
     """Frequent words with their counts; the first of them are tokens of the network."""
 
@@ -378,7 +453,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_column: str = "doc_id"
             documents, tails, numbers = [], [], []
             for body in batch.column(1).cast(pa.binary()).to_pylist():
                 words = tokens_of(body)
-                found = np.fromiter((place.get(word, unknown) for word in words), np.int64, len(words))
+                found = np.fromiter(map(place.get, words, repeat(unknown)), np.int64, len(words))
                 tail = np.flatnonzero(found == unknown)
                 tails.append([words[k] for k in tail.tolist()])
                 known = found[found < unknown]
@@ -416,7 +491,8 @@ def score_documents(docs: DataFrame, held_out: Column, id_column: str = "doc_id"
     numbers = ["row", "id", "held_out", "n", "known", "base", "split", "rares"]
     numbered = passed.select("tokens", *numbers)
     every = stored(arrow_pass(numbered, StructType([*numbered.schema.fields[1:],
-                                                    StructField("network", DoubleType())]), scored), "lm-scored")
+                                                    StructField("network", DoubleType())]), scored,
+                              rows=SCORED_ROWS), "lm-scored")
     asked = passed.select("row", F.explode("tail").alias("word"))
     found = asked.join(counts, "word").groupBy("row").agg(
         F.sum(F.log10(F.col("n") + 1.0)).alias("tail_logs"), F.count("*").alias("tail_known"))

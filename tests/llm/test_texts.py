@@ -576,6 +576,63 @@ def test_training_improves_on_shares_and_gradients_are_right():
         assert math.isclose(slope, grad[place], rel_tol=0.05, abs_tol=2e-4)
 
 
+def test_weights_in_place_move_as_plain_adam_moves_them():
+    draw = np.random.default_rng(6)
+    weights = draw.normal(size=40_000).astype(np.float32)
+    plain, first, second = weights.astype(float), 0.0, 0.0
+    adam = lm_scoring.Adam(weights, 0.01)
+    for turn in range(1, 6):
+        gradient = draw.normal(size=40_000) * (10 if turn == 2 else 1e-4)
+        g = gradient * min(1.0, 1 / np.sqrt((gradient ** 2).sum()))
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        plain -= 0.01 / (1 - 0.9 ** turn) * first / (np.sqrt(second / (1 - 0.99 ** turn)) + 1e-7)
+        adam.step(gradient.astype(np.float32), turn)
+        assert np.allclose(weights, plain, atol=1e-5)
+
+
+def test_sums_of_tokens_class_by_class():
+    draw = np.random.default_rng(9)
+    network = lm_scoring.Gru(np.ones(150))
+    tokens = np.sort(draw.choice([0, 1, 63, 64, 149], 700))
+    rows = draw.normal(size=(700, 3 * lm_scoring.HIDDEN)).astype(np.float32)
+    plain = np.zeros((150, 3 * lm_scoring.HIDDEN))
+    np.add.at(plain, tokens, rows)
+    assert np.allclose(network.sums_of_tokens(tokens, rows), plain, atol=1e-4)
+
+
+def test_one_window_moves_the_network_along_the_slope_of_its_loss():
+    draw = np.random.default_rng(12)
+    stream = draw.choice([0, 2, 3, 4, 5], 40, p=[0.1, 0.3, 0.3, 0.2, 0.1])
+
+    def loss(network):
+        state, total = np.zeros((1, lm_scoring.HIDDEN)), 0.0
+        for token in stream:
+            total -= network.log_shares(state, np.array([token]))[0]
+            given, carried = network.inputs[token], state @ network.recurrent
+            update, reset = (1 / (1 + np.exp(-(given + carried)[0, k * 32:k * 32 + 32])) for k in (0, 1))
+            fresh = np.tanh(given[64:] + reset * carried[0, 64:])
+            state = (update * state + (1 - update) * fresh) * (token != 0)
+        return total / len(stream)
+
+    seen = {}
+    network, plain = (lm_scoring.Gru(np.ones(6)) for _ in range(2))
+    for name in network.NAMES:
+        setattr(plain, name, getattr(plain, name).astype(float))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lm_scoring.Adam, "step", lambda self, gradient, turn: seen.update(all=gradient))
+        network.train(stream, lanes=1, window=40)
+    at = 0
+    for name in network.NAMES:
+        weights = getattr(plain, name)
+        own, at = seen["all"][at:at + weights.size].reshape(weights.shape), at + weights.size
+        place = np.unravel_index(np.abs(own).argmax(), own.shape)
+        for k in (1e-5, -2e-5):
+            weights[place] += k
+            seen[k] = loss(plain)
+        weights[place] += 1e-5
+        assert np.isclose((seen[1e-5] - seen[-2e-5]) / 2e-5, own[place], rtol=1e-3, atol=1e-6), name
+
+
 def test_state_is_carried_across_windows_and_lanes():
     draw = np.random.default_rng(3)
     network = lm_scoring.Gru(np.ones(150))
