@@ -9,12 +9,12 @@ score is the log-likelihood of the complete document.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
-from itertools import repeat
+from copy import copy
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -31,27 +31,38 @@ TOKEN = np.dtype("<u2")
 FAN_IN = 64
 # Lanes and rate of the trainers: wide steps, so that a pass over all tokens is affordable.
 LANES, RATE = 256, 0.01
-FLUSH = 200_000
+# Rows of logits worked on in one go, so that they stay in the cache; tokens of a range when gradients of the most
+# frequent ones are added up; windows whose tokens are laid out in one go.
+ROWS, NARROW, SPAN = 1024, 8, 16
+# Numbers that a step of the network works on, a token, over HIDDEN.
+ROOM = 8
+# Rows whose words are looked up in one go, as each time the vocabulary is hashed.
+LOOKED_UP_ROWS = 4_000
 # Rows scored in one go: a long text among few leaves most lanes idle. Spark bounds the bytes of a batch.
 SCORED_ROWS = 10_000
 
 
-def tokens_of(body: bytes) -> list[bytes]:
-    """Words of a UTF-8 text with A-Z in lower case."""
-    return body.lower().split()
+def words_of_rows(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts with A-Z in lower case, one text behind the other, and their number in each text."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, lengths = split.flatten(), split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    # White space at an end of a text has an empty word beyond it.
+    some = pc.not_equal(pc.binary_length(words), 0)
+    if not pc.all(some, min_count=0).as_py():
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        holes = np.flatnonzero(~some.to_numpy(zero_copy_only=False))
+        lengths -= np.bincount(owner[holes], minlength=len(lengths))
+        words = words.filter(some)
+    return words, lengths
 
 
 def count_tokens(docs: DataFrame, text: str) -> DataFrame:
-    """Occurrences of each word over all rows: word, n. Tasks add up their own words first."""
+    """Occurrences of each word over all rows: word, n. Tasks add up the words of a batch first."""
     def make():
         def work(batch: pa.RecordBatch):
-            counts: Counter = Counter()
-            for body in batch.column(0).cast(pa.binary()).to_pylist():
-                counts.update(tokens_of(body))
-                if len(counts) > FLUSH:
-                    yield _counted(counts)
-                    counts = Counter()
-            yield _counted(counts)
+            words, _ = words_of_rows(batch.column(0))
+            counts = words.value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "n"])
         return work
 
     slim = docs.select(F.coalesce(text, F.lit("")).alias("__text"))
@@ -59,25 +70,72 @@ def count_tokens(docs: DataFrame, text: str) -> DataFrame:
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(counts), pa.binary()).cast(pa.string()),
-         pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+def planes_of(rows: np.ndarray) -> np.ndarray:
+    """What rows hold for update, reset and fresh state, one after the other."""
+    return rows.reshape(-1, 3, HIDDEN).transpose(1, 0, 2).copy()
 
 
-def ones(n: int) -> np.ndarray:
-    return np.ones(n, np.float32)
+def shares_of(states: np.ndarray, weights: np.ndarray, biases: np.ndarray, masses: np.ndarray, places: np.ndarray,
+              edges: list[int], bounded: bool, gradient=False):
+    """Log share of each row's place among those of its class; the rows of class c are those from edges[c] to
+    edges[c + 1]. `masses` are the exponentials of the biases.
 
-
-def exponentials(logits: np.ndarray, every: np.ndarray, places: np.ndarray, bounded: bool) -> tuple[np.ndarray, ...]:
-    """Log share of each row's place, the exponentials (in the place of the logits) and their sums a row."""
+    With `gradient`, also the gradients of the mean loss for the states, and for weights and biases; these are
+    put into `gradient` if it is a pair of zeros. Rows are taken in blocks that stay in the cache.
+    """
+    n, kinds = len(states), weights.shape[2]
+    dtype = np.result_type(states, weights)
+    result, room, sums = np.empty(n, dtype), np.empty((ROWS, kinds), dtype), np.empty(ROWS, dtype)
     if not bounded:
-        logits -= logits.max(axis=1, keepdims=True)
-    result = logits[every, places]
-    shares = np.exp(logits, out=logits)
-    sums = shares @ np.ones(shares.shape[1], shares.dtype)
-    result -= np.log(sums)
-    return result, shares, sums
+        masses = np.ones_like(masses)
+    starts, one = np.arange(ROWS) * kinds, np.ones(ROWS, dtype)
+    owner = np.repeat(np.arange(len(weights)), np.diff(edges))
+    if gradient:
+        hits = (1 / (n * masses))[owner, places]
+        own = gradient if isinstance(gradient, tuple) else (np.zeros_like(weights), np.zeros_like(biases))
+        back, through = np.empty((n, states.shape[1]), dtype), (weights * masses[:, None]).transpose(0, 2, 1)
+    c = 0
+    for low in range(0, n, ROWS):
+        high = min(low + ROWS, n)
+        pieces = []
+        while edges[c] < high:
+            first, last = max(edges[c], low), min(edges[c + 1], high)
+            if first < last:
+                pieces.append((c, slice(first, last), slice(first - low, last - low)))
+            if edges[c + 1] > high or c + 2 == len(edges):
+                break
+            c += 1
+        logits, total = room[:high - low], sums[:high - low]
+        for k, rows, here in pieces:
+            np.matmul(states[rows], weights[k], out=logits[here])
+            if not bounded:
+                logits[here] += biases[k]
+        if not bounded:
+            logits -= logits.max(axis=1, keepdims=True)
+        at = starts[:high - low] + places[low:high]
+        flat = logits.reshape(-1)
+        np.take(flat, at, out=result[low:high], mode="clip")
+        np.exp(logits, out=logits)
+        for k, _, here in pieces:
+            np.matmul(logits[here], masses[k], out=total[here])
+        result[low:high] -= np.log(total)
+        if gradient:
+            logits *= (1 / (n * total))[:, None]
+            flat[at] -= hits[low:high]
+            for k, rows, here in pieces:
+                np.matmul(logits[here], through[k], out=back[rows])
+                if rows.start == edges[k]:
+                    np.matmul(states[rows].T, logits[here], out=own[0][k])
+                else:
+                    own[0][k] += states[rows].T @ logits[here]
+                own[1][k] += one[here] @ logits[here]
+    if bounded:
+        result += biases[owner, places]
+    if not gradient:
+        return result, None, None
+    own[0][...] *= masses[:, None]
+    own[1][...] *= masses
+    return result, back, own
 
 
 class Gru:
@@ -115,98 +173,107 @@ class Gru:
     def load(self, flat: np.ndarray) -> Gru:
         return self.view(flat.astype(np.float32))
 
-    def sums_of_tokens(self, tokens: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Sums of the rows of each token, rows in order of their tokens: class by class, a product with the
-        tokens' indicators."""
-        result = np.zeros((self.classes, PER_CLASS, rows.shape[1]), np.float32)
-        edges = np.searchsorted(tokens, np.arange(self.classes + 1) * PER_CLASS).tolist()
-        marks = np.zeros((PER_CLASS, len(tokens)), np.float32)
-        marks[tokens % PER_CLASS, np.arange(len(tokens))] = 1
-        for c in range(self.classes):
-            own = slice(edges[c], edges[c + 1])
-            if own.start < own.stop:
-                np.matmul(marks[:, own], rows[own], out=result[c])
-        return result.reshape(-1, rows.shape[1])[:len(self.inputs)]
-
-    def planes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Inputs and recurrent weights for update, reset and fresh state one after the other; those of the
-        two gates are halved, as their tanh needs them."""
-        inputs = self.inputs.reshape(-1, 3, HIDDEN).transpose(1, 0, 2).copy()
-        recurrent = self.recurrent.reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2).copy()
-        inputs[:2] *= 0.5
-        recurrent[:2] *= 0.5
-        return inputs, recurrent
-
-    def step(self, state: np.ndarray, tokens: np.ndarray, planes=None) -> tuple[np.ndarray, ...]:
-        """The next state, and the gates it came from; the state is zero behind an end. `planes` are those
-        of `planes`, if the weights have not changed since."""
-        inputs, recurrent = planes or self.planes()
-        given, carried = np.take(inputs, tokens, axis=1), np.matmul(state, recurrent)
-        gates, fresh = given[:2], given[2]
-        gates += carried[:2]
-        np.tanh(gates, out=gates)
-        gates *= 0.5
-        gates += 0.5
-        update, reset = gates
-        fresh += reset * carried[2]
+    def sums_of_tokens(self, tokens: np.ndarray, rows: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        """Sums of the rows of each token, rows in order of their tokens: range by range, a product with the
+        tokens' indicators. Ranges of the most frequent tokens, which have most rows, are narrow."""
+        size = len(self.inputs)
+        result = np.zeros((size, rows.shape[1]), np.float32) if out is None else out
+        for low, high, width in ((0, PER_CLASS, NARROW), (PER_CLASS, self.classes * PER_CLASS, PER_CLASS)):
+            edges = np.searchsorted(tokens, np.arange(low, high + 1, width))
+            first, last = edges[0], edges[-1]
+            marks = np.zeros((last - first, width), np.float32)
+            marks[np.arange(last - first), tokens[first:last] % width] = 1
+            edges = edges.tolist()
+            for k in range(len(edges) - 1):
+                own, at = slice(edges[k], edges[k + 1]), low + k * width
+                if own.start < own.stop:
+                    some = result[at:at + width]
+                    np.matmul(marks[own.start - first:own.stop - first, :len(some)].T, rows[own], out=some)
+        return result
+
+    def step(self, state: np.ndarray, tokens: np.ndarray, planes: np.ndarray, room: np.ndarray, after: np.ndarray,
+             flows: np.ndarray | None = None, keeps: np.ndarray | None = None) -> None:
+        """The next state, put into `after`; it is zero behind an end. `planes` are the recurrent weights for
+        update, reset and fresh state one after the other, `room` has ROOM rows of HIDDEN numbers a token to work in.
+
+        `flows` takes what a flow back into the next state is multiplied with: for the fresh state, update and
+        reset as they are carried, and for the fresh state as it is given; `keeps` the same for the state.
+        """
+        n = len(tokens)
+        given, carried = room[:3 * n].reshape(n, 3, HIDDEN), room[3 * n:6 * n].reshape(3, n, HIDDEN)
+        spare, fresh = room[6 * n:7 * n], room[7 * n:8 * n]
+        np.take(self.inputs, tokens, axis=0, out=given.reshape(n, -1), mode="clip")
+        np.matmul(state, planes, out=carried)
+        # What the gates shut out, 1 less the gates.
+        shut = carried[:2]
+        shut += given.transpose(1, 0, 2)[:2]
+        np.exp(shut, out=shut)
+        shut += 1
+        np.reciprocal(shut, out=shut)
+        no_update, no_reset, recalled = carried
+        np.multiply(no_reset, recalled, out=spare)
+        recalled -= spare
+        np.add(recalled, given[:, 2], out=fresh)
         np.tanh(fresh, out=fresh)
-        after = state - fresh
-        after *= update
-        after += fresh
-        after[tokens == END] = 0
-        return after, update, reset, fresh, carried[2]
-
-    def bounded_biases(self) -> tuple[tuple[np.ndarray, np.ndarray], bool]:
-        """Biases less the most that a logit can be, as states lie within -1 and 1: exponentials then
-        neither overflow nor, while the weights span less than 60, all vanish."""
-        class_span, word_span = np.abs(self.to_class).sum(axis=0), np.abs(self.to_word).sum(axis=1)
-        class_most = (class_span + self.class_bias).max()
-        word_most = (word_span + self.word_bias).max(axis=1, keepdims=True)
-        bounded = 2 * max(class_span.max(), word_span.max()) < 60
-        return (self.class_bias - class_most, self.word_bias - word_most), bool(bounded)
-
-    def log_shares(self, states: np.ndarray, tokens: np.ndarray, gradient: bool = False, biases=None):
+        np.subtract(state, fresh, out=spare)
+        spare *= no_update
+        np.subtract(state, spare, out=after)
+        ends = (tokens == END).nonzero()[0]
+        after[ends] = 0
+        if flows is not None:
+            np.subtract(1, no_update, out=keeps)
+            np.multiply(spare, keeps, out=flows[:, 1])
+            fresh *= fresh
+            np.subtract(1, fresh, out=fresh)
+            fresh *= no_update
+            flows[:, 3] = fresh
+            recalled *= no_reset
+            np.multiply(fresh, recalled, out=flows[:, 2])
+            np.subtract(1, no_reset, out=spare)
+            np.multiply(fresh, spare, out=flows[:, 0])
+            flows[ends] = 0
+            keeps[ends] = 0
+
+    def masses(self) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
+        """Biases of classes and of words, less the largest of their class, and their exponentials; whether
+        logits without their biases are so small that exponentials neither overflow nor all vanish, as states
+        lie within -1 and 1."""
+        widest = max(np.abs(self.to_class).sum(axis=0).max(), np.abs(self.to_word).sum(axis=1).max())
+        biases = (self.class_bias[None] - self.class_bias.max(),
+                  self.word_bias - self.word_bias.max(axis=1, keepdims=True))
+        return [(bias, np.exp(bias)) for bias in biases], bool(widest < 30)
+
+    def log_shares(self, states: np.ndarray, tokens: np.ndarray, gradient: bool = False, masses=None,
+                   order: np.ndarray | None = None, grads: dict[str, np.ndarray] | None = None):
         """Natural log probability of each token given the state before it, by class, then in its class.
 
-        With `gradient`, also the gradients of the mean loss for the states and the output weights.
-        `biases` are those of `bounded_biases`, if the weights have not changed since.
+        With `gradient`, also the gradients of the mean loss for the states and, put into `grads` if given,
+        for the output weights. `masses` are those of `masses`, if the weights have not changed since; `order`
+        sorts the tokens by their classes.
         """
         n = len(tokens)
-        classes, places = np.divmod(tokens, PER_CLASS)
-        (class_bias, word_bias), bounded = biases or self.bounded_biases()
-        every = np.arange(n)
-        logits = states @ self.to_class
-        logits += class_bias
-        result, shares, sums = exponentials(logits, every, classes, bounded)
-        if gradient:
-            shares *= (1 / (sums * n))[:, None]
-            shares[every, classes] -= np.float32(1 / n)
-            back = shares @ self.to_class.T
-            grads = {"to_class": states.T @ shares, "class_bias": shares.sum(axis=0),
-                     "to_word": np.zeros_like(self.to_word), "word_bias": np.zeros_like(self.word_bias)}
+        classes = tokens // PER_CLASS
+        places = tokens - classes * PER_CLASS
+        of_levels, bounded = masses or self.masses()
         # Rows in order of their classes, so that each class has its rows side by side.
-        order = np.argsort(classes.astype(np.uint8 if self.classes <= 256 else np.int64), kind="stable")
+        if order is None:
+            order = np.argsort(classes.astype(np.uint8 if self.classes <= 256 else np.int64), kind="stable")
         edges = np.searchsorted(classes[order], np.arange(self.classes + 1)).tolist()
-        spans = [(c, slice(edges[c], edges[c + 1])) for c in range(self.classes) if edges[c] < edges[c + 1]]
-        own, places = np.take(states, order, axis=0), places[order]
-        logits = np.empty((n, PER_CLASS), np.result_type(own, self.to_word))
-        for c, rows in spans:
-            some = np.matmul(own[rows], self.to_word[c], out=logits[rows])
-            some += word_bias[c]
-        picked, shares, sums = exponentials(logits, every, places, bounded)
-        result[order] += picked
-        if gradient:
-            shares *= (1 / (sums * n))[:, None]
-            shares[every, places] -= np.float32(1 / n)
-            sent = np.empty_like(own)
-            for c, rows in spans:
-                np.matmul(shares[rows], self.to_word[c].T, out=sent[rows])
-                np.matmul(own[rows].T, shares[rows], out=grads["to_word"][c])
-                grads["word_bias"][c] = ones(rows.stop - rows.start) @ shares[rows]
-            spread = np.empty_like(order)
-            spread[order] = every
-            back += np.take(sent, spread, axis=0)
-        return (result, back, grads) if gradient else result
+        sorted_states, sorted_places = np.take(states, order, axis=0), places[order]
+        result, back, own = shares_of(sorted_states, self.to_word, *of_levels[1], sorted_places, edges, bounded,
+                                      gradient and (grads["to_word"], grads["word_bias"]) if grads else gradient)
+        back_places = np.empty_like(order)
+        back_places[order] = np.arange(n)
+        result = np.take(result, back_places)
+        more, more_back, own_class = shares_of(
+            states, self.to_class[None], *of_levels[0], classes, [0, n], bounded,
+            gradient and (grads["to_class"][None], grads["class_bias"][None]) if grads else gradient)
+        result += more
+        if not gradient:
+            return result
+        more_back += np.take(back, back_places, axis=0)
+        return result, more_back, {"to_class": own_class[0][0], "class_bias": own_class[1][0],
+                                   "to_word": own[0], "word_bias": own[1]}
 
     def train(self, stream: np.ndarray, lanes: int = 32, window: int = 32, rate: float = 0.004) -> Gru:
         """One pass of truncated backpropagation over a stream of tokens, cut into parallel lanes.
@@ -219,47 +286,37 @@ class Gru:
         length = -(-len(stream) // lanes)
         # No token is left over: the last lane is filled up from the beginning of the stream.
         ids = np.resize(stream, lanes * length).reshape(lanes, length).T
-        state = np.zeros((lanes, HIDDEN), np.float32)
         weights = self.flat()
         self.view(weights)
         adam = Adam(weights, rate)
+        gradient = np.empty_like(weights)
+        grads = vars(copy(self).view(gradient))
+        room = np.empty((ROOM * lanes, HIDDEN), np.float32)
+        all_states = np.zeros((window + 1, lanes, HIDDEN), np.float32)
+        all_flows = np.empty((window, lanes, 4, HIDDEN), np.float32)
+        keeps = np.empty((window, lanes, HIDDEN), np.float32)
         for turn, start in enumerate(range(0, length, window), 1):
-            part = ids[start:start + window]
-            before, kept, planes = [], [], self.planes()
-            for tokens in part:
-                before.append(state)
-                state, *gates = self.step(state, tokens, planes)
-                kept.append(gates)
-            states, flat = np.concatenate(before), part.ravel()
-            _, back, grads = self.log_shares(states, flat, gradient=True)
-            back = back.reshape(len(part), lanes, HIDDEN)
-            # What a flow back into a state is multiplied with, all steps at once: for update, reset and fresh
-            # state as they are carried, and for the fresh state as it is given.
-            update, reset, fresh, carried = (np.stack(gate) for gate in zip(*kept))
-            states = states.reshape(fresh.shape)
-            goes_on = (part != END).astype(np.float32)[:, :, None]
-            keeps = update * goes_on
-            flows = np.empty((len(part), 4, lanes, HIDDEN), np.float32)
-            flows[:, 3] = (goes_on - keeps) * (1 - fresh * fresh)
-            flows[:, 2] = flows[:, 3] * reset
-            flows[:, 1] = flows[:, 2] * carried * (1 - reset)
-            flows[:, 0] = (states - fresh) * keeps * (1 - update)
-            through = self.recurrent.reshape(HIDDEN, 3, HIDDEN).transpose(1, 2, 0).copy()
-            later = np.zeros((lanes, HIDDEN), np.float32)
-            for t in range(len(part) - 1, -1, -1):
-                flow = flows[t]
-                flow *= later
+            part = np.ascontiguousarray(ids[start:start + window])
+            steps, planes, flows = len(part), planes_of(self.recurrent), all_flows[:len(part)]
+            for t in range(steps):
+                self.step(all_states[t], part[t], planes, room, all_states[t + 1], flows[t], keeps[t])
+            states, flat = all_states[:steps].reshape(-1, HIDDEN), part.ravel()
+            order = np.argsort(flat.astype(TOKEN), kind="stable")
+            gradient.fill(0)
+            _, back, _ = self.log_shares(states, flat, gradient=True, order=order, grads=grads)
+            back = back.reshape(steps, lanes, HIDDEN)
+            through = np.roll(self.recurrent, HIDDEN, axis=1).T.copy()
+            later, sent = np.zeros((2, lanes, HIDDEN), np.float32)
+            for t in range(steps - 1, -1, -1):
+                flows[t] *= later[:, None]
                 later *= keeps[t]
                 later += back[t]
-                for sent in np.matmul(flow[:3], through):
-                    later += sent
-            grads["recurrent"] = np.matmul(states.transpose(0, 2, 1)[:, None], flows[:, :3]).sum(axis=0).transpose(
-                1, 0, 2).reshape(HIDDEN, 3 * HIDDEN)
-            order = np.argsort(flat.astype(TOKEN), kind="stable")
-            places = order // lanes * (4 * lanes) + order % lanes
-            rows = np.take(flows.reshape(-1, HIDDEN), places[:, None] + [0, lanes, 3 * lanes], axis=0)
-            grads["inputs"] = self.sums_of_tokens(flat[order], rows.reshape(-1, 3 * HIDDEN))
-            adam.step(np.concatenate([grads[name].ravel() for name in self.NAMES]), turn)
+                later += np.matmul(flows[t].reshape(lanes, -1)[:, :3 * HIDDEN], through, out=sent)
+            sent_back = flows.reshape(len(flat), -1)
+            grads["recurrent"][...] = np.roll(states.T @ sent_back[:, :3 * HIDDEN], -HIDDEN, axis=1)
+            self.sums_of_tokens(flat[order], np.take(sent_back, order, axis=0)[:, HIDDEN:], grads["inputs"])
+            all_states[0] = all_states[steps]
+            adam.step(gradient, turn)
         return self
 
     def score(self, documents: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
@@ -282,28 +339,37 @@ class Gru:
         owners = [np.repeat(lane, [len(documents[k]) for k in lane]) for lane in laid]
         order = sorted(range(lanes), key=lambda lane: -len(streams[lane]))
         lengths = np.array([len(streams[lane]) for lane in order])
-        state, biases, planes = np.zeros((lanes, HIDDEN), np.float32), self.bounded_biases(), self.planes()
+        masses, planes = self.masses(), planes_of(self.recurrent)
+        room = np.empty((ROOM * lanes, HIDDEN), np.float32)
+        state = np.zeros((lanes, HIDDEN), np.float32)
         # Lanes are sorted by length, so those that still have tokens at a step are the first ones.
         # Few busy lanes get longer windows, so that a window always holds about as many tokens.
         start, longest = 0, int(lengths[0])
         while start < longest:
             busy = int((lengths > start).sum())
-            steps = min(window * max(1, lanes // busy), longest - start)
-            ids, owner = np.zeros((2, steps, busy), np.int32)
+            steps = min(window * SPAN * max(1, lanes // busy), longest - start)
+            ids, owner = np.zeros((steps, busy), np.int32), np.zeros((steps, busy), np.int64)
             for column in range(busy):
                 part = streams[order[column]][start:start + steps]
                 ids[:len(part), column] = part
                 owner[:len(part), column] = owners[order[column]][start:start + steps]
-            before, tokens, whose = [], [], []
-            for t in range(steps):
-                active = int((lengths[:busy] > start + t).sum())
-                state = state[:active]
-                before.append(state)
-                tokens.append(ids[t, :active])
-                whose.append(owner[t, :active])
-                state = self.step(state, ids[t, :active], planes)[0]
-            shares = self.log_shares(np.concatenate(before), np.concatenate(tokens), biases=biases)
-            result += np.bincount(np.concatenate(whose), shares, len(documents))
+            active = np.searchsorted(-lengths, -np.arange(start, start + steps)).tolist()
+            at = 0
+            while at < steps:
+                some = min(window * max(1, lanes // active[at]), steps - at)
+                ends = np.cumsum([0, *active[at:at + some]]).tolist()
+                states = np.empty((ends[-1] + lanes, HIDDEN), np.float32)
+                states[:active[at]] = state[:active[at]]
+                for t in range(some):
+                    n = active[at + t]
+                    after = states[ends[t + 1]:ends[t + 1] + n]
+                    self.step(states[ends[t]:ends[t + 1]], ids[at + t, :n], planes, room, after)
+                state = after
+                tokens, whose = (np.concatenate([x[at + t, :active[at + t]] for t in range(some)])
+                                 for x in (ids, owner))
+                shares = self.log_shares(states[:ends[-1]], tokens, masses=masses)
+                result += np.bincount(whose, shares, len(documents))
+                at += some
             start += steps
         return result
 
@@ -323,7 +389,9 @@ class Adam:
 
     def step(self, gradient: np.ndarray, turn: int) -> None:
         """Gradients longer than 1 are cut to that length."""
-        gradient *= np.float32(min(1.0, 1.0 / (np.sqrt(float(gradient @ gradient)) + 1e-12)))
+        length = np.sqrt(float(gradient @ gradient)) + 1e-12
+        if length > 1:
+            gradient *= np.float32(1 / length)
         unit = np.sqrt(0.01 / (1 - 0.99 ** turn))
         rate = np.float32(0.1 * self.rate / (1 - 0.9 ** turn) / unit)
         least, slow, fast = np.float32(1e-7 / unit), np.float32(0.99), np.float32(0.9)
@@ -438,43 +506,53 @@ def score_documents(docs: DataFrame, held_out: Column, id_column: str = "doc_id"
     slim = docs.select(F.col(id_column).alias("id"), F.coalesce(text, F.lit("")).alias("body"),
                        F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts, totals, vocabulary = fit(slim.filter("not held_out"), "body", head_words)
-    words_shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.words, vocabulary.counts, vocabulary.tokens))
     whole = float(totals["tokens"] + totals["kinds"] + 1)
     rare = float(totals["rare_tokens"] + totals["rare_kinds"] + 1)
     rows = totals["rows"]
 
     def tokenized():
-        vocabulary = words_shared.value
-        place, most = vocabulary.place, vocabulary.tokens
-        logs = np.log10(vocabulary.counts + 1.0)
-        unknown = len(vocabulary.words)
+        frequent, counts, most = shared.value
+        frequent, unknown = pa.array(frequent, pa.binary()).cast(pa.string()), len(frequent)
+        # By place: the token; the logarithm of the count, of all words and of those that are no tokens.
+        tokens = np.full(unknown + 1, RARE, TOKEN)
+        tokens[:most] = np.arange(most) + 2
+        logs = np.append(np.log10(counts + 1.0), 0)
+        split_logs = np.where(np.arange(unknown + 1) < most, 0, logs)
 
         def work(batch: pa.RecordBatch):
-            documents, tails, numbers = [], [], []
-            for body in batch.column(1).cast(pa.binary()).to_pylist():
-                words = tokens_of(body)
-                found = np.fromiter(map(place.get, words, repeat(unknown)), np.int64, len(words))
-                tail = np.flatnonzero(found == unknown)
-                tails.append([words[k] for k in tail.tolist()])
-                known = found[found < unknown]
-                split = known[known >= most]  # counted here, but no tokens of the network
-                numbers.append((len(words) + 1, len(known) + (rows > 0), logs[known].sum(),
-                                logs[split].sum(), len(split) + len(tail)))
-                tokens = np.where(found < most, found + 2, RARE)
-                documents.append(np.append(tokens, END).astype(TOKEN).tobytes())
-            n, known, base, split, rares = map(list, zip(*numbers)) if numbers else ([],) * 5
+            words, lengths = words_of_rows(batch.column(1))
+            places = pc.index_in(words, value_set=frequent).fill_null(unknown).to_numpy()
+            # Each text has an end behind its words; it adds nothing to the sums.
+            stops = np.cumsum(lengths + 1)
+            starts, ends = stops - lengths - 1, stops - 1
+            is_word = np.ones(stops[-1] if len(stops) else 0, bool)
+            is_word[ends] = False
+            stream = np.full(len(is_word), END, TOKEN)
+            stream[is_word] = tokens[places]
+
+            def sums(values: np.ndarray) -> pa.Array:
+                spread = np.zeros(len(is_word), values.dtype)
+                spread[is_word] = values
+                return pa.array(np.add.reduceat(spread, starts) if len(starts) else spread)
+
+            tail = places == unknown
+            known = pc.add(sums((~tail).astype(np.int64)), int(rows > 0))
+            tails = sums(tail.astype(np.int64))
+            documents = pa.Array.from_buffers(pa.binary(), len(lengths), [
+                None, pa.py_buffer(np.append(0, stops * TOKEN.itemsize).astype(np.int32)), pa.py_buffer(stream)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                 pa.array(base, pa.float64()), pa.array(split, pa.float64()),
-                 pa.array(rares, pa.int64()), pa.array(documents, pa.binary()),
-                 pa.array(tails, pa.list_(pa.binary())).cast(pa.list_(pa.string()))],
+                [batch.column(0), batch.column(2), pa.array(lengths + 1), known, sums(logs[places]),
+                 sums(split_logs[places]), sums((places >= most).astype(np.int64)), documents,
+                 pa.ListArray.from_arrays(np.append(0, np.cumsum(tails)).astype(np.int32),
+                                          words.filter(pa.array(tail)))],
                 ["id", "held_out", "n", "known", "base", "split", "rares", "tokens", "tail"])
         return work
 
     kind = slim.schema["id"].dataType.simpleString()
     passed = stored(
         arrow_pass(slim, f"id {kind}, held_out boolean, n bigint, known bigint, base double, split double, "
-                         "rares bigint, tokens binary, tail array<string>", tokenized)
+                         "rares bigint, tokens binary, tail array<string>", tokenized, rows=LOOKED_UP_ROWS)
         .withColumn("row", F.monotonically_increasing_id()), "lm-pass")
     network, _ = fit_network(passed.filter("not held_out"), totals, vocabulary, **options)
     network_shared = docs.sparkSession.sparkContext.broadcast(network)

@@ -5,11 +5,13 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -672,6 +674,45 @@ def test_no_token_of_a_stream_is_left_out():
     assert not np.allclose(network.inputs[5], before)
 
 
+def test_logits_are_worked_on_in_blocks_and_are_exact():
+    draw = np.random.default_rng(14)
+    network, n = lm_scoring.Gru(draw.integers(1, 900, 300).astype(float)), 40_000
+    states = draw.uniform(-1, 1, (n, lm_scoring.HIDDEN)).astype(np.float32)
+    tokens = np.minimum(draw.geometric(0.02, n), 299)
+    tracemalloc.start()
+    found = network.log_shares(states, tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * lm_scoring.PER_CLASS * 4  # never the logits of all rows
+    for factor in (1, 40):  # large weights need the largest logit of a row taken off
+        for name in ("to_class", "to_word"):
+            setattr(network, name, getattr(network, name).astype(float) * factor)
+        found, back, grads = network.log_shares(states[:3000].astype(float), tokens[:3000], gradient=True)
+        classes, places = np.divmod(tokens[:3000], lm_scoring.PER_CLASS)
+        for place, weights, bias in ((classes, network.to_class[None], network.class_bias[None]),
+                                     (places, network.to_word[classes], network.word_bias[classes])):
+            logits = np.einsum("nh,nhk->nk", states[:3000], np.broadcast_to(weights, (3000, *weights.shape[1:]))) + bias
+            logits -= logits.max(axis=1, keepdims=True)
+            shares = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+            found = found - np.log(shares[np.arange(3000), place])
+            shares[np.arange(3000), place] -= 1
+            back = back - np.einsum("nk,nhk->nh", shares, np.broadcast_to(weights, (3000, *weights.shape[1:]))) / 3000
+            name = "class" if place is classes else "word"
+            plain = np.zeros_like(grads[f"to_{name}"].reshape(-1, *weights.shape[1:]), dtype=float)
+            np.add.at(plain, classes if name == "word" else 0 * classes, states[:3000, :, None] * shares[:, None] / 3000)
+            assert np.allclose(plain.reshape(grads[f"to_{name}"].shape), grads[f"to_{name}"], atol=1e-6)
+        assert np.abs(found).max() < 1e-3 and np.abs(back).max() < 1e-5
+
+
+def test_words_of_many_rows_are_those_of_each():
+    texts = ["".join(f"{chr(k)}aB" for k in range(128)), "", " ", "\n x  y\t", "É Q z\x1cK\x85 b\u2003c", "  A"]
+    plain = [[w.decode() for w in text.encode().lower().split()] for text in texts]
+    for some in (slice(0, 6), slice(1, 3), slice(2, 5), slice(0, 0)):
+        words, lengths = lm_scoring.words_of_rows(pa.array(texts, pa.string())[some])
+        assert lengths.tolist() == [len(row) for row in plain[some]]
+        assert words.to_pylist() == [word for row in plain[some] for word in row]
+
+
 # Pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head>
