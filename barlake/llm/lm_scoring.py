@@ -36,6 +36,8 @@ LANES, RATE = 256, 0.01
 ROWS, NARROW, SPAN = 1024, 8, 16
 # Numbers that a step of the network works on, a token, over HIDDEN.
 ROOM = 8
+# A bias further below the largest of its class counts as this: its exponential is no zero in single precision.
+LEAST_BIAS = -80
 # Rows whose words are looked up in one go, as each time the vocabulary is hashed.
 LOOKED_UP_ROWS = 4_000
 # Rows scored in one go: a long text among few leaves most lanes idle. Spark bounds the bytes of a batch.
@@ -235,12 +237,12 @@ class Gru:
             keeps[ends] = 0
 
     def masses(self) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
-        """Biases of classes and of words, less the largest of their class, and their exponentials; whether
-        logits without their biases are so small that exponentials neither overflow nor all vanish, as states
-        lie within -1 and 1."""
+        """Biases of classes and of words, less the largest of their class, and their exponentials, none of
+        which vanishes; whether logits without their biases are so small that their exponentials neither
+        overflow nor vanish, as states lie within -1 and 1."""
         widest = max(np.abs(self.to_class).sum(axis=0).max(), np.abs(self.to_word).sum(axis=1).max())
-        biases = (self.class_bias[None] - self.class_bias.max(),
-                  self.word_bias - self.word_bias.max(axis=1, keepdims=True))
+        biases = [np.maximum(bias - bias.max(axis=1, keepdims=True), LEAST_BIAS)
+                  for bias in (self.class_bias[None], self.word_bias)]
         return [(bias, np.exp(bias)) for bias in biases], bool(widest < 30)
 
     def log_shares(self, states: np.ndarray, tokens: np.ndarray, gradient: bool = False, masses=None,

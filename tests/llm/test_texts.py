@@ -704,6 +704,16 @@ def test_logits_are_worked_on_in_blocks_and_are_exact():
         assert np.abs(found).max() < 1e-3 and np.abs(back).max() < 1e-5
 
 
+def test_a_bias_far_below_its_class_gives_finite_gradients():
+    network = lm_scoring.Gru(np.ones(150))
+    network.word_bias[0, 5] = network.class_bias[2] = -300
+    states, tokens = np.full((4, lm_scoring.HIDDEN), 0.5, np.float32), np.array([5, 130, 6, 70])
+    with np.errstate(divide="raise", over="raise", invalid="raise"):
+        found, back, grads = network.log_shares(states, tokens, gradient=True)
+    assert np.isfinite(found).all() and np.isfinite(back).all() and (found < 0).all()
+    assert all(np.isfinite(grad).all() for grad in grads.values())
+
+
 def test_words_of_many_rows_are_those_of_each():
     texts = ["".join(f"{chr(k)}aB" for k in range(128)), "", " ", "\n x  y\t", "É Q z\x1cK\x85 b\u2003c", "  A"]
     plain = [[w.decode() for w in text.encode().lower().split()] for text in texts]
