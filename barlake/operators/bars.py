@@ -19,6 +19,9 @@ from barlake.session import run_folder
 REQUIRED_BAR_FIELDS = {
     "t": "timestamp_ms", "o": "open", "h": "high", "l": "low", "c": "close", "v": "volume"}
 
+# A universe of so many symbols at most is sent to every executor, where a short symbol takes about 100 bytes.
+SENT_SYMBOLS = 2_000_000
+
 # Total order of one symbol's bars: time first, then every value, so that only identical rows tie.
 _TIE_BREAK = ["open", "high", "low", "close", "volume", "vwap", "trade_count"]
 
@@ -96,6 +99,17 @@ def in_universe(bars: DataFrame, universe: DataFrame) -> DataFrame:
     return bars.join(universe.select("symbol"), "symbol", "left_semi")
 
 
+def in_counted_universe(documents: DataFrame, universe: DataFrame) -> DataFrame:
+    """Documents of the listed symbols only; the symbols are counted first.
+
+    A universe of at most SENT_SYMBOLS goes to the documents, as the shuffle of a join would store every
+    document's text. Of a larger one the planner decides.
+    """
+    if universe.count() <= SENT_SYMBOLS:
+        universe = F.broadcast(universe)
+    return in_universe(documents, universe)
+
+
 def missing_symbols(universe: DataFrame, bars: DataFrame) -> DataFrame:
     """Listed symbols without a single bar. Bars shrink to their symbols before the join."""
     seen = bars.select("symbol").distinct()

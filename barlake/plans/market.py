@@ -5,22 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
-from pyspark.sql.types import StructType
 
 from barlake.dimensions import (
     COMMODITY_TICKERS, FOREX_TICKERS, INDEX_TICKERS, MACRO_SERIES, broadcast_listed, dimension,
     in_list_order,
 )
 from barlake.operators.bars import (
-    bar_order, bars_from_documents, in_universe, missing_symbols, newest_silver_order,
+    bar_order, bars_from_documents, in_counted_universe, missing_symbols, newest_silver_order,
     parse_bar_documents, silver_bars,
 )
 from barlake.operators.boards import (
     index_changes, latest_of_documents, quote_changes,
 )
 from barlake.operators.latest import latest_documents, latest_row, newest
-from barlake.schemas import BAR
-from barlake.sources.files import read_bars, write_json_lines
+from barlake.sources.files import read_bar_symbols, write_json_lines
 from barlake.sources.tables import refresh_table
 
 # How many candles and bars a report shows unless told otherwise.
@@ -105,12 +103,12 @@ def land_bars(documents: DataFrame, universe: DataFrame, path: str,
     already parsed. The count is taken while writing, and the missing symbols are read off the
     written bars, of which only the symbol is parsed.
     """
-    listed = in_universe(documents, universe)
+    listed = in_counted_universe(documents, universe)
     parsed = parse_bar_documents(listed) if "value" in listed.columns else listed
     bars, _ = bars_from_documents(parsed, received_ms)
     written = Observation("bars")
     write_json_lines(bars.observe(written, F.count(F.lit(1)).alias("rows")), path)
-    landed = read_bars(documents.sparkSession, path, StructType([BAR["symbol"]]))
+    landed = read_bar_symbols(documents.sparkSession, path)
     return written.get["rows"], missing_symbols(universe, landed)
 
 

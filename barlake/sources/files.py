@@ -11,6 +11,11 @@ from barlake.schemas import BAR, BAR_DOCUMENT
 
 MALFORMED = "malformed"
 
+# JSON lines are compressed by these settings of Hadoop's codec: bars get as small as by its defaults, in two
+# thirds of their time. Such files cannot be split, so their lines bound what a task reads (60 MB of text for bars).
+GZIP = {"compression": "gzip", "zlib.compress.level": "FOUR", "zlib.compress.strategy": "FILTERED"}
+LINES_PER_FILE = 250_000
+
 
 def _name_in_path() -> Column:
     """File name without its ending; names are percent-encoded in paths."""
@@ -81,9 +86,25 @@ def read_bars(spark: SparkSession, path: str, schema: StructType | None = BAR) -
     return reader.json(path)
 
 
+def read_bar_symbols(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct symbols of bars that `write_json_lines` has written, in which the symbol comes first.
+
+    A line is cut at its first `,"`, which no text can hold, as quotes in texts are escaped. So lines are not
+    parsed, only their distinct beginnings are. (Without `parse_once` a caller's own distinct would replace
+    this one, and every line would be parsed.)
+    """
+    begins = spark.read.text(path).select(F.substring_index("value", ',"', 1).alias("begin")).distinct()
+    bar = F.from_json(F.concat("begin", F.lit("}")), StructType([BAR["symbol"]]))
+    return parse_once(begins, bar, "bar").select("bar.symbol")
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
-    """Replace the folder with one JSON object per row; null fields are written out."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """Replace the folder with one JSON object per row; null fields are written out.
+
+    Every line repeats the names of the fields, so files are compressed; readers see that by their names.
+    """
+    (df.write.mode("overwrite").options(ignoreNullFields="false", maxRecordsPerFile=LINES_PER_FILE, **GZIP)
+     .json(path))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

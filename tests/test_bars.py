@@ -10,6 +10,7 @@ from barlake.dimensions import BAR_UNIVERSE, dimension
 from barlake.operators import bars, latest
 from barlake.plans import market
 from barlake.schemas import BAR
+from barlake.session import settings
 from barlake.sources import files, tables
 
 DAY = 86_400_000
@@ -84,6 +85,51 @@ def test_landing_writes_nulls_and_counts_while_writing(spark, tmp_path):
     assert inferred["date"] == "string" and inferred["volume"] == "double"
 
 
+def test_landed_files_are_small_and_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "LINES_PER_FILE", 300)
+    texts = spark.createDataFrame(
+        [("A", json.dumps({"results": [{**RESULT, "t": DAY * day, "o": day / 7} for day in range(1000)]}))],
+        "symbol STRING, value STRING").coalesce(1)
+    path = tmp_path / "bronze"
+    rows, missing = market.land_bars(texts, texts, str(path), F.lit(9).cast("bigint"))
+    landed = sorted(path.glob("part-*"))
+    assert rows == 1000 and missing.count() == 0 and len(landed) == 4
+    assert all(name.name.endswith(".json.gz") for name in landed)
+    lines = [json.loads(line.value) for line in spark.read.text(str(path)).collect()]
+    assert sorted(line["open"] for line in lines) == [day / 7 for day in range(1000)]
+    assert files.read_bars(spark, str(path)).agg(F.sum("timestamp_ms")).first()[0] == DAY * 499_500
+    assert files.read_bars_checked(spark, str(path))[1].count() == 0
+    assert sum(file.stat().st_size for file in landed) < sum(len(json.dumps(line)) for line in lines) / 4
+
+
+def test_landing_does_not_store_the_documents_for_a_join(spark, tmp_path, monkeypatch):
+    texts = spark.createDataFrame(
+        [(s, json.dumps({"results": [RESULT] * 2})) for s in ("A", "B", "X", None)], "symbol STRING, value STRING")
+    universe = spark.createDataFrame([("A",), ("B",), ("B",), ("C",), (None,)], "symbol STRING")
+    joined = {}
+    for bound in (5, 4):
+        monkeypatch.setattr(bars, "SENT_SYMBOLS", bound)
+        with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+            listed = bars.in_counted_universe(texts, universe)
+            joined[bound] = listed._jdf.queryExecution().executedPlan().toString()
+            rows, missing = market.land_bars(texts, universe, str(tmp_path / f"bronze{bound}"))
+            assert sorted(row.symbol for row in listed.collect()) == ["A", "B"]
+            assert rows == 4 and {row.symbol for row in missing.collect()} == {"C", None}
+    assert "BroadcastHashJoin" in joined[5] and "hashpartitioning" not in joined[5]
+    assert "SortMergeJoin" in joined[4]
+
+
+def test_symbols_are_read_from_the_beginnings_of_lines(spark, tmp_path):
+    odd = ["A", 'say "x", "date":1', ',"', '\\', '\\"', 'a,\\"b', "}", "{}", "", " ", "\n", "é\u2028", None]
+    rows = frame(spark, *[bar(symbol, open=value) for symbol in odd for value in (1.0, 2.0)])
+    files.write_json_lines(rows, str(tmp_path / "bronze"))
+    got = files.read_bar_symbols(spark, str(tmp_path / "bronze"))
+    assert sorted(map(repr, (row.symbol for row in got.collect()))) == sorted(map(repr, odd))
+    # Lines are made distinct before they are parsed, also below a distinct of symbols.
+    plan = got.distinct()._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("from_json") < plan.index("keys=[begin")
+
+
 def test_documents_are_read_from_files_by_ticker(spark, tmp_path):
     (tmp_path / "BRK.B.json").write_text(json.dumps({"status": "OK", "results": [RESULT]}, indent=1))
     (tmp_path / "^X Y.json").write_text(json.dumps({"status": "OK"}))
